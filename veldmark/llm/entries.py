@@ -9,18 +9,44 @@ from pyspark.sql import DataFrame, SparkSession
 from veldmark.llm import _common as common
 
 
+def op3_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from veldmark.llm.quality import quality
+
+    return quality(common.documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/labels.parquet"))
+
+
 def op4_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     from veldmark.llm.langid import language_id
 
     return language_id(common.documents(spark, sf_dir))
 
 
+def op5_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from veldmark.llm.secret_scan import secrets
+
+    return secrets(common.documents(spark, sf_dir))
+
+
+def op6_personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from veldmark.llm.pii import personal_data
+
+    return personal_data(common.documents(spark, sf_dir))
+
+
 def op8_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     from veldmark.llm.exact_dedup import exact_dedup
 
     return exact_dedup(common.documents(spark, sf_dir))
 
 
+def op9_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+
+    from veldmark.llm.bpe import digests
+
+    return digests(common.documents(spark, sf_dir), public_tokenizers.path("word_bpe_49k.json"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {name: f for name, f in globals().items() if name.startswith("op") and callable(f)}
 
