@@ -68,9 +68,15 @@ def hash_runs(data: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarra
     return mix((total[end] - total[start]) * down[start] + (end - start).astype(np.uint64))
 
 
+def fold(text: str) -> str:
+    """Lower case with as many characters as before."""
+    low = text.lower()
+    return low if len(low) == len(text) else "".join(x if len(x := c.lower()) == 1 else c for c in text)
+
+
 def words(texts: list[str]) -> Words:
     """Words are maximal runs of ASCII letters, digits, underscores and non-ASCII characters, in lower case."""
-    parts = [t.lower().encode("utf-8", "replace") for t in texts]
+    parts = [fold(t).encode("utf-8", "replace") for t in texts]
     joined = b"\n".join(parts) + b"\n"
     data = np.frombuffer(joined, np.uint8)
     text_start = np.zeros(len(parts) + 1, np.int64)
@@ -103,6 +109,11 @@ def shingles(hashes: np.ndarray, k: int) -> np.ndarray:
     return mix(out)
 
 
+def characters(found: Words, text: int, at: int) -> int:
+    """The code point offset within its text of a byte offset within joined."""
+    return len(found.joined[found.text_start[text] : at].decode("utf-8"))
+
+
 class Lookup:
     """Ids of known 64-bit keys, -1 for others; a bitmap sets most others aside."""
 

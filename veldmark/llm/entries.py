@@ -9,6 +9,12 @@ from pyspark.sql import DataFrame, SparkSession
 from veldmark.llm import _common as common
 
 
+def op2_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from veldmark.llm.decontaminate import contaminated
+
+    return contaminated(common.documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
+
+
 def op3_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     from veldmark.llm.quality import quality
 
@@ -47,6 +53,12 @@ def op9_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return digests(common.documents(spark, sf_dir), public_tokenizers.path("word_bpe_49k.json"))
 
 
+def op10_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from veldmark.llm.licenses import license_scan
+
+    return license_scan(common.documents(spark, sf_dir))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {name: f for name, f in globals().items() if name.startswith("op") and callable(f)}
 
