@@ -39,6 +39,12 @@ def op6_personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:
     return personal_data(common.documents(spark, sf_dir))
 
 
+def op7_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from veldmark.llm.near_dedup import near_dedup
+
+    return near_dedup(common.documents(spark, sf_dir))
+
+
 def op8_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     from veldmark.llm.exact_dedup import exact_dedup
 
