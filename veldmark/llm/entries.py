@@ -9,6 +9,12 @@ from pyspark.sql import DataFrame, SparkSession
 from veldmark.llm import _common as common
 
 
+def op1_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from veldmark.llm.suffix_dedup import suffix_dedup
+
+    return suffix_dedup(common.documents(spark, sf_dir))
+
+
 def op2_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     from veldmark.llm.decontaminate import contaminated
 
