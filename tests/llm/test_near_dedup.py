@@ -88,7 +88,26 @@ def test_chain_of_links(spark):
     for i in range(40):
         texts.append(" ".join(base[:90] + prose(5) + prose(i % 3)))
     docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
-    assert [r.class_id for r in sorted(nd.near_dedup(docs).collect())] == classes(texts)
+    want = classes(texts)
+    assert [r.class_id for r in sorted(nd.near_dedup(docs).collect())] == want
+    assert [r.class_id for r in nd.near_groups(docs, block=900).orderBy("id").collect()] == want
+
+
+def test_across_components():
+    base = prose(60)
+    texts = [" ".join(base[: i % 50] + [f"x{i}", f"y{i % 7}"] + base[i % 50 + i % 3 :]) for i in range(90)] + ["ba do ki ba do ki ba do ki ba do ki " * 3, "ba do ki ba do ki ba do ki ba do ki " * 4]
+    roots = [i if i % 4 else 0 for i in range(len(texts))]
+    rows = [(i, False, roots[i], t) for i, t in enumerate(texts)] + [(i, True, roots[i], t) for i, t in enumerate(texts) if roots[i]]
+    sets = [counted(t) for t in texts]
+    merged = list(roots)
+    for a, b in nd.across_components(rows):
+        assert plain(sets[a], sets[b]) >= 0.8 - 1e-9
+        x, y = sorted((merged[a], merged[b]))
+        merged = [x if r == y else r for r in merged]
+    for i in range(len(texts)):
+        for j in range(i):
+            if merged[i] != merged[j]:
+                assert plain(sets[i], sets[j]) < 0.8
 
 
 def test_odd_rows(spark, odd_docs):

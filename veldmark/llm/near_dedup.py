@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import numpy as np
+import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
@@ -13,6 +14,8 @@ from veldmark.llm._text import mix, shingles, words
 
 SHINGLE, LEAST = 5, 0.8
 BANDS, ROWS = 25, 5
+#: Bytes of texts on either side of a block in which members of a bucket are compared.
+BLOCK = 8 << 20
 STEP = np.uint64(0x9E3779B97F4A7C15)
 
 
@@ -158,6 +161,86 @@ def _linked(pairs: DataFrame, texts: DataFrame, least: float) -> DataFrame:
     return common.map_rows(full, make, "a long, b long")
 
 
+def across_components(rows: list[tuple[int, bool, int, str]], least: float = LEAST) -> list[tuple[int, int]]:
+    """Links of one bucket, enough to join all roots that have a link there. Rows: node, whether it is a probe, root, text.
+
+    Each probe meets every target of another root in an inverted index of shingles.
+    Shares of common weight bound the probability Jaccard from above; without
+    repeated shingles it is the plain Jaccard, which the counts give at once.
+    """
+    targets = [r for r in rows if not r[1]]
+    if not targets or len(targets) == len(rows):
+        return []
+    sets = {r[0]: None for r in rows}
+    for a, b in common.slices([r[3] for r in targets], 1 << 18):
+        grams, count, first = weighted_shingles([r[3] for r in targets[a:b]])
+        for i in range(b - a):
+            sets[targets[a + i][0]] = grams[first[i] : first[i + 1]], count[first[i] : first[i + 1]]
+    for node, _, _, text in rows:
+        if sets[node] is None:
+            sets[node] = weighted_shingles([text])[:2]
+    own = [sets[r[0]] for r in targets]
+    size = np.array([len(g) for g, _ in own])
+    total = np.array([c.sum() for _, c in own])
+    single = size == total
+    every = np.concatenate([g for g, _ in own])
+    order = np.argsort(every, kind="stable")
+    sorted_grams, of, times = every[order], np.repeat(np.arange(len(own)), size)[order], np.concatenate([c for _, c in own])[order]
+    parent: dict[int, int] = {}
+
+    def find(x: int) -> int:
+        while parent.get(x, x) != x:
+            x = parent[x]
+        return x
+
+    root_of = np.array([r[2] for r in targets])
+    out = []
+    for node, probe, root, _ in rows:
+        if not probe:
+            continue
+        grams, count = sets[node]
+        lo, hi = np.searchsorted(sorted_grams, grams), np.searchsorted(sorted_grams, grams, side="right")
+        n = hi - lo
+        at = np.repeat(lo - (np.cumsum(n) - n), n) + np.arange(n.sum())
+        seen = np.bincount(of[at], minlength=len(own))
+        mine = np.bincount(of[at], weights=np.repeat(count, n), minlength=len(own)) / count.sum()
+        theirs = np.bincount(of[at], weights=times[at], minlength=len(own)) / total
+        maybe = np.flatnonzero(np.minimum(mine, theirs) >= least - 1e-9)
+        plain = single[maybe] & (len(grams) == count.sum())
+        exact = seen[maybe] / (len(grams) + size[maybe] - seen[maybe])
+        for j, simple, value in zip(maybe[np.argsort(-exact, kind="stable")], plain[np.argsort(-exact, kind="stable")], np.sort(-exact), strict=True):
+            a, b = find(root), find(int(root_of[j]))
+            if a != b and (-value >= least - 1e-12 if simple else probability_jaccard((grams, count), own[j]) >= least - 1e-12):
+                parent[max(a, b)] = min(a, b)
+                out.append((node, targets[j][0]))
+    return out
+
+
+def _across(least: float):
+    """Rows come sorted by bucket and block; each block is settled by itself."""
+
+    def run(batches):
+        held, block = [], None
+
+        def flush(rows: list) -> pa.RecordBatch:
+            found = across_components(rows, least)
+            return pa.RecordBatch.from_arrays([pa.array([x[i] for x in found], pa.int64()) for i in range(2)], names=["a", "b"])
+
+        for batch in batches:
+            key, line, column, node, probe, root, text = (batch.column(i).to_pylist() for i in range(7))
+            for i in range(batch.num_rows):
+                now = key[i], line[i], column[i]
+                if now != block and held:
+                    yield flush(held)
+                    held = []
+                block = now
+                held.append((node[i], probe[i], root[i], text[i]))
+        if held:
+            yield flush(held)
+
+    return run
+
+
 def components(edges: DataFrame, folder: str, name: str = "stars") -> DataFrame:
     """(node, root) of all nodes of the edges (a, b) but the roots; a root is the least node of its component.
 
@@ -179,7 +262,7 @@ def components(edges: DataFrame, folder: str, name: str = "stars") -> DataFrame:
         edges = common.stored(small, folder, f"{name}-{turn}")
 
 
-def near_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", least: float = LEAST) -> DataFrame:
+def near_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", least: float = LEAST, block: int = BLOCK) -> DataFrame:
     """One row per row of docs: id, txt (16 bytes of the text's SHA-256), class_id, class_size, kept.
 
     Texts are alike if the probability Jaccard of their weighted five-word shingles
@@ -191,8 +274,9 @@ def near_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
 
     Texts with equal weighted shingles are one node. Nodes share a bucket if a band
     of their signatures agrees. Each member of a bucket is verified against the
-    bucket's least node; while members of a bucket are still in different components,
-    they are verified against more of its nodes, until all such pairs are settled.
+    bucket's least node. Buckets whose members are then in more than one component
+    are looked at once more: each member outside the bucket's largest component is
+    compared with all members, in blocks of bounded size.
     """
     spark, folder = docs.sparkSession, common.scratch(docs.sparkSession)
     signed = common.stored(_signatures(docs, id_col, text_col), folder, "signatures")
@@ -208,21 +292,23 @@ def near_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     pairs = members.where("node <> pivot").select(F.col("node").alias("a"), F.col("pivot").alias("b")).distinct()
     links = common.stored(_linked(pairs, texts, least), folder, "links-0")
     roots = components(links, folder, "stars-0")
-    turn, pivots = 0, 4
-    open_members = members.where("node <> pivot").select("key", "node")
-    while True:
-        turn += 1
-        labelled = open_members.join(roots, "node", "left").select("key", "node", F.coalesce("root", "node").alias("root"))
-        mixed = labelled.groupBy("key").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo <> hi").select("key")
-        ranked = common.stored(labelled.join(mixed, "key").withColumn("rank", F.row_number().over(W.partitionBy("key").orderBy("node"))), folder, f"open-{turn}")
-        if ranked.isEmpty():
-            break
-        chosen = ranked.where(F.col("rank") <= pivots).select("key", F.col("node").alias("b"), F.col("root").alias("root_b"), F.col("rank").alias("rank_b"))
-        pairs = ranked.join(chosen, "key").where("rank > rank_b AND root <> root_b").select(F.col("node").alias("a"), "b").distinct()
-        links = common.stored(links.union(_linked(pairs, texts, least)), folder, f"links-{turn}")
-        roots = components(links, folder, f"stars-{turn}")
-        open_members = ranked.where(F.col("rank") > pivots).select("key", "node")
-        pivots *= 4
+    # buckets whose members are in more than one component: every pair across components is settled there
+    labelled = members.join(roots, "node", "left").select("key", "node", F.coalesce("root", "node").alias("root"))
+    mixed = labelled.groupBy("key").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo <> hi").select("key")
+    open_rows = common.stored(labelled.join(mixed, "key").join(texts.select("node", F.octet_length("text").alias("size")), "node"), folder, "open")
+    if not open_rows.isEmpty():
+        by_root = open_rows.groupBy("key", "root").agg(F.count(F.lit(1)).alias("n"), F.sum("size").alias("bytes"))
+        per_key = by_root.groupBy("key").agg(F.max_by("root", F.struct("n", "root")).alias("top"), F.sum("bytes").alias("bytes"), F.max("bytes").alias("most"))
+        blocks = lambda c: F.ceil(c / block).cast("int")
+        sized = open_rows.join(per_key.select("key", "top", blocks(F.col("bytes")).alias("columns"), F.greatest(F.lit(1), blocks(F.col("bytes") - F.col("most"))).alias("lines")), "key")
+        dealt = lambda n: F.pmod(F.xxhash64("node"), n).cast("int")
+        upto = lambda n: F.sequence(F.lit(0), n - 1)
+        targets = sized.select("key", "node", "root", F.explode(upto(F.col("lines"))).alias("line"), dealt(F.col("columns")).alias("column"), F.lit(False).alias("probe"))
+        probes = sized.where("root <> top").select("key", "node", "root", dealt(F.col("lines")).alias("line"), F.explode(upto(F.col("columns"))).alias("column"), F.lit(True).alias("probe"))
+        order = ["key", "line", "column", "node", "probe"]
+        rows = targets.union(probes).join(texts, "node").repartition(common.partitions(spark), "key", "line", "column").sortWithinPartitions(*order).select(*order, "root", "text")
+        links = common.stored(links.union(rows.mapInArrow(_across(least), "a long, b long")).distinct(), folder, "links-1")
+        roots = components(links, folder, "stars-1")
 
     labelled = nodes.join(roots, "node", "left").select("cls", "n", F.col("rep.id").alias("rep_id"), F.col("rep.txt").alias("rep_txt"), F.coalesce("root", "node").alias("root"))
     least_row = F.min(F.struct(F.col("rep_id").isNull().alias("none"), F.col("rep_id").alias("id"), F.col("rep_txt").alias("txt")))
