@@ -1,21 +1,14 @@
-"""Queries of the core operators on the driver's tables, each with its DuckDB SQL."""
+"""Queries of the core operators on the driver's tables."""
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from veldmark.plans import graphs, images, matrices, points, series, texts  # noqa: F401
+from veldmark.plans.registry import QUERIES, SQL, Query
 
-from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
-
-def g1_edge_weights(spark: SparkSession, sf_dir: str) -> DataFrame:
-    edges = spark.read.parquet(f"{sf_dir}/lineitem.parquet").groupBy(F.col("l_suppkey").alias("src"), F.col("l_partkey").alias("dst")).agg(F.count(F.lit(1)).alias("weight"))
-    return edges.where(F.col("weight") >= 2)
-
-
-def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"g1_edge_weights": g1_edge_weights}
+def queries() -> dict[str, Query]:
+    return dict(QUERIES)
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"g1_edge_weights": "SELECT l_suppkey AS src, l_partkey AS dst, count(*) AS weight FROM lineitem GROUP BY ALL HAVING count(*) >= 2"}
+    return dict(SQL)

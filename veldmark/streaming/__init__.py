@@ -1 +1 @@
-"""Veldmark: streaming."""
+"""Streams: upserts by key, running sets of detections, file sinks."""
