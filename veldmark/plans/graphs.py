@@ -124,7 +124,7 @@ def a1_node_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "lineitem").groupBy("l_orderkey").agg(F.count(F.lit(1)).alias("n"))
 
 
-@query("SELECT n_nationkey, 50.0 + n_regionkey * 200.0 AS x, 50.0 + coalesce((row_number() OVER (PARTITION BY n_regionkey ORDER BY n_nationkey) - 1) / nullif(count(*) OVER (PARTITION BY n_regionkey) - 1, 0), 0) * 600.0 AS y FROM nation")
+@query("SELECT n_nationkey, CAST(50.0 + n_regionkey * 200.0 AS DOUBLE) AS x, CAST(50.0 + coalesce((row_number() OVER (PARTITION BY n_regionkey ORDER BY n_nationkey) - 1) / nullif(count(*) OVER (PARTITION BY n_regionkey) - 1, 0), 0) * 600.0 AS DOUBLE) AS y FROM nation")
 def g10_layout(spark: SparkSession, sf_dir: str) -> DataFrame:
     from pyspark.sql import Window as W
 

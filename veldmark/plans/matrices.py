@@ -25,7 +25,7 @@ def cells(spark: SparkSession, sf_dir: str) -> DataFrame:
     WITH {CELLS}, b AS (
         SELECT row_idx // 2 AS row_idx, col_idx // 2 AS col_idx, max(v) AS v, arg_min(row, row_idx) AS r1, arg_max(row, row_idx) AS r2, arg_min(col, col_idx) AS c1, arg_max(col, col_idx) AS c2
         FROM cells GROUP BY row_idx // 2, col_idx // 2)
-    SELECT row_idx, col_idx, v,
+    SELECT CAST(row_idx AS BIGINT) AS row_idx, CAST(col_idx AS BIGINT) AS col_idx, v,
            substr(r1, 1, list_max(list_filter(range(0, least(length(r1), length(r2)) + 1), lambda n: substr(r1, 1, n) = substr(r2, 1, n)))) AS row,
            substr(c1, 1, list_max(list_filter(range(0, least(length(c1), length(c2)) + 1), lambda n: substr(c1, 1, n) = substr(c2, 1, n)))) AS col
     FROM b""")
@@ -35,7 +35,7 @@ def a3_block_merge(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(f"""
     WITH {CELLS}, g AS (SELECT substr(row, 1, 8) AS row, substr(col, 1, 1) AS col, sum(v) AS v, min(row_idx) AS r, min(col_idx) AS c FROM cells GROUP BY 1, 2),
-         rs AS (SELECT row, row_number() OVER (ORDER BY min(r)) - 1 AS row_idx FROM g GROUP BY row), cs AS (SELECT col, row_number() OVER (ORDER BY min(c)) - 1 AS col_idx FROM g GROUP BY col)
+         rs AS (SELECT row, CAST(row_number() OVER (ORDER BY min(r)) - 1 AS INT) AS row_idx FROM g GROUP BY row), cs AS (SELECT col, CAST(row_number() OVER (ORDER BY min(c)) - 1 AS INT) AS col_idx FROM g GROUP BY col)
     SELECT row_idx, row, col_idx, col, CAST(v AS BIGINT) AS v FROM g JOIN rs USING (row) JOIN cs USING (col)""")
 def a4_named_merge(spark: SparkSession, sf_dir: str) -> DataFrame:
     short = cells(spark, sf_dir).withColumn("row", F.substring("row", 1, 8)).withColumn("col", F.substring("col", 1, 1))
@@ -48,7 +48,7 @@ def a4_named_merge(spark: SparkSession, sf_dir: str) -> DataFrame:
     b AS (SELECT row_idx // 2 AS row_idx, col_idx // 2 AS col_idx, bool_or(v >= 100 AND row_idx % 2 = 0) AS one, bool_or(v >= 100 AND row_idx % 2 = 1) AS two, sum(v) AS total,
                  avg(share) FILTER (v >= 100) AS mean, arg_min(row, row_idx) AS row, arg_min(col, col_idx) AS col
           FROM s GROUP BY row_idx // 2, col_idx // 2)
-    SELECT row_idx, CASE WHEN contains(row, ' ') THEN regexp_replace(row, ' [^ ]*$', '') ELSE substr(row, 1, length(row) - 1) END AS row, col_idx,
+    SELECT CAST(row_idx AS BIGINT) AS row_idx, CASE WHEN contains(row, ' ') THEN regexp_replace(row, ' [^ ]*$', '') ELSE substr(row, 1, length(row) - 1) END AS row, CAST(col_idx AS BIGINT) AS col_idx,
            CASE WHEN contains(col, ' ') THEN regexp_replace(col, ' [^ ]*$', '') ELSE substr(col, 1, length(col) - 1) END AS col,
            round(CASE WHEN one AND two AND total >= 250 THEN 100 * mean ELSE 0 END, 6) AS v
     FROM b""")

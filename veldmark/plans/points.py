@@ -28,7 +28,7 @@ def j7_radius(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spatial.radius_join(found.where("label = 0"), found.where("label = 1"), AXES, RADIUS)
 
 
-@query(f"WITH {POINTS}, {NEAR} SELECT pid, other, d2, rank FROM near")
+@query(f"WITH {POINTS}, {NEAR} SELECT pid, other, d2, CAST(rank AS INT) AS rank FROM near")
 def j8_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spatial.neighbours(points(spark, sf_dir), AXES, RADIUS)
 
@@ -39,7 +39,7 @@ def j9_nearest(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spatial.nearest(found.where("label <> 0"), found.where("label = 0"), AXES, RADIUS)
 
 
-@query(f"WITH {POINTS}, n AS (SELECT a.pid, b.pid AS other, {D2} AS d2, row_number() OVER (PARTITION BY a.pid ORDER BY {D2}, CASE WHEN a.pid = b.pid THEN 0 ELSE 1 END, b.pid) - 1 AS rank FROM p a CROSS JOIN p b) SELECT pid, other, d2, rank FROM n WHERE rank <= 4")
+@query(f"WITH {POINTS}, n AS (SELECT a.pid, b.pid AS other, {D2} AS d2, row_number() OVER (PARTITION BY a.pid ORDER BY {D2}, CASE WHEN a.pid = b.pid THEN 0 ELSE 1 END, b.pid) - 1 AS rank FROM p a CROSS JOIN p b) SELECT pid, other, d2, CAST(rank AS INT) AS rank FROM n WHERE rank <= 4")
 def j10_k_nearest(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spatial.k_nearest_anywhere(points(spark, sf_dir), AXES, 4, 60.0)
 
@@ -88,19 +88,19 @@ def features(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spatial.constellations(found, AXES, RADIUS, 0.25, 4).join(found.select("pid", "label"), "pid")
 
 
-@query(f"WITH {PAIRED} SELECT pid, feature, round(angle, 6) AS angle, len1, len2, x, y, z FROM feats")
+@query(f"WITH {PAIRED} SELECT pid, CAST(feature AS INT) AS feature, round(angle, 6) AS angle, len1, len2, x, y, z FROM feats")
 def n2_constellations(spark: SparkSession, sf_dir: str) -> DataFrame:
     return features(spark, sf_dir).drop("label").withColumn("angle", F.round("angle", 6))
 
 
-@query(f"WITH {PAIRED} SELECT a.pid AS pid1, a.feature AS feature1, b.pid AS pid2, b.feature AS feature2 FROM feats a JOIN feats b ON abs(a.angle - b.angle) < 0.05 AND abs(a.len1 - b.len1) + abs(a.len2 - b.len2) < 900.5 WHERE a.label = 0 AND b.label = 1")
+@query(f"WITH {PAIRED} SELECT a.pid AS pid1, CAST(a.feature AS INT) AS feature1, b.pid AS pid2, CAST(b.feature AS INT) AS feature2 FROM feats a JOIN feats b ON abs(a.angle - b.angle) < 0.05 AND abs(a.len1 - b.len1) + abs(a.len2 - b.len2) < 900.5 WHERE a.label = 0 AND b.label = 1")
 def j4_match(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = features(spark, sf_dir)
     pairs = spatial.match_features(found.where("label = 0"), found.where("label = 1"), 0.05, 900.5)
     return pairs.select(F.col("f1.pid").alias("pid1"), F.col("f1.feature").alias("feature1"), F.col("f2.pid").alias("pid2"), F.col("f2.feature").alias("feature2"))
 
 
-@query(f"WITH {PAIRED} SELECT a.pid AS pid1, a.feature AS feature1, b.pid AS pid2, b.feature AS feature2 FROM feats a JOIN feats b ON abs(a.angle - b.angle) < 0.05 AND abs(a.len1 / nullif(a.len1 + a.len2, 0) - b.len1 / nullif(b.len1 + b.len2, 0)) < 0.0300001 WHERE a.label = 0 AND b.label = 1")
+@query(f"WITH {PAIRED} SELECT a.pid AS pid1, CAST(a.feature AS INT) AS feature1, b.pid AS pid2, CAST(b.feature AS INT) AS feature2 FROM feats a JOIN feats b ON abs(a.angle - b.angle) < 0.05 AND abs(a.len1 / nullif(a.len1 + a.len2, 0) - b.len1 / nullif(b.len1 + b.len2, 0)) < 0.0300001 WHERE a.label = 0 AND b.label = 1")
 def j5_scale_invariant(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = features(spark, sf_dir)
     pairs = spatial.match_features(found.where("label = 0"), found.where("label = 1"), 0.05, 0.0300001, scale_invariant=True)

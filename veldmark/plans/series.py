@@ -69,7 +69,7 @@ def w15_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
     return windows.chunks(events(spark, sf_dir), ["user_id"], ["ts", "event_id"], 7).select("event_id", "chunk")
 
 
-@query(f"SELECT event_id, row_number() OVER ({ORDER}) AS row FROM events")
+@query(f"SELECT event_id, CAST(row_number() OVER ({ORDER}) AS INT) AS row FROM events")
 def w12_row_index(spark: SparkSession, sf_dir: str) -> DataFrame:
     return windows.row_index(events(spark, sf_dir), ["user_id"], ["ts", "event_id"]).select("event_id", "row")
 

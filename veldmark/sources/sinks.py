@@ -10,7 +10,8 @@ from veldmark.functions.text import coordinates_label
 
 def csv(df: DataFrame, path: str, header: bool = True, one_file: bool = False) -> None:
     """Comma-separated, text in quotes, numbers plain."""
-    quoted = [F.concat(F.lit('"'), F.replace(F.col(f.name), F.lit('"'), F.lit('""')), F.lit('"')) if f.dataType.simpleString() == "string" else F.col(f.name).cast("string") for f in df.schema]
+    cell = lambda f: F.col(f"`{f.name}`")
+    quoted = [F.concat(F.lit('"'), F.replace(cell(f), F.lit('"'), F.lit('""')), F.lit('"')) if f.dataType.simpleString() == "string" else cell(f).cast("string") for f in df.schema]
     line = F.array_join(F.array(*[F.coalesce(c, F.lit("")) for c in quoted]), ",")
     rows = df.select(line.alias("value"))
     if header:
