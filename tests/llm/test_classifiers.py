@@ -40,6 +40,7 @@ def test_odd_languages(spark, odd_docs):
     assert all(r.lang_pred == "und" and r.score == 0 for r in rows if r.doc_id in (1, 2, 5, 7))
     assert all(r.lang_pred == "und" for r in langid.language_id(odd_docs.withColumn("lang", common.F.lit(None).cast("string"))).collect())
     assert langid.language_id(odd_docs.limit(0)).count() == 0
+    assert [bool(langid.LETTER.search(t)) for t in ("½ ² Ⅷ 5 _", "1é", "日")] == [False, True, True]
 
 
 def test_quality_of_held_out_rows(spark):

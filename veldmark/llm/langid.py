@@ -3,11 +3,11 @@
 from __future__ import annotations
 
 import pickle
-import re
 from dataclasses import dataclass
 from functools import cache
 
 import numpy as np
+import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -18,7 +18,7 @@ ORDERS = (1, 2, 3)
 SMOOTH = 0.5
 #: Labelled rows that training takes of each language, on average over hashes of the id.
 ROWS_PER_LANG = 600
-LETTER = re.compile(r"[^\W\d_]")
+LETTER = regex.compile(r"\p{L}")
 UND = "und"
 
 
