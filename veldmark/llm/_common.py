@@ -8,6 +8,7 @@ from collections.abc import Callable, Iterator
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 #: Rows of an Arrow batch: texts can be long, and two workers share an executor.
@@ -63,6 +64,18 @@ def held_out(id_col: str = "doc_id", fold: int = 2, folds: int = 4):
     return F.coalesce(F.crc32(F.col(id_col).cast("string")) % folds == fold, F.lit(False))
 
 
+def kept_rows(docs: DataFrame, kept: DataFrame, id_col: str, digest) -> DataFrame:
+    """The rows of docs that are in kept (columns id, digest, reps): of rows equal in both, reps stay.
+
+    Join and window have the same keys, so the rows' texts are shuffled once.
+    """
+    keys = ["_id", "_null", "_digest"]
+    wanted = kept.select(F.coalesce("id", F.lit(0)).alias("_id"), F.col("id").isNull().alias("_null"), F.col("digest").alias("_digest"), F.col("reps").alias("_reps"))
+    rows = docs.withColumns({"_id": F.coalesce(F.col(f"`{id_col}`"), F.lit(0)), "_null": F.col(f"`{id_col}`").isNull(), "_digest": digest}).join(wanted, keys)
+    ranked = rows.withColumn("_rank", F.row_number().over(W.partitionBy(*keys).orderBy(F.lit(1))))
+    return ranked.where("_rank <= _reps").select(*[F.col(f"`{c}`") for c in docs.columns])
+
+
 def slices(texts: list[str], limit: int = 1 << 19) -> Iterator[tuple[int, int]]:
     """Index ranges whose texts have about limit characters together, one text at least."""
     start, total = 0, 0

@@ -8,7 +8,6 @@ from collections.abc import Iterator
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from veldmark.llm import _common as common
@@ -184,8 +183,5 @@ def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
 
 def distinct_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """The rows of docs that exact_dedup keeps, with the columns of docs."""
-    kept = exact_dedup(docs, id_col, text_col).where("kept").select(F.col(id_col).alias("_kept_id"), F.col("text_sha256").alias("_kept_sha"))
-    sha = F.sha2(F.coalesce(F.col(text_col).cast("string"), F.lit("")).cast("binary"), 256)
-    rows = docs.withColumn("_sha", sha).join(kept, F.col(id_col).eqNullSafe(F.col("_kept_id")) & (F.col("_sha") == F.col("_kept_sha")))
-    ranked = rows.withColumn("_rank", F.row_number().over(W.partitionBy("_kept_id", "_kept_sha").orderBy(F.lit(1))))
-    return ranked.where("_rank = 1").select(*[F.col(f"`{c}`") for c in docs.columns])
+    kept = exact_dedup(docs, id_col, text_col).where("kept").select(F.col(id_col).alias("id"), F.col("text_sha256").alias("digest"), F.lit(1).alias("reps"))
+    return common.kept_rows(docs, kept, id_col, F.sha2(F.coalesce(F.col(text_col).cast("string"), F.lit("")).cast("binary"), 256))

@@ -6,7 +6,6 @@ import numpy as np
 import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from veldmark.llm import _common as common
@@ -329,7 +328,5 @@ def near_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
 
 def distinct_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """The rows of docs that near_groups keeps, with the columns of docs."""
-    kept = near_groups(docs, id_col, text_col).where("kept").groupBy("id", "txt").agg(F.count(F.lit(1)).alias("reps")).select(F.col("id").alias("_kept_id"), F.col("txt").alias("_kept_txt"), F.col("reps").alias("_reps"))
-    rows = docs.withColumn("_txt", _digest(text_col)).join(kept, F.col(id_col).eqNullSafe(F.col("_kept_id")) & (F.col("_txt") == F.col("_kept_txt")))
-    ranked = rows.withColumn("_rank", F.row_number().over(W.partitionBy("_kept_id", "_kept_txt").orderBy(F.lit(1))))
-    return ranked.where("_rank <= _reps").select(*[F.col(f"`{c}`") for c in docs.columns])
+    kept = near_groups(docs, id_col, text_col).where("kept").groupBy("id", F.col("txt").alias("digest")).agg(F.count(F.lit(1)).alias("reps"))
+    return common.kept_rows(docs, kept, id_col, _digest(text_col))
