@@ -50,10 +50,10 @@ def test_signatures_estimate_it():
     other = base[:150] + prose(60) + base[:20]
     texts = [" ".join(base), " ".join(other), "ba do ki"]
     grams, count, first = nd.weighted_shingles(texts)
-    signature = nd.prob_min_hash(grams, count.astype(float), first, 4000)
+    signature = nd.prob_min_hash(grams, count, first, 4000)
     want = plain(counted(texts[0]), counted(texts[1]))
     assert abs((signature[0] == signature[1]).mean() - want) < 0.04
-    alone = nd.prob_min_hash(*[x.astype(float) if x.dtype != np.uint64 else x for x in counted(texts[1])], np.array([0, len(counted(texts[1])[0])]), 4000)
+    alone = nd.prob_min_hash(*counted(texts[1]), np.array([0, len(counted(texts[1])[0])]), 4000)
     assert (alone[0] == signature[1]).all()
 
 
@@ -110,6 +110,13 @@ def test_across_components():
                 assert plain(sets[i], sets[j]) < 0.8
 
 
+def test_a_repeated_line_is_no_copy(spark):
+    line = " Is onhe." * 300
+    texts = [" ".join(prose(60)) + line, " ".join(prose(60)) + line]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    assert sorted(r.class_id for r in nd.near_dedup(docs).collect()) == [0, 1]
+
+
 def test_odd_rows(spark, odd_docs):
     rows = nd.near_dedup(odd_docs).collect()
     assert len(rows) == odd_docs.count()

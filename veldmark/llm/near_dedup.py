@@ -19,8 +19,10 @@ STEP = np.uint64(0x9E3779B97F4A7C15)
 
 
 def weighted_shingles(texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Distinct shingles of all texts one after the other, their counts, and where each text begins.
+    """Distinct shingles of all texts one after the other, their weights, and where each text begins.
 
+    A shingle's weight is 1 + log2 of its count, so that one line said a hundred
+    times doesn't make all texts with it alike.
     A text of one to four words has one shingle of all its words, one without words has none.
     """
     found = words(texts)
@@ -38,7 +40,7 @@ def weighted_shingles(texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndar
     new = np.ones(len(grams), bool)
     new[1:] = (grams[1:] != grams[:-1]) | (text_of[1:] != text_of[:-1])
     at = np.flatnonzero(new)
-    return grams[at], np.diff(np.append(at, len(grams))), np.searchsorted(text_of[at], np.arange(len(texts) + 1))
+    return grams[at], 1 + np.log2(np.diff(np.append(at, len(grams)))), np.searchsorted(text_of[at], np.arange(len(texts) + 1))
 
 
 def prob_min_hash(grams: np.ndarray, weight: np.ndarray, first: np.ndarray, registers: int = BANDS * ROWS) -> np.ndarray:
@@ -116,7 +118,7 @@ def _signatures(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
             texts, cls, bands = batch["text"], [], []
             for a, b in common.slices(texts, 1 << 18):
                 grams, count, first = weighted_shingles(texts[a:b])
-                keys = band_keys(prob_min_hash(grams, count.astype(float), first))
+                keys = band_keys(prob_min_hash(grams, count, first))
                 for i in range(b - a):
                     s = slice(first[i], first[i + 1])
                     some = first[i] < first[i + 1]
@@ -181,7 +183,7 @@ def across_components(rows: list[tuple[int, bool, int, str]], least: float = LEA
     own = [sets[r[0]] for r in targets]
     size = np.array([len(g) for g, _ in own])
     total = np.array([c.sum() for _, c in own])
-    single = size == total
+    single = total == size
     every = np.concatenate([g for g, _ in own])
     order = np.argsort(every, kind="stable")
     sorted_grams, of, times = every[order], np.repeat(np.arange(len(own)), size)[order], np.concatenate([c for _, c in own])[order]
