@@ -259,3 +259,36 @@ def test_merged_peaks(spark):
     got = streams.merge_peaks(spark.createDataFrame(rows, "series string, t int, x double, y double, z double"), "series", 2.0)
     assert sorted((r.x, r.n) for r in got.collect()) == [(0.5, 2), (10.0, 1), (20.0, 1), (20.1, 1)]
     assert streams.frequent(got, 1).count() == 1
+
+
+def test_flows(spark):
+    from veldmark.operators import filters, flows, ml
+
+    rows = []
+    for t in range(4):
+        a = np.zeros((15, 15))
+        a[5, 6] = a[9, 3 if t == 2 else 11] = 50.0
+        rows.append(("s", t, [15, 15], a.ravel().tolist()))
+    volumes = spark.createDataFrame(rows, "series string, t int, size array<int>, data array<double>")
+    found = flows.nuclei_over_time(volumes, "series", "t", "size", "data", 1.0, 2.0, 1.0, 1.5, 1).collect()
+    assert sorted((round(r.x), round(r.y), r.n) for r in found) == [(5, 6, 4), (9, 11, 3)]
+    voxels = spark.createDataFrame([(t, x, y, float(10 * (x == 2 and y == 2) + t)) for t in range(6) for x in range(5) for y in range(5)], "t int, x int, y int, v double")
+    peaks = flows.nuclei_by_projection(voxels, ["x", "y"], "v", 6.0)
+    assert [(r.x, r.y) for r in peaks.collect()] == [(2, 2)]
+    dff = flows.measured(peaks.withColumn("pid", F.lit(0)).select("pid", "x", "y"), voxels, ["x", "y"], [1, 1], "t", "v", 4).orderBy("t").collect()
+    assert [r.mean for r in dff] == [2.0 + t for t in range(6)] and dff[3].dff == pytest.approx((5 - 3) / 3)
+    steps = [("s", t, [float(i), float(i * i % 7)], [i + 2.0, i * i % 7 + 1.0]) for t in (1, 2) for i in range(8)]
+    maps = flows.forward_transforms(spark.createDataFrame(steps, "s string, t int, p1 array<double>, p2 array<double>"), "s", "t", iterations=50, epsilon=0.1).orderBy("t").collect()
+    assert np.allclose([m.matrix for m in maps], [[1, 0, -2, 0, 1, -1], [1, 0, -4, 0, 1, -2]])
+    image, mask = flows.training_image(30, 30, 3, 1.0, 0.01)
+    pixels_ = [(x, y, float(image[y, x]), float(np.abs(x - 15)), float(mask[y, x])) for y in range(30) for x in range(30)]
+    table = spark.createDataFrame(pixels_, "x int, y int, a double, b double, label double")
+    attributes, samples = table.drop("label"), table.where("(x + y) % 3 = 0").select("x", "y", "label")
+    train = ml.training_set(samples, attributes, ["x", "y"])
+    for model in (ml.random_forest(train, ["a", "b"], 20), ml.support_vectors(train, ["a", "b"]), ml.perceptron(train, ["a", "b"], 2)):
+        done = ml.classify(model, attributes).join(table.select("x", "y", "label"), ["x", "y"])
+        assert done.where("class = label").count() > 780
+    shares = ml.classify(ml.random_forest(train, ["a", "b"], 20), attributes, probability_of=1)
+    assert shares.where("probability BETWEEN 0 AND 1").count() == 900
+    assert len(flows.rotations()) == 36 and filters.large_files(spark.createDataFrame([("a.tif", 1 << 27), ("b.tif", 5)], "path string, length long"), ".tif").count() == 1
+    assert one(spark, flows.exported_chunk(F.lit(0.0), 0.0, 10.0)) == 255

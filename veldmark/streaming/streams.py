@@ -23,23 +23,24 @@ def first_and_last(stream: DataFrame, key: str, at: str) -> DataFrame:
 
 
 def upsert_into(stream: DataFrame, path: str, key: str, at: str, checkpoint: str, every: str | None = None) -> StreamingQuery:
-    """The table at path after each batch: each batch writes a new version beside the old one, and the file `current` of versions is never half written.
+    """Each batch leaves its keys with their first and last time in a folder of its own; a batch that runs again replaces it.
 
-    With every, a batch runs that often; else what there is runs and the query ends.
+    upserted() reads the table. With every, a batch runs that often; else what
+    there is runs and the query ends.
     """
 
     def merge(batch: DataFrame, number: int) -> None:
-        spark = batch.sparkSession
-        seen = batch.groupBy(key).agg(F.min(at).alias("first"), F.max(at).alias("last"))
-        if number:
-            old = spark.read.parquet(f"{path}/v{number - 1}")
-            seen = old.unionByName(seen).groupBy(key).agg(F.min("first").alias("first"), F.max("last").alias("last"))
-        seen.write.mode("overwrite").parquet(f"{path}/v{number}")
+        batch.groupBy(key).agg(F.min(at).alias("first"), F.max(at).alias("last")).write.mode("overwrite").parquet(f"{path}/batch={number}")
 
     writer = stream.writeStream.foreachBatch(merge).option("checkpointLocation", checkpoint)
     return (writer.trigger(processingTime=every) if every else writer.trigger(availableNow=True)).start()
 
 
+def upserted(spark: SparkSession, path: str, key: str) -> DataFrame:
+    """First and last time of each key over all batches."""
+    return spark.read.parquet(path).groupBy(key).agg(F.min("first").alias("first"), F.max("last").alias("last"))
+
+
 def append_files(stream: DataFrame, path: str, checkpoint: str, kind: str = "csv") -> StreamingQuery:
     """Rows appended as files."""
     return stream.writeStream.format(kind).outputMode("append").option("checkpointLocation", checkpoint).option("header", "true").trigger(availableNow=True).start(path)
