@@ -45,3 +45,14 @@ def test_groups(spark, odd_docs):
     kept = distinct_documents(odd_docs)
     assert kept.count() == len(by) and kept.columns == odd_docs.columns
     assert exact_dedup(odd_docs.limit(0)).count() == 0
+
+
+def test_clashing_names(spark):
+    from veldmark.llm.near_dedup import distinct_documents as near_distinct
+    from veldmark.llm.suffix_dedup import without_repeats
+
+    rows = [(1, "a b c d e f", "k", 1.5, None, 7), (2, "a b c d e f", "k", 1.5, None, 7), (2, "a b c d e f", "k", 1.5, None, 8)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, key string, digest double, none string, rank int")
+    for run, n in ((distinct_documents, 1), (near_distinct, 1), (without_repeats, 3)):
+        out = run(docs)
+        assert out.columns == docs.columns and out.count() == n

@@ -69,11 +69,13 @@ def kept_rows(docs: DataFrame, kept: DataFrame, id_col: str, digest) -> DataFram
 
     Join and window have the same keys, so the rows' texts are shuffled once.
     """
-    keys = ["_id", "_null", "_digest"]
-    wanted = kept.select(F.coalesce("id", F.lit(0)).alias("_id"), F.col("id").isNull().alias("_null"), F.col("digest").alias("_digest"), F.col("reps").alias("_reps"))
-    rows = docs.withColumns({"_id": F.coalesce(F.col(f"`{id_col}`"), F.lit(0)), "_null": F.col(f"`{id_col}`").isNull(), "_digest": digest}).join(wanted, keys)
-    ranked = rows.withColumn("_rank", F.row_number().over(W.partitionBy(*keys).orderBy(F.lit(1))))
-    return ranked.where("_rank <= _reps").select(*[F.col(f"`{c}`") for c in docs.columns])
+    keys = ["key", "none", "digest"]
+    text = lambda c: F.coalesce(c.cast("string"), F.lit(""))
+    wanted = kept.select(text(F.col("id")).alias("key"), F.col("id").isNull().alias("none"), "digest", "reps")
+    own = F.col(f"`{id_col}`")
+    rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), text(own).alias("key"), own.isNull().alias("none"), digest.alias("digest")).join(wanted, keys)
+    ranked = rows.withColumn("rank", F.row_number().over(W.partitionBy(*keys).orderBy(F.lit(1))))
+    return ranked.where("rank <= reps").select(*[F.col(f"row.`{c}`").alias(c) for c in docs.columns])
 
 
 def slices(texts: list[str], limit: int = 1 << 19) -> Iterator[tuple[int, int]]:

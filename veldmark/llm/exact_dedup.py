@@ -160,7 +160,7 @@ def _final(batches):
 
 
 def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """One row per row of docs: id_col, keep_id, group_size, kept, text_sha256.
+    """One row per row of docs: id_col (an integer), keep_id, group_size, kept, text_sha256.
 
     Texts are equal when their characters are; null counts as the empty text. Of
     equal texts the row with the largest id stays. A null id is smaller than all
