@@ -156,7 +156,10 @@ def test_raw_files(spark, tmp_path):
 
 def test_sinks(spark, tmp_path):
     df = spark.createDataFrame([("a", 1), ('b"c', 2)], "name string, n int")
-    sinks.csv(df, str(tmp_path / "c"))
+    sinks.csv(df, str(tmp_path / "c"), one_file=True)
+    sinks.csv(df, str(tmp_path / "parts"))
+    parts = [p.read_text() for p in sorted((tmp_path / "parts").glob("part-*"))]
+    assert "".join(parts).splitlines() == ['"name","n"', '"a",1', '"b""c",2']
     assert next((tmp_path / "c").glob("part-*")).read_text().splitlines() == ['"name","n"', '"a",1', '"b""c",2']
     assert sinks.first_unused(spark, str(tmp_path / "c")) == f"{tmp_path / 'c'}-1"
     counts = spark.createDataFrame([(1, "axon", 2, "dendrite", 5)], "pre int, pre_part string, post int, post_part string, n int")

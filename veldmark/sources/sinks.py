@@ -9,17 +9,19 @@ from veldmark.functions.text import coordinates_label
 
 
 def csv(df: DataFrame, path: str, header: bool = True, one_file: bool = False) -> None:
-    """Comma-separated, text in quotes, numbers plain."""
+    """Comma-separated, text in quotes, numbers plain.
+
+    The heading is a part of its own before the others, so the parts one after the
+    other are the table; one_file makes one part of them, for small tables.
+    """
     cell = lambda f: F.col(f"`{f.name}`")
     quoted = [F.concat(F.lit('"'), F.replace(cell(f), F.lit('"'), F.lit('""')), F.lit('"')) if f.dataType.simpleString() == "string" else cell(f).cast("string") for f in df.schema]
     line = F.array_join(F.array(*[F.coalesce(c, F.lit("")) for c in quoted]), ",")
-    rows = df.select(line.alias("value"))
+    rows = df.select(line.alias("value"), F.monotonically_increasing_id().alias("at"))
     if header:
-        # the heading is the first row of the one file, or of every file otherwise read with it
-        head = df.sparkSession.createDataFrame([(",".join(f'"{c}"' for c in df.columns),)], "value string")
-        rows = head.coalesce(1).union(rows.coalesce(1))
-        one_file = True
-    (rows.coalesce(1) if one_file else rows).write.mode("overwrite").text(path)
+        head = df.sparkSession.createDataFrame([(",".join(f'"{c}"' for c in df.columns), -1)], "value string, at long")
+        rows = head.coalesce(1).union(rows)
+    (rows.coalesce(1).sortWithinPartitions("at") if one_file else rows).select("value").write.mode("overwrite").text(path)
 
 
 def edges_csv(edges: DataFrame, path: str) -> None:
@@ -36,7 +38,7 @@ def with_parameters(df: DataFrame, path: str, params: dict) -> None:
 def matrices_csv(df: DataFrame, path: str, matrix: str, order: str, d: int) -> None:
     """Maps in row order under the heading m00, m01, ..."""
     cells = [F.get(matrix, F.lit(i * (d + 1) + j)).alias(f"m{i}{j}") for i in range(d) for j in range(d + 1)]
-    csv(df.orderBy(order).select(*cells), path)
+    csv(df.orderBy(order).select(*cells), path, one_file=True)
 
 
 def series_csv(df: DataFrame, path: str, time: str, value: str) -> None:
@@ -44,7 +46,7 @@ def series_csv(df: DataFrame, path: str, time: str, value: str) -> None:
     labelled = df.withColumn("_label", coordinates_label("x", "y", "z"))
     names = [r["_label"] for r in labelled.groupBy("_label").agg(F.min("peak").alias("p")).orderBy("p").select("_label").collect()]
     wide = labelled.groupBy(time).pivot("_label", names).agg(F.first(value)).orderBy(time)
-    csv(wide.select(F.col(time).alias("timepoint"), *[F.col(f"`{n}`") for n in names]), path)
+    csv(wide.select(F.col(time).alias("timepoint"), *[F.col(f"`{n}`") for n in names]), path, one_file=True)
 
 
 def dense_csvs(counts: DataFrame, path: str, ids: list, parts: tuple[str, str] = ("axon", "dendrite")) -> None:
@@ -53,7 +55,7 @@ def dense_csvs(counts: DataFrame, path: str, ids: list, parts: tuple[str, str] =
     for a in parts:
         for b in parts:
             own = counts.where((F.col("pre_part") == a) & (F.col("post_part") == b)).groupBy("pre").pivot("post", sorted(ids)).agg(F.sum("n"))
-            csv(frame.join(own, "pre", "left").na.fill(0).orderBy("pre"), f"{path}/{a}-{b}")
+            csv(frame.join(own, "pre", "left").na.fill(0).orderBy("pre"), f"{path}/{a}-{b}", one_file=True)
 
 
 def json_rows(df: DataFrame, path: str) -> None:
