@@ -129,9 +129,9 @@ def test_affine(spark):
         p = rng.normal(size=d)
         got = spark.range(1).select(*affine.apply(row, [F.lit(float(x)) for x in p])).first()
         assert np.allclose(list(got), m[:, :d] @ p + m[:, d])
-    maps = [np.hstack([np.eye(2) + 0.1 * rng.normal(size=(2, 2)), rng.normal(size=(2, 1))]) for _ in range(4)]
+    maps = [np.hstack([np.eye(2) + 0.1 * rng.normal(size=(2, 2)), rng.normal(size=(2, 1))]) for _ in range(11)]
     df = spark.createDataFrame([(0, i, m.ravel().tolist()) for i, m in enumerate(maps)], "g int, i int, m array<double>")
-    got = windows.cumulative_affine(df, "m", ["g"], "i", 2).first().m
+    got = [r.m for r in windows.cumulative_affine(df, "m", ["g"], "i", 2).orderBy("i").collect()]
     full = lambda m: np.vstack([m, [0, 0, 1]])
     last = np.eye(3)
     for i, m in enumerate(maps):

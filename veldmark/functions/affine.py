@@ -41,17 +41,6 @@ def invert(m, d: int) -> Column:
     return F.array(*[linear[i][j] if j < d else -sum((linear[i][k] * a[k][d] for k in range(d)), F.lit(0.0)) for i in range(d) for j in range(d + 1)])
 
 
-def cumulative(matrices: Column, d: int) -> Column:
-    """Of an ordered array of maps M_i: A_0 is the identity, A_i = A_(i-1) after the inverse of M_i. Order matters, so this is a fold."""
-    start = F.struct(identity(d).alias("last"), F.array().cast("array<array<double>>").alias("all"))
-
-    def step(state, m):
-        last = F.when(F.size(state["all"]) == 0, state["last"]).otherwise(concatenate(state["last"], invert(m, d), d))
-        return F.struct(last.alias("last"), F.concat(state["all"], F.array(last)).alias("all"))
-
-    return F.aggregate(matrices, start, step, lambda s: s["all"])
-
-
 def merge(coarse: Column, roi: list[Column], fine: Column, d: int) -> Column:
     """Fine after coarse, with the origin of a region of interest in between."""
     shift = F.array(*[F.lit(float(i == j)) if j < d else -roi[i] for i in range(d) for j in range(d + 1)])

@@ -41,9 +41,21 @@ def cumulative(df: DataFrame, value: str, by: list[str], order: list[str], sign:
 
 
 def cumulative_affine(df: DataFrame, matrix: str, by: list[str], order: str, d: int) -> DataFrame:
-    """One row per group: its maps folded in order."""
-    ordered = F.array_sort(F.collect_list(F.struct(F.col(order).alias("at"), F.col(matrix).alias("m"))))
-    return df.groupBy(*by).agg(ordered.alias("_all")).select(*by, F.transform("_all", lambda r: r["at"]).alias(order), affine.cumulative(F.transform("_all", lambda r: r["m"]), d).alias(matrix))
+    """by, order, matrix: the identity in the first row of a group, then each row's inverse after what was before.
+
+    Maps don't commute but they associate, so each round puts the product of the
+    rows 1, 2, 4, ... places before in front; rounds are the logarithm of the longest group.
+    """
+    w = _over(by, [order])
+    step = F.when(F.row_number().over(w) == 1, affine.identity(d)).otherwise(affine.invert(matrix, d))
+    state = df.select(*by, order, step.alias(matrix))
+    longest = df.groupBy(*by).agg(F.count(F.lit(1)).alias("n")).agg(F.max("n")).first()[0] or 0
+    shift = 1
+    while shift < longest:
+        placed = state.withColumn("_before", F.lag(matrix, shift).over(w))
+        state = placed.select(*by, order, F.when(F.col("_before").isNull(), F.col(matrix)).otherwise(affine.concatenate("_before", matrix, d)).alias(matrix))
+        shift *= 2
+    return state
 
 
 def sessions(df: DataFrame, at: str, by: list[str], order: list[str], gap, name: str = "session") -> DataFrame:

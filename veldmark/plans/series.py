@@ -116,5 +116,4 @@ def w4_cumulative_affine(spark: SparkSession, sf_dir: str) -> DataFrame:
     one, none = F.lit(1.0), F.lit(0.0)
     rows = events(spark, sf_dir).select("user_id", F.struct("ts", "event_id").alias("at"), F.array(one, none, F.col("value"), none, one, none).alias("m"))
     folded = windows.cumulative_affine(rows, "m", ["user_id"], "at", 2)
-    flat = folded.select("user_id", F.explode(F.arrays_zip("at", "m")).alias("r"))
-    return flat.select("user_id", F.col("r.at.event_id").alias("event_id"), F.round(F.element_at("r.m", 3), 4).alias("tx"))
+    return folded.select("user_id", F.col("at.event_id").alias("event_id"), F.round(F.element_at("m", 3), 4).alias("tx"))
