@@ -196,3 +196,20 @@ def test_running_peaks(spark, tmp_path):
     query = stream.writeStream.format("memory").queryName("peaks").outputMode("append").option("checkpointLocation", str(tmp_path / "ck")).trigger(availableNow=True).start()
     query.awaitTermination()
     assert sorted((r.x, r.n) for r in spark.table("peaks").collect()) == [(pytest.approx(3.5 / 3), 3), (10.0, 1)]
+
+
+def test_region_source(spark, tmp_path):
+    from veldmark.sources.regions import read_region
+
+    grid = np.arange(60, dtype=">u2").reshape(10, 6)
+    for name in ("a.raw", "b.raw"):
+        (tmp_path / name).write_bytes(b"headhead" + grid.tobytes())
+    paths = [f"file://{tmp_path}/a.raw", str(tmp_path / "b.raw")]
+    df = read_region(spark, paths, 6, 10, header=8, x0=1, x1=3, y0=2, y1=8, rows=3)
+    assert df.rdd.getNumPartitions() == 6
+    got = df.orderBy("path", "y").collect()
+    assert [r.data for r in got] == grid[2:9, 1:4].tolist() * 2 and got[0].x == 1
+    few = read_region(spark, paths[0], 6, 10, header=8, rows=3).where("y >= 4 AND y < 7")
+    assert few.rdd.getNumPartitions() == 1 and sorted(r.y for r in few.collect()) == [4, 5, 6]
+    with pytest.raises(Exception, match="within the image"):
+        read_region(spark, paths, 6, 10, x1=6).collect()

@@ -63,7 +63,7 @@ def exported_chunk(value: Column | str, low: float, high: float, inverted: bool
     return 255 - byte if inverted else byte
 
 
-def training_image(width: int, height: int, lines: int, blur: float, noise: float, seed: int = 69) -> tuple[np.ndarray, np.ndarray]:
+def training_image(width: int, height: int, lines: int, blur: float, noise: float, seed: int = 7) -> tuple[np.ndarray, np.ndarray]:
     """A synthetic image of filled lines with blur and noise, and its mask: a fixture for classifiers."""
     rng = np.random.default_rng(seed)
     mask = np.zeros((height, width), bool)

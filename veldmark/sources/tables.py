@@ -10,6 +10,8 @@ from pyspark.sql import functions as F
 
 from veldmark.functions.text import quoted_labels
 
+# File names of time points and cameras, and columns of skeletons and contacts.
+TIME_POINTS = r"TM(\d+)/SPM00_TM\d+_CM(\d+)_CHN0[01]\.klb$"
 SKELETONS = "skeleton_id long, treenode_id long, parent_id long, x double, y double, z double"
 SYNAPSES = "pre_skeleton_id long, pre_treenode_id long, post_skeleton_id long, post_treenode_id long"
 
@@ -193,7 +195,7 @@ def listing(spark: SparkSession, folder: str, suffix: str = "", pattern: str | N
     return found if size is None else found.where(F.col("length") == size)
 
 
-def time_points(found: DataFrame, pattern: str = r"TM(\d+)/SPM00_TM\d+_CM(\d+)_CHN0[01]\.klb$", first: int | None = None, last: int | None = None) -> DataFrame:
+def time_points(found: DataFrame, pattern: str = TIME_POINTS, first: int | None = None, last: int | None = None) -> DataFrame:
     """path, t and camera of the files of a listing that match; a range of t prunes."""
     rows = found.where(F.rlike("path", F.lit(pattern))).select("path", F.regexp_extract("path", pattern, 1).cast("int").alias("t"), F.regexp_extract("path", pattern, 2).alias("camera"))
     return rows.where((F.col("t") >= first if first is not None else F.lit(True)) & (F.col("t") <= last if last is not None else F.lit(True)))
