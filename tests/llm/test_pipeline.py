@@ -51,3 +51,20 @@ def test_run_equals_brute_force(spark, tmp_path):
     for name, f in corpus_pipeline.STAGES[:-1]:
         stage = f(spark, stage, str(tmp_path))
         assert stage.columns == docs.columns, name
+
+
+def test_odd_rows_pass_every_stage(spark, tmp_path):
+    import corpus_pipeline
+
+    long = " ".join(prose("en", 40) for _ in range(200))
+    rows = [(1, None, None, None, None), (None, prose("en", 30), "en", None, 1), (3, "", "en", "s", 0), (3, "", "en", "s", 0), (4, long, "en", "s", 1), (5, long + " x", None, "s", 1), (6, "12 34", "en", "s", 1), (7, prose("fr", 30), "fr", "s", 1), (7, prose("fr", 30), "fr", "s", 1), (8, prose("fr", 25), "fr", "s", 1)]
+    rows.append(rows[-1])
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long")
+    spark.createDataFrame([(0, None), (1, ""), (2, prose("en", 9))], "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    for table, want in ((docs, ["4", "7", "7", "8", "None"]), (docs.limit(0), []), (docs.where("text IS NULL"), [])):
+        stage = table
+        for _, f in corpus_pipeline.STAGES[:-1]:
+            stage = f(spark, stage, str(tmp_path))
+            assert stage.columns == docs.columns
+        out = corpus_pipeline.STAGES[-1][1](spark, stage, str(tmp_path))
+        assert sorted(str(r.doc_id) for r in out.collect()) == want
