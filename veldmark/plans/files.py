@@ -69,3 +69,36 @@ def sk9_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = _place(spark)
     sinks.chunks(table(spark, sf_dir, "embeddings"), path, ["label"], level=4)
     return spark.read.parquet(path).groupBy("label").agg(F.count(F.lit(1)).alias("n"))
+
+
+@query("SELECT row_number() OVER (ORDER BY c_custkey) - 1 AS at, [CAST(c_custkey AS DOUBLE), 0, c_acctbal, 0, 1, 2] AS matrix FROM customer")
+def sc8_whole_matrices_csv(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every customer's map, in as many parts as the table needs."""
+    path = _place(spark)
+    cells = [F.col(c).cast("double") if isinstance(c, str) else F.lit(float(c)) for c in ("c_custkey", 0, "c_acctbal", 0, 1, 2)]
+    sinks.matrices_csv(table(spark, sf_dir, "customer").select("c_custkey", F.array(*cells).alias("m")), path, "m", "c_custkey", 2, one_file=False)
+    return tables.matrices(spark, path, parts=True).select("at", "matrix")
+
+
+@query("SELECT row_number() OVER (PARTITION BY i ORDER BY vec_id) - 1 AS t, i - 1 AS peak, CAST(i AS DOUBLE) AS x, embedding[i] AS f FROM embeddings, range(1, 65) r(i)")
+def sc9_whole_series_csv(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All elements of every vector, in as many parts as the table needs."""
+    path = _place(spark)
+    rows = table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("t"), F.posexplode("embedding").alias("peak", "f"))
+    sinks.series_csv(rows.withColumns({"x": F.col("peak") + 1.0, "y": F.lit(2.0), "z": F.lit(3.5)}), path, "t", "f", one_file=False)
+    return tables.fluorescence(spark, path, parts=True).select("t", F.col("peak").cast("long").alias("peak"), "x", "f")
+
+
+@query("SELECT event_id, event_type, value FROM events")
+def sk8_whole_json(spark: SparkSession, sf_dir: str) -> DataFrame:
+    path = _place(spark)
+    sinks.json_rows(table(spark, sf_dir, "events").select("event_id", "event_type", "value"), path)
+    return spark.read.schema("event_id long, event_type string, value double").json(path)
+
+
+@query("SELECT 'Key' || p_partkey AS key, '@article{Key' || p_partkey || ',' || chr(10) || ' title={' || p_name || '}' || chr(10) || '}' AS body FROM part")
+def sc32_whole_bibliography(spark: SparkSession, sf_dir: str) -> DataFrame:
+    path = _place(spark)
+    body = F.concat(F.lit("@article{Key"), F.col("p_partkey"), F.lit(",\n title={"), "p_name", F.lit("}\n}"))
+    sinks.bibliography_text(table(spark, sf_dir, "part").select(F.concat(F.lit("Key"), F.col("p_partkey")).alias("key"), body.alias("body")), path, one_file=False)
+    return tables.bibliography(spark, path).select("key", F.rtrim(F.regexp_replace("body", "\n+$", "")).alias("body"))

@@ -7,6 +7,9 @@ from pyspark.sql import functions as F
 
 from veldmark.functions.text import coordinates_label
 
+#: Rows of a file of a table that is left in parts: readers of positions hold a file as a whole.
+PART_ROWS = 20_000
+
 
 def csv(df: DataFrame, path: str, header: bool = True, one_file: bool = False) -> None:
     """Comma-separated, text in quotes, numbers plain.
@@ -21,7 +24,12 @@ def csv(df: DataFrame, path: str, header: bool = True, one_file: bool = False) -
     if header:
         head = df.sparkSession.createDataFrame([(",".join(f'"{c}"' for c in df.columns), -1)], "value string, at long")
         rows = head.coalesce(1).union(rows)
-    (rows.coalesce(1).sortWithinPartitions("at") if one_file else rows).select("value").write.mode("overwrite").text(path)
+    _text(rows.coalesce(1).sortWithinPartitions("at") if one_file else rows, path, one_file)
+
+
+def _text(rows: DataFrame, path: str, one_file: bool) -> None:
+    writer = rows.select("value").write.mode("overwrite")
+    (writer if one_file else writer.option("maxRecordsPerFile", PART_ROWS)).text(path)
 
 
 def edges_csv(edges: DataFrame, path: str) -> None:
@@ -35,18 +43,18 @@ def with_parameters(df: DataFrame, path: str, params: dict) -> None:
     df.withColumn("params", F.create_map(*pairs) if pairs else F.lit(None).cast("map<string,string>")).write.mode("overwrite").parquet(path)
 
 
-def matrices_csv(df: DataFrame, path: str, matrix: str, order: str, d: int) -> None:
+def matrices_csv(df: DataFrame, path: str, matrix: str, order: str, d: int, one_file: bool = True) -> None:
     """Maps in row order under the heading m00, m01, ..."""
     cells = [F.get(matrix, F.lit(i * (d + 1) + j)).alias(f"m{i}{j}") for i in range(d) for j in range(d + 1)]
-    csv(df.orderBy(order).select(*cells), path, one_file=True)
+    csv(df.orderBy(order).select(*cells), path, one_file=one_file)
 
 
-def series_csv(df: DataFrame, path: str, time: str, value: str) -> None:
+def series_csv(df: DataFrame, path: str, time: str, value: str, one_file: bool = True) -> None:
     """Wide series: a row per time point, a column x::y::z per peak. The peaks' names, as many as the table is wide, go through the driver."""
     labelled = df.withColumn("_label", coordinates_label("x", "y", "z"))
     names = [r["_label"] for r in labelled.groupBy("_label").agg(F.min("peak").alias("p")).orderBy("p").select("_label").collect()]
     wide = labelled.groupBy(time).pivot("_label", names).agg(F.first(value)).orderBy(time)
-    csv(wide.select(F.col(time).alias("timepoint"), *[F.col(f"`{n}`") for n in names]), path, one_file=True)
+    csv(wide.select(F.col(time).alias("timepoint"), *[F.col(f"`{n}`") for n in names]), path, one_file=one_file)
 
 
 def dense_csvs(counts: DataFrame, path: str, ids: list, parts: tuple[str, str] = ("axon", "dendrite")) -> None:
@@ -77,9 +85,10 @@ def visible_paths(df: DataFrame, path: str) -> None:
     df.where("visible").select("path").write.mode("overwrite").text(path)
 
 
-def bibliography_text(entries: DataFrame, path: str) -> None:
-    """Entries (key, body) by key, as text."""
-    entries.orderBy("key").select(F.col("body").alias("value")).coalesce(1).write.mode("overwrite").text(path)
+def bibliography_text(entries: DataFrame, path: str, one_file: bool = True) -> None:
+    """Entries (key, body) by key, as text; in parts, an entry is in one of them."""
+    rows = entries.orderBy("key").select(F.col("body").alias("value"))
+    _text(rows.coalesce(1) if one_file else rows, path, one_file)
 
 
 def first_unused(spark, path: str) -> str:

@@ -22,10 +22,15 @@ def lines(spark: SparkSession, path: str) -> DataFrame:
     return whole.select("file", F.posexplode(F.split("value", "\r?\n")).alias("at", "line"))
 
 
-def filled_lines(spark: SparkSession, path: str) -> DataFrame:
-    """The same without blank lines, numbered anew."""
+def filled_lines(spark: SparkSession, path: str, parts: bool = False) -> DataFrame:
+    """The same without blank lines, numbered anew. With parts, the files one after the other, by name, are one table, and file is the path."""
     found = lines(spark, path).where(F.trim("line") != "")
-    return found.withColumn("at", F.row_number().over(W.partitionBy("file").orderBy("at")) - 1)
+    own = found.withColumn("at", F.row_number().over(W.partitionBy("file").orderBy("at")) - 1)
+    if not parts:
+        return own
+    before = F.sum("n").over(W.orderBy("file").rowsBetween(W.unboundedPreceding, -1))  # a row per file
+    starts = found.groupBy("file").agg(F.count(F.lit(1)).alias("n")).select("file", F.coalesce(before, F.lit(0)).alias("start"))
+    return own.join(F.broadcast(starts), "file").select(F.lit(path).alias("file"), (F.col("at") + F.col("start")).alias("at"), "line")
 
 
 def labelled_matrix(spark: SparkSession, path: str, separator: str = ",", kind: str = "int") -> DataFrame:
@@ -90,15 +95,15 @@ def parameters_agree(params: Column, expected: dict[str, str], epsilon: float) -
     return F.forall(F.map_entries(params), lambda e: same(e["key"], e["value"]))
 
 
-def matrices(spark: SparkSession, path: str) -> DataFrame:
-    """at and matrix (array<double>) of a table with one header line; blank rows don't count."""
-    found = filled_lines(spark, path).where("at > 0")
+def matrices(spark: SparkSession, path: str, parts: bool = False) -> DataFrame:
+    """at and matrix (array<double>) of a table with one header line; blank rows don't count. With parts, the files are one table."""
+    found = filled_lines(spark, path, parts).where("at > 0")
     return found.select("file", (F.col("at") - 1).alias("at"), F.transform(F.split("line", ","), lambda t: F.trim(t).cast("double")).alias("matrix"))
 
 
-def fluorescence(spark: SparkSession, path: str) -> DataFrame:
-    """file, t, peak, x, y, z, f (float): the header of the column of each peak is x::y::z, the first column the time point."""
-    found = filled_lines(spark, path)
+def fluorescence(spark: SparkSession, path: str, parts: bool = False) -> DataFrame:
+    """file, t, peak, x, y, z, f (float): the header of the column of each peak is x::y::z, the first column the time point. With parts, the files are one table."""
+    found = filled_lines(spark, path, parts)
     heads = found.where("at = 0").select("file", F.posexplode(F.slice(F.split("line", ","), 2, 1 << 20)).alias("peak", "label"))
     part = lambda i: F.trim(F.get(F.split(F.trim("label", F.lit(' "')), "::"), F.lit(i))).cast("double")
     peaks = heads.select("file", "peak", part(0).alias("x"), part(1).alias("y"), part(2).alias("z"))
