@@ -2,6 +2,7 @@
 
 import pytest
 
+from veldmark.functions import numeric
 from veldmark.plans import catalogue
 from veldmark.sources import sinks, tables
 
@@ -29,3 +30,10 @@ def test_parts_are_one_table(spark, tmp_path, monkeypatch):
     assert sorted((r.t, r.peak, r.f) for r in tables.fluorescence(spark, str(tmp_path / "s"), parts=True).collect()) == [(t, p, float(t * 10 + p)) for t in range(30) for p in range(3)]
     sinks.bibliography_text(spark.range(50).selectExpr("concat('K', id) AS key", "concat('@book{K', id, ',\n}') AS body"), str(tmp_path / "b"), one_file=False)
     assert {r.key for r in tables.bibliography(spark, str(tmp_path / "b")).collect()} == {f"K{i}" for i in range(50)}
+
+
+def test_all_bytes_are_reversed(spark):
+    assert catalogue.queries()["f21_whole_reversed_bytes"](spark, SF).count() == rows(spark, "part").count()
+    keys = [0, 1, -1, 127, 128, 255, 256, 200_000_000, 1 << 56, 128 << 56 - 1, -(1 << 63), (1 << 63) - 1, 0x0102030405060708, -0x0102030405060708]
+    got = spark.createDataFrame([(k,) for k in keys], "k long").select("k", numeric.reverse_bytes("k").alias("flipped")).collect()
+    assert {r.k: r.flipped for r in got} == {k: int.from_bytes(k.to_bytes(8, "little", signed=True), "big", signed=True) for k in keys}

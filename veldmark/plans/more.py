@@ -219,6 +219,15 @@ def f21_reversed_bytes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "part").where("p_partkey < 100").select("p_partkey", numeric.reverse_bytes("p_partkey").alias("flipped"))
 
 
+FLIPPED = " + ".join(f"CAST((p_partkey >> {8 * i}) & 255 AS HUGEINT) * {1 << (56 - 8 * i)}" for i in range(8))
+
+
+@query(f"WITH u AS (SELECT p_partkey, {FLIPPED} AS u FROM part) SELECT p_partkey, CAST(CASE WHEN u >= 9223372036854775808 THEN u - 18446744073709551616 ELSE u END AS BIGINT) AS flipped FROM u")
+def f21_whole_reversed_bytes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All eight bytes of every key; the SQL sums them beyond a long and wraps."""
+    return table(spark, sf_dir, "part").select("p_partkey", numeric.reverse_bytes("p_partkey").alias("flipped"))
+
+
 @query("SELECT p_partkey, p_partkey % 7 AS x, p_partkey // 7 AS y, p_partkey AS back FROM part")
 def f22_grid(spark: SparkSession, sf_dir: str) -> DataFrame:
     at = table(spark, sf_dir, "part").select("p_partkey", numeric.grid_position("p_partkey", 7).alias("at"))
