@@ -37,3 +37,10 @@ def test_all_bytes_are_reversed(spark):
     keys = [0, 1, -1, 127, 128, 255, 256, 200_000_000, 1 << 56, 128 << 56 - 1, -(1 << 63), (1 << 63) - 1, 0x0102030405060708, -0x0102030405060708]
     got = spark.createDataFrame([(k,) for k in keys], "k long").select("k", numeric.reverse_bytes("k").alias("flipped")).collect()
     assert {r.k: r.flipped for r in got} == {k: int.from_bytes(k.to_bytes(8, "little", signed=True), "big", signed=True) for k in keys}
+
+
+def test_reports_list_everything_in_order(spark):
+    report = [(r.n, r.o_custkey) for r in catalogue.queries()["o1_whole_report"](spark, SF).collect()]
+    assert report == sorted(report, key=lambda r: (-r[0], r[1])) and len(report) == rows(spark, "orders").select("o_custkey").distinct().count() > 50
+    suffixes = [r.suffix for r in catalogue.queries()["o3_whole_integer_suffix"](spark, SF).collect()]
+    assert suffixes == sorted(suffixes) and len(suffixes) == rows(spark, "nation").count() == 25

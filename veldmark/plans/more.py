@@ -137,6 +137,12 @@ def o1_report(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "orders").groupBy("o_custkey").agg(F.count(F.lit(1)).alias("n")).orderBy(F.desc("n"), "o_custkey").limit(50)
 
 
+@query("SELECT o_custkey, count(*) AS n FROM orders GROUP BY o_custkey ORDER BY n DESC, o_custkey")
+def o1_whole_report(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every customer, most orders first."""
+    return table(spark, sf_dir, "orders").groupBy("o_custkey").agg(F.count(F.lit(1)).alias("n")).orderBy(F.desc("n"), "o_custkey")
+
+
 @query("SELECT c_custkey, CAST(row_number() OVER (PARTITION BY c_nationkey ORDER BY c_name, c_custkey) AS INT) AS place FROM customer")
 def o2_by_name(spark: SparkSession, sf_dir: str) -> DataFrame:
     return windows.row_index(table(spark, sf_dir, "customer"), ["c_nationkey"], ["c_name", "c_custkey"], "place").select("c_custkey", "place")
@@ -147,6 +153,11 @@ def o3_integer_suffix(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "nation").select("n_nationkey", F.element_at(F.split("n_name", "_"), 2).cast("int").alias("suffix")).orderBy("suffix").limit(12)
 
 
+@query("SELECT n_nationkey, CAST(split_part(n_name, '_', 2) AS INT) AS suffix FROM nation ORDER BY suffix")
+def o3_whole_integer_suffix(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return table(spark, sf_dir, "nation").select("n_nationkey", F.element_at(F.split("n_name", "_"), 2).cast("int").alias("suffix")).orderBy("suffix")
+
+
 @query("SELECT p_partkey FROM part ORDER BY p_partkey LIMIT 30 OFFSET 20")
 def o6_slice(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sets.page(table(spark, sf_dir, "part").select("p_partkey"), ["p_partkey"], 20, 30)
