@@ -3,6 +3,7 @@
 import pytest
 
 from veldmark.functions import numeric
+from veldmark.operators import images
 from veldmark.plans import catalogue
 from veldmark.sources import sinks, tables
 
@@ -44,3 +45,20 @@ def test_reports_list_everything_in_order(spark):
     assert report == sorted(report, key=lambda r: (-r[0], r[1])) and len(report) == rows(spark, "orders").select("o_custkey").distinct().count() > 50
     suffixes = [r.suffix for r in catalogue.queries()["o3_whole_integer_suffix"](spark, SF).collect()]
     assert suffixes == sorted(suffixes) and len(suffixes) == rows(spark, "nation").count() == 25
+
+
+def test_images_keep_all_rows(spark):
+    n = rows(spark, "embeddings").count()
+    turned = catalogue.queries()["v6_whole_rotate"](spark, SF)
+    assert turned.count() == 64 * n and turned.agg({"x": "min"}).first()[0] == 0 and turned.agg({"x": "max"}).first()[0] == n - 1
+    assert catalogue.queries()["w6_whole_block_sums"](spark, SF).count() == 61 * (n - 2)
+    assert catalogue.queries()["n18_whole_window_mean"](spark, SF).count() == 64 * n
+
+
+@pytest.mark.parametrize("band", [1, 2, 3, 5, 100])
+def test_block_sums_over_bands(spark, band):
+    """Blocks across the edges of bands, even over several bands, against brute force."""
+    value = lambda x, y: (7 * x + 13 * y + x * y) % 11
+    df = spark.createDataFrame([(x, y, float(value(x, y))) for x in range(6) for y in range(11)], "x long, y long, v double")
+    got = {(r.x, r.y): r["sum"] for r in images.block_sums_in_bands(df, "x", "y", "v", 3, 4, band).collect()}
+    assert got == {(x, y): sum(value(x + i, y + j) for i in range(3) for j in range(4)) for x in range(4) for y in range(8)}

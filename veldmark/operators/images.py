@@ -112,13 +112,24 @@ def pyramid(df: DataFrame, axes: list[str], level: int, value: str) -> DataFrame
     return df.groupBy(*[F.floor(F.col(a) / (1 << level)).alias(a) for a in axes]).agg(F.avg(value).alias(value))
 
 
-def block_sums(integral: DataFrame, x: str, y: str, value: str, width: int, height: int) -> DataFrame:
-    """Sum of each width x height block that begins at a pixel, from four corners of an integral image."""
-    corner = lambda dx, dy, name: integral.select((F.col(x) - dx).alias(x), (F.col(y) - dy).alias(y), F.col(value).alias(name))
+def block_sums(integral: DataFrame, x: str, y: str, value: str, width: int, height: int, by: tuple[str, ...] = ()) -> DataFrame:
+    """Sum of each width x height block that begins at a pixel, from four corners of an integral image, or of one for each by."""
+    corner = lambda dx, dy, name: integral.select(*by, (F.col(x) - dx).alias(x), (F.col(y) - dy).alias(y), F.col(value).alias(name))
+    keys = [*by, x, y]
     far = corner(width - 1, height - 1, "_d")
-    joined = far.join(corner(-1, height - 1, "_b"), [x, y], "left").join(corner(width - 1, -1, "_c"), [x, y], "left").join(corner(-1, -1, "_a"), [x, y], "left")
+    joined = far.join(corner(-1, height - 1, "_b"), keys, "left").join(corner(width - 1, -1, "_c"), keys, "left").join(corner(-1, -1, "_a"), keys, "left")
     none = F.lit(0)
-    return joined.where((F.col(x) >= 0) & (F.col(y) >= 0)).select(x, y, (F.col("_d") - F.coalesce("_b", none) - F.coalesce("_c", none) + F.coalesce("_a", none)).alias("sum"))
+    return joined.where((F.col(x) >= 0) & (F.col(y) >= 0)).select(*keys, (F.col("_d") - F.coalesce("_b", none) - F.coalesce("_c", none) + F.coalesce("_a", none)).alias("sum"))
+
+
+def block_sums_in_bands(df: DataFrame, x: str, y: str, value: str, width: int, height: int, band: int = 256) -> DataFrame:
+    """block_sums of an image of any height: integral images of bands of rows, each with the first rows of the next, so no column is in one task."""
+    from veldmark.operators.windows import prefix_sum_2d
+
+    first = F.greatest(F.floor((F.col(y) - height + 1) / band), F.lit(0))
+    spread = df.select(x, y, value, F.explode(F.sequence(first, F.floor(F.col(y) / band))).alias("_band"))
+    sums = block_sums(prefix_sum_2d(spread, x, y, value, ["_band"]), x, y, "integral", width, height, ("_band",))
+    return sums.where(F.col(y) >= F.col("_band") * band).drop("_band")  # blocks that begin in the band
 
 
 def shifted(df: DataFrame, axes: dict[str, int], value: str, name: str) -> DataFrame:

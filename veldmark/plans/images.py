@@ -67,6 +67,12 @@ def v6_rotate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return images.rotated(image(spark, sf_dir).where("y < 50").select("x", "y", "v"), "x", "y", 64, 50)
 
 
+@query(f"WITH {IMAGE} SELECT (SELECT max(vec_id) FROM embeddings) - y AS x, x AS y, v FROM img")
+def v6_whole_rotate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    height = (table(spark, sf_dir, "embeddings").agg(F.max("vec_id")).first()[0] or 0) + 1
+    return images.rotated(image(spark, sf_dir).select("x", "y", "v"), "x", "y", 64, height)
+
+
 @query(f"WITH {IMAGE}, w AS (SELECT i AS x, j AS y FROM range(-3, 68) a(i), range(-2, 12) b(j)) SELECT w.x, w.y, coalesce(v, 0) AS v FROM w LEFT JOIN img USING (x, y)")
 def v7_extend_zero(spark: SparkSession, sf_dir: str) -> DataFrame:
     return images.extended(image(spark, sf_dir).select("x", "y", "v"), around(spark), {"x": 64, "y": 500}, "v", "zero")
@@ -131,6 +137,14 @@ def w6_block_sums(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rounded(images.block_sums(part, "x", "y", "integral", 4, 3), "sum")
 
 
+@query(f"""
+    WITH {IMAGE}, r AS (SELECT x, y, sum(v) OVER (PARTITION BY y ORDER BY x RANGE BETWEEN CURRENT ROW AND 3 FOLLOWING) AS s FROM img),
+    b AS (SELECT x, y, sum(s) OVER (PARTITION BY x ORDER BY y RANGE BETWEEN CURRENT ROW AND 2 FOLLOWING) AS s FROM r)
+    SELECT x, y, round(s, 6) AS sum FROM b WHERE x <= 60 AND y <= (SELECT max(vec_id) - 2 FROM embeddings)""")
+def w6_whole_block_sums(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return rounded(images.block_sums_in_bands(image(spark, sf_dir), "x", "y", "v", 4, 3), "sum")
+
+
 @query(f"""WITH {IMAGE} SELECT x, y, round(0.25 * coalesce(lag(v) OVER w, v) + 0.5 * v + 0.25 * coalesce(lead(v) OVER w, v), 6) AS filtered FROM img WINDOW w AS (PARTITION BY y ORDER BY x)""")
 def w7_convolve(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rounded(windows.convolve(image(spark, sf_dir), "v", ["y"], "x", [0.25, 0.5, 0.25]).select("x", "y", "filtered"), "filtered")

@@ -256,6 +256,12 @@ def n18_window_mean(spark: SparkSession, sf_dir: str) -> DataFrame:
     return image(spark, sf_dir).where("label = 0").select("x", "y", F.round(F.avg("v").over(w), 6).alias("mean"))
 
 
+@query(f"WITH {IMAGE} SELECT x, y, round(avg(v) OVER (PARTITION BY y ORDER BY x RANGE BETWEEN 3 PRECEDING AND 3 FOLLOWING), 6) AS mean FROM img")
+def n18_whole_window_mean(spark: SparkSession, sf_dir: str) -> DataFrame:
+    w = W.partitionBy("y").orderBy("x").rangeBetween(-3, 3)
+    return image(spark, sf_dir).select("x", "y", F.round(F.avg("v").over(w), 6).alias("mean"))
+
+
 @query()
 def n13_phase_correlation(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The shift between each vector as an 8 x 8 image and the same image moved by (2, 3); a Fourier transform has no SQL."""
