@@ -3,9 +3,12 @@
 from __future__ import annotations
 
 import pickle
+import zlib
+from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -15,8 +18,10 @@ from veldmark.llm._text import hash_runs, words
 BITS = 15
 WORD_DIM, MARK_DIM, NONZERO = 48, 48, 4
 WINDOW = 2
+#: Blocks of words in which tasks pass on their tables.
+BLOCKS = 64
 HIDDEN = 32
-#: Bounds of the sample that trains vectors and network: labelled rows, and characters together.
+#: Bounds of the sample that trains the network: labelled rows, and characters together. Word vectors come from all documents.
 FIT_ROWS, FIT_CHARS = 4000, 24_000_000
 THRESHOLD = 0.7
 
@@ -113,37 +118,84 @@ def pool(word_vectors: np.ndarray, mark_vectors: np.ndarray, texts: list[str]) -
     return np.vstack(out) if out else np.zeros((0, WORD_DIM + MARK_DIM + 2))
 
 
-def random_indexing(texts: list[str], seed: int = 11) -> tuple[np.ndarray, np.ndarray]:
-    """Word vectors: the sum of the index vectors of the words around each word, scaled to length one. Marks keep their index vectors."""
-    n = 1 << BITS
-    dims, signs = _index_vectors(n, WORD_DIM, seed)
-    total = np.zeros(n * WORD_DIM)
-    for a, b in common.slices(texts, 1 << 20):
-        t = tokens(texts[a:b])
-        text_of = np.repeat(np.arange(b - a), np.diff(t.word_at))
+def add_contexts(total: np.ndarray, texts: list[str], dims: np.ndarray, signs: np.ndarray) -> None:
+    """Add to the flat table total, at each word, the index vectors of the words around it."""
+    for a, b in common.slices(texts, 1 << 21):
+        found = words(texts[a:b])
+        word = (found.hashes >> np.uint64(64 - BITS)).astype(np.int64)
+        text_of = np.repeat(np.arange(b - a), np.diff(found.first))
+        here, there = [], []
         for shift in range(1, WINDOW + 1):
-            left, right = t.word[:-shift], t.word[shift:]
             same = text_of[:-shift] == text_of[shift:]
-            for here, there in ((left[same], right[same]), (right[same], left[same])):
-                for j in range(NONZERO):
-                    total += np.bincount(here * WORD_DIM + dims[there, j], weights=signs[there, j], minlength=len(total))
+            left, right = word[:-shift][same], word[shift:][same]
+            here += [left, right]
+            there += [right, left]
+        at, other = np.concatenate(here) * WORD_DIM, np.concatenate(there)
+        for k in range(NONZERO):
+            total += np.bincount(at + dims[other, k], weights=signs[other, k], minlength=len(total))
+
+
+def random_indexing(docs: DataFrame, text_col: str = "text", seed: int = 11) -> np.ndarray:
+    """Word vectors over all texts: the sum of the index vectors of the words around each word, scaled to length one.
+
+    Each task sums its texts into one table and passes it on in blocks of words,
+    which are added up by block; only the final table comes to the driver. All
+    sums are of integers, so their order doesn't matter.
+    """
+    n, size = 1 << BITS, (1 << BITS) * WORD_DIM // BLOCKS
+    schema = pa.schema([("block", pa.int32()), ("kind", pa.string()), ("counts", pa.binary())])
+
+    def packed(k: int, counts: np.ndarray) -> pa.RecordBatch:
+        whole = counts.astype(np.int64)
+        kind = next(t for t in ("i1", "i2", "i4", "i8") if np.abs(whole).max(initial=0) <= np.iinfo(t).max)
+        return pa.RecordBatch.from_pydict({"block": [k], "kind": [kind], "counts": [zlib.compress(whole.astype(kind).tobytes(), 1)]}, schema=schema)
+
+    def gather(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        dims, signs = _index_vectors(n, WORD_DIM, seed)
+        total = np.zeros(n * WORD_DIM)
+        for batch in batches:
+            add_contexts(total, [t or "" for t in batch.column(0).to_pylist()], dims, signs)
+        for k, counts in enumerate(total.reshape(BLOCKS, size)):
+            if counts.any():
+                yield packed(k, counts)
+
+    def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        sums: dict[int, np.ndarray] = {}
+        for batch in batches:
+            for k, kind, counts in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                own = sums.setdefault(k, np.zeros(size, np.int64))
+                own += np.frombuffer(zlib.decompress(counts), kind)
+        for k, own in sums.items():
+            yield packed(k, own)
+
+    docs.sparkSession.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(common.BATCH_ROWS))
+    kind = "block int, kind string, counts binary"
+    tables = docs.select(F.col(text_col)).mapInArrow(gather, kind).repartition("block").mapInArrow(add, kind).collect()
+    total = np.zeros((BLOCKS, size))
+    for r in tables:
+        total[r["block"]] = np.frombuffer(zlib.decompress(r["counts"]), r["kind"])
     vectors = total.reshape(n, WORD_DIM)
     length = np.linalg.norm(vectors, axis=1, keepdims=True)
-    vectors = np.divide(vectors, length, out=np.zeros_like(vectors), where=length > 0)
+    return np.divide(vectors, length, out=np.zeros_like(vectors), where=length > 0).astype(np.float32)
+
+
+def mark_index(seed: int = 12) -> np.ndarray:
+    """Marks keep their index vectors."""
+    n = 1 << BITS
     marks = np.zeros((n + SHAPES, MARK_DIM))
-    mark_dims, mark_signs = _index_vectors(n + SHAPES, MARK_DIM, seed + 1)
+    dims, signs = _index_vectors(n + SHAPES, MARK_DIM, seed)
     for j in range(NONZERO):
-        np.add.at(marks, (np.arange(n + SHAPES), mark_dims[:, j]), mark_signs[:, j])
-    return vectors.astype(np.float32), marks.astype(np.float32)
+        np.add.at(marks, (np.arange(n + SHAPES), dims[:, j]), signs[:, j])
+    return marks.astype(np.float32)
 
 
 def _logits(x: np.ndarray, m: Model) -> np.ndarray:
     return np.tanh(((x - m.mean) / m.scale) @ m.w1 + m.b1) @ m.w2 + m.b2
 
 
-def train(texts: list[str], labels: np.ndarray, seed: int = 5, steps: int = 400, rate: float = 0.02, decay: float = 1e-3) -> Model:
-    """Fit vectors and network; every fifth text stays out of the network and sets the temperature."""
-    word_vectors, mark_vectors = random_indexing(texts)
+def train(texts: list[str], labels: np.ndarray, word_vectors: np.ndarray, seed: int = 5, steps: int = 400, rate: float = 0.02, decay: float = 1e-3) -> Model:
+    """Fit the network over given word vectors; every fifth text stays out of it and sets the temperature."""
+    mark_vectors = mark_index()
     x = pool(word_vectors, mark_vectors, texts)
     apart = np.arange(len(texts)) % 5 == 4 if len(texts) >= 50 else np.zeros(len(texts), bool)
     rng = np.random.default_rng(seed)
@@ -179,28 +231,31 @@ def score(model: Model | None, texts: list[str | None]) -> np.ndarray:
 
 
 def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality", rows: int = FIT_ROWS, chars: int = FIT_CHARS) -> Model | None:
-    """Train on labelled rows that aren't held out: the first by a hash of the id, up to both bounds. None without labels."""
+    """Word vectors of all documents, and a network trained on labelled rows that aren't held out: the first by a hash of the id, up to both bounds.
+
+    A text for which no characters are left is passed over; if all are too long, the shortest is taken. None without labels.
+    """
     marked = labels.where(F.col(label_col).isNotNull() & ~common.held_out(id_col)).groupBy(F.col(id_col).alias("label_id")).agg(F.max(label_col).alias("label"))
     chosen = marked.orderBy(F.xxhash64("label_id"), "label_id").limit(rows)
     pairs = docs.select(F.col(id_col).alias("id"), F.coalesce(F.col(text_col), F.lit("")).alias("text")).join(F.broadcast(chosen), F.col("id") == F.col("label_id"))
-    texts, found, total = [], [], 0
-    sizes = pairs.select("id", F.length("text").alias("n")).orderBy(F.xxhash64("id"), "id").limit(rows).collect()
-    last = None
+    found, total = set(), 0
+    sizes = pairs.select("id", F.length("text").alias("n")).orderBy(F.xxhash64("id"), "id", "n").limit(rows).collect()
     for r in sizes:
-        total += r["n"]
-        if total > chars and found:
-            break
-        found.append(r["id"])
-        last = r["id"]
-    if last is None:
+        if total + r["n"] <= chars:
+            total += r["n"]
+            found.add((r["id"], r["n"]))
+    if not sizes:
         return None
-    keep = set(found)
-    order = F.xxhash64("id") <= F.xxhash64(F.lit(last).cast(dict(pairs.dtypes)["id"]))
-    taken = sorted(((r["id"], r["text"], r["label"]) for r in pairs.where(order).select("id", "text", "label").toLocalIterator() if r["id"] in keep), key=lambda r: (r[0], r[1]))
+    if not found:
+        least = min(sizes, key=lambda r: r["n"])
+        found.add((least["id"], least["n"]))
+    keep = docs.sparkSession.createDataFrame(sorted(found), f"id {dict(pairs.dtypes)['id']}, n int")
+    within = pairs.withColumn("n", F.length("text")).join(F.broadcast(keep), ["id", "n"], "left_semi")
+    taken = sorted(((r["id"], r["text"], r["label"]) for r in within.select("id", "text", "label").toLocalIterator()), key=lambda r: (r[0], r[1]))
     rng = np.random.default_rng(1)
     taken = [taken[i] for i in rng.permutation(len(taken))]
     texts = [t for _, t, _ in taken]
-    return train(texts, np.array([int(y) for *_, y in taken]))
+    return train(texts, np.array([int(y) for *_, y in taken]), random_indexing(docs, text_col))
 
 
 def quality(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
