@@ -62,3 +62,15 @@ def test_block_sums_over_bands(spark, band):
     df = spark.createDataFrame([(x, y, float(value(x, y))) for x in range(6) for y in range(11)], "x long, y long, v double")
     got = {(r.x, r.y): r["sum"] for r in images.block_sums_in_bands(df, "x", "y", "v", 3, 4, band).collect()}
     assert got == {(x, y): sum(value(x + i, y + j) for i in range(3) for j in range(4)) for x in range(4) for y in range(8)}
+
+
+def test_split_graph_has_six_tables(spark, tmp_path):
+    counts = spark.createDataFrame([(1, "axon", 2, "dendrite", 5)], "pre int, pre_part string, post int, post_part string, n int")
+    inputs = spark.createDataFrame([(2, "dendrite", 9), (2, "axon", 1), (2, "dendrite", 1), (7, "axon", 4)], "skeleton_id int, part string, n int")
+    names = spark.createDataFrame([(2, "b, left"), (1, 'a "x"'), (3, "c")], "skeleton_id int, neuron_name string")
+    sinks.split_graph_csvs(counts, inputs, names, str(tmp_path))
+    read = lambda name: next((tmp_path / name).glob("part-*")).read_text().splitlines()
+    assert {p.name for p in tmp_path.iterdir()} == {"axon-axon", "axon-dendrite", "dendrite-axon", "dendrite-dendrite", "input_counts", "skeleton_id_vs_neuron_name"}
+    assert read("axon-dendrite") == ['"pre","1","2","3"', "1,0,5,0", "2,0,0,0", "3,0,0,0"]
+    assert read("input_counts") == ['"skeleton_id","axon_inputs","dendrite_inputs"', "1,0,0", "2,1,10", "3,0,0"]
+    assert read("skeleton_id_vs_neuron_name") == ['"skeleton_id","neuron_name"', '1,"a ""x"""', '2,"b, left"', '3,"c"']

@@ -66,6 +66,20 @@ def dense_csvs(counts: DataFrame, path: str, ids: list, parts: tuple[str, str] =
             csv(frame.join(own, "pre", "left").na.fill(0).orderBy("pre"), f"{path}/{a}-{b}", one_file=True)
 
 
+def split_graph_csvs(counts: DataFrame, inputs: DataFrame, names: DataFrame, path: str, parts: tuple[str, str] = ("axon", "dendrite")) -> None:
+    """The six tables of a split graph: the four of dense_csvs, input_counts and skeleton_id_vs_neuron_name.
+
+    names (skeleton_id, neuron_name) has the ids to include. inputs (skeleton_id,
+    part, n) counts all their inputs, also those from outside; absent ones are 0.
+    """
+    ids = [r["skeleton_id"] for r in names.select("skeleton_id").distinct().collect()]
+    dense_csvs(counts, path, ids, parts)
+    own = inputs.groupBy("skeleton_id").pivot("part", list(parts)).agg(F.sum("n"))
+    known = names.select("skeleton_id").distinct().join(own, "skeleton_id", "left").na.fill(0, list(parts)).orderBy("skeleton_id")
+    csv(known.select("skeleton_id", *[F.col(p).alias(f"{p}_inputs") for p in parts]), f"{path}/input_counts", one_file=True)
+    csv(names.select("skeleton_id", "neuron_name").orderBy("skeleton_id"), f"{path}/skeleton_id_vs_neuron_name", one_file=True)
+
+
 def json_rows(df: DataFrame, path: str) -> None:
     df.write.mode("overwrite").json(path)
 
