@@ -1,9 +1,10 @@
 """Queries that must cover their whole table: as many rows as it has, and all of them right (test_queries holds them against SQL)."""
 
+import numpy as np
 import pytest
 
 from veldmark.functions import numeric
-from veldmark.operators import images
+from veldmark.operators import flows, images
 from veldmark.plans import catalogue
 from veldmark.sources import sinks, tables
 
@@ -74,3 +75,29 @@ def test_split_graph_has_six_tables(spark, tmp_path):
     assert read("axon-dendrite") == ['"pre","1","2","3"', "1,0,5,0", "2,0,0,0", "3,0,0,0"]
     assert read("input_counts") == ['"skeleton_id","axon_inputs","dendrite_inputs"', "1,0,0", "2,1,10", "3,0,0"]
     assert read("skeleton_id_vs_neuron_name") == ['"skeleton_id","neuron_name"', '1,"a ""x"""', '2,"b, left"', '3,"c"']
+
+
+@pytest.mark.parametrize("bits, inverted", [(8, True), (16, False), (16, True)])
+def test_export_crops_inverts_moves_and_writes(spark, tmp_path, bits, inverted):
+    rng = np.random.default_rng(3)
+    volume = rng.integers(0, 65536, (2, 9, 8))
+    voxels = spark.createDataFrame([(s, x, y, int(volume[s, y, x])) for s in range(2) for y in range(9) for x in range(8)], "section int, x long, y long, v int")
+    maps = {0: [1.0, 0.0, 0.5, 0.0, 1.0, -1.25], 1: [0.0, -1.0, 4.0, 1.0, 0.0, 0.0]}
+    flows.exported(voxels, spark.createDataFrame(list(maps.items()), "section int, matrix array<double>"), str(tmp_path / "n5"), {"x": 1, "y": 2}, {"x": 6, "y": 8}, bits=bits, display=(1000.0, 60000.0), inverted=inverted, block=4)
+    crop = volume[:, 2:9, 1:7].astype(float)
+    crop = 65535 - crop if inverted else crop
+    want = np.zeros(crop.shape)
+    for s, m in maps.items():
+        back = np.linalg.inv(np.vstack([np.reshape(m, (2, 3)), [0, 0, 1]]))
+        for y in range(7):
+            for x in range(6):
+                px, py, _ = back @ [x, y, 1]
+                for cx in (np.floor(px), np.floor(px) + 1):
+                    for cy in (np.floor(py), np.floor(py) + 1):
+                        if 0 <= cx < 6 and 0 <= cy < 7:
+                            want[s, y, x] += (1 - abs(px - cx)) * (1 - abs(py - cy)) * crop[s, int(cy), int(cx)]
+    want = np.clip(np.floor((want - 1000) * 255 / 59000 + 0.5), 0, 255) if bits == 8 else np.clip(np.floor(want + 0.5), 0, 65535)
+    got = np.full(crop.shape, -1.0)
+    for r in spark.read.parquet(str(tmp_path / "n5")).collect():
+        got[r.section, 4 * r.by : 4 * r.by + r.height, 4 * r.bx : 4 * r.bx + r.width] = np.reshape(r.v, (r.height, r.width))
+    assert np.abs(got - want).max() <= 1 and (got == want).mean() > 0.95

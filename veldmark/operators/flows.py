@@ -7,7 +7,9 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from veldmark.functions import affine
 from veldmark.operators import images, registration, spatial, windows
+from veldmark.sources import sinks
 from veldmark.streaming.streams import frequent, merge_peaks
 
 
@@ -63,6 +65,29 @@ def exported_chunk(value: Column | str, low: float, high: float, inverted: bool
     return 255 - byte if inverted else byte
 
 
+def exported(voxels: DataFrame, matrices: DataFrame, path: str, low: dict[str, int], high: dict[str, int], section: str = "section", bits: int = 8, display: tuple[float, float] = (0.0, 65535.0), inverted: bool = True, block: int = 128, level: int | None = 6) -> None:
+    """Sections of 16 bits (section, x, y, v) cropped to an interval, inverted, moved by the map of each section, as 8 or 16 bits, in blocks.
+
+    matrices: section, matrix (six numbers, from the cropped section to its place).
+    Pixels from outside are 0. With 8 bits the display range becomes 0..255. A row
+    is a block: section, bx, by, width, height and v, row by row, in a folder per section.
+    """
+    if bits not in (8, 16):
+        raise ValueError("8 or 16 bits")
+    own = images.cropped(voxels.select(section, "x", "y", F.col("v").cast("double").alias("v")), low, high, zero_min=True)
+    own = own.withColumn("v", 65535 - F.col("v")) if inverted else own
+    wanted = own.select(section, "x", "y").join(matrices.select(section, affine.invert("matrix", 2).alias("_m")), section)
+    m = [F.get("_m", F.lit(i)) for i in range(6)]
+    moved = images.affine_sampled(own, wanted, [[m[0], m[1], 0, m[2]], [m[3], m[4], 0, m[5]], [0, 0, 1, 0]], ["x", "y", section], "v")
+    scaled = (F.col("v") - display[0]) * 255 / (display[1] - display[0]) if bits == 8 else F.col("v")
+    held = images.converted(F.floor(scaled + 0.5), 0, (1 << bits) - 1, "smallint" if bits == 8 else "int")
+    placed = moved.select(section, F.floor(F.col("x") / block).alias("bx"), F.floor(F.col("y") / block).alias("by"), "x", "y", held.alias("v"))
+    size = lambda a: (F.max(a) - F.min(a) + 1).cast("int")
+    ordered = F.array_sort(F.collect_list(F.struct("y", "x", "v")))
+    blocks = placed.groupBy(section, "bx", "by").agg(size("x").alias("width"), size("y").alias("height"), F.transform(ordered, lambda r: r["v"]).alias("v"))
+    sinks.chunks(blocks, path, [section], level)
+
+
 def training_image(width: int, height: int, lines: int, blur: float, noise: float, seed: int = 7) -> tuple[np.ndarray, np.ndarray]:
     """A synthetic image of filled lines with blur and noise, and its mask: a fixture for classifiers."""
     rng = np.random.default_rng(seed)

@@ -139,8 +139,8 @@ def shifted(df: DataFrame, axes: dict[str, int], value: str, name: str) -> DataF
 
 
 def affine_sampled(df: DataFrame, wanted: DataFrame, inverse: list[list[float]], axes: list[str], value: str) -> DataFrame:
-    """n-linear interpolation of an image at positions mapped back by an affine map; 0 outside."""
-    place = {f"_p{i}": sum((F.col(a) * inverse[i][j] for j, a in enumerate(axes)), F.lit(float(inverse[i][-1]))) for i in range(len(axes))}
+    """n-linear interpolation of an image at positions mapped back by an affine map (numbers, or Columns of wanted); 0 outside."""
+    place = {f"_p{i}": sum((F.col(a) * inverse[i][j] for j, a in enumerate(axes)), inverse[i][-1] if isinstance(inverse[i][-1], Column) else F.lit(float(inverse[i][-1]))) for i in range(len(axes))}
     at = wanted.withColumns(place)
     corners = F.array(*[F.struct(*[F.lit(c >> i & 1).alias(f"b{i}") for i in range(len(axes))]) for c in range(1 << len(axes))])
     spread = at.withColumn("_corner", F.explode(corners))
