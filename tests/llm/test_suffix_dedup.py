@@ -56,19 +56,29 @@ def test_equal_windows_have_equal_anchors():
     assert covered == sum(len(t) - 39 for t in texts)
 
 
+@pytest.mark.parametrize("length", [8, 11, 40, 64, 100])
+def test_refined_buckets(length):
+    contexts = [c for t in sample() if t and len(c := t.encode()) >= length]
+    seen = Counter(c[i : i + length] for c in contexts for i in range(len(c) - length + 1))
+    got = sd.refine(contexts, length)
+    assert [g.tolist() for g in got] == [[seen[c[i : i + length]] > 1 for i in range(len(c) - length + 1)] for c in contexts]
+    assert sd.refine([], length) == []
+
+
 @pytest.mark.parametrize("hot", [8000, 2])
 def test_equal_to_brute_force(spark, hot):
     texts = sample()
     docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(3)
     rows = sorted(sd.suffix_dedup(docs, length=40, q=8, hot=hot).collect())
-    assert [tuple(r)[1:] for r in rows] == brute(texts, 40)
+    assert [tuple(r)[1:5] for r in rows] == brute(texts, 40)
+    assert not [t for t in spark.catalog.listTables() if t.name.startswith("veldmark")]
 
 
 def test_production_length_and_pieces(spark, monkeypatch):
     base = noise(3000)
     texts = [base, noise(500) + base[700:1400] + noise(300), base[100:499], base[:200] + base[600:1100], noise(450)]
     docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
-    assert [tuple(r)[1:] for r in sorted(sd.suffix_dedup(docs).collect())] == brute(texts, 400)
+    assert [tuple(r)[1:5] for r in sorted(sd.suffix_dedup(docs).collect())] == brute(texts, 400)
     data = [t.encode() for t in texts]
     whole = sd.Anchored(data)
     monkeypatch.setattr(sd, "PIECE", 333)
@@ -79,7 +89,7 @@ def test_production_length_and_pieces(spark, monkeypatch):
 
 def test_odd_rows(spark, odd_docs):
     rows = sd.suffix_dedup(odd_docs).collect()
-    assert sorted(tuple(r)[1:] for r in rows) == sorted(brute([r.text for r in odd_docs.collect()], 400))
+    assert sorted(tuple(r)[1:5] for r in rows) == sorted(brute([r.text for r in odd_docs.collect()], 400))
     assert sd.suffix_dedup(odd_docs.limit(0)).count() == 0
     kept = sd.without_repeats(odd_docs)
     assert kept.columns == odd_docs.columns and kept.where("doc_id = 6").first().text == "some words here to read" and kept.where("doc_id = 4").first().text == ""

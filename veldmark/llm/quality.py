@@ -154,7 +154,8 @@ def random_indexing(docs: DataFrame, text_col: str = "text", seed: int = 11) ->
         dims, signs = _index_vectors(n, WORD_DIM, seed)
         total = np.zeros(n * WORD_DIM)
         for batch in batches:
-            add_contexts(total, [t or "" for t in batch.column(0).to_pylist()], dims, signs)
+            for part in common.parts(batch):
+                add_contexts(total, [t or "" for t in part.column(0).to_pylist()], dims, signs)
         for k, counts in enumerate(total.reshape(BLOCKS, size)):
             if counts.any():
                 yield packed(k, counts)
@@ -168,7 +169,6 @@ def random_indexing(docs: DataFrame, text_col: str = "text", seed: int = 11) ->
         for k, own in sums.items():
             yield packed(k, own)
 
-    docs.sparkSession.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(common.BATCH_ROWS))
     kind = "block int, kind string, counts binary"
     tables = docs.select(F.col(text_col)).mapInArrow(gather, kind).repartition("block").mapInArrow(add, kind).collect()
     total = np.zeros((BLOCKS, size))

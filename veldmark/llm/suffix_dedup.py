@@ -3,9 +3,8 @@
 Every window of LENGTH bytes has one anchor, the position of its least Q-gram hash,
 which depends on the window's bytes only. So equal windows have equal anchors at
 equal offsets, and it is enough to group suffixes at anchors: first into buckets by
-their Q-gram, then, within buckets of two or more, by sorting on the identifiers of
-later offsets. Identifiers of 16, 32, ... bytes come from those of half the length at
-two offsets, each reused for the next.
+their Q-gram, then, within buckets of two or more, by sorting on the buckets that
+suffixes at later offsets have, each refined bucket being looked up in the next turn.
 """
 
 from __future__ import annotations
@@ -29,8 +28,8 @@ Q = 64
 PIECE, PLACE = 1 << 19, 24
 #: Contexts of a bucket beyond which its windows are counted by a shuffle on their digests.
 HOT = 8000
-#: Bytes of contexts that are refined together.
-CHUNK = 4 << 20
+#: Bytes of contexts that are refined together; small ones stay in the cache.
+CHUNK = 1 << 18
 
 
 def identifiers(data: bytes, depth: int) -> np.ndarray:
@@ -109,35 +108,48 @@ def _batches(texts: list[bytes], limit: int = PIECE) -> Iterator[tuple[int, int]
     return common.slices(texts, limit)
 
 
-def refine(gram: np.ndarray, contexts: list[bytes], length: int = LENGTH) -> list[np.ndarray]:
-    """Of each context: which of its windows occur in another context of the same bucket, first window first.
+def refine(contexts: list[bytes], length: int = LENGTH) -> list[np.ndarray]:
+    """Of each context: which of its windows, of 8 bytes or more, occur more than once in all of them, first window first.
 
-    Buckets of equal grams are refined by the identifiers at offset 0, then those
-    left with two windows or more by the identifiers at the last offset that
-    together with the first covers the length.
+    Bucket-pointer refinement. Suffixes are sorted into buckets by their first 8
+    bytes, and a suffix points to its bucket's place in that order. Then each bucket
+    of two or more is sorted by the pointers at a later offset, and its parts get
+    pointers of their own, which the next turn looks up in its stead: a pointer that
+    tells n bytes apart and one n bytes later tell 2 n bytes apart. Buckets of one
+    drop out. Only bytes are compared, so equal pointers mean equal bytes.
     """
+    if not contexts:
+        return []
     data = b"".join(contexts)
-    depth = 8
-    while depth * 2 <= length:
-        depth *= 2
-    ids = identifiers(data, depth)
     size = np.array([len(c) for c in contexts])
-    begin = np.cumsum(size) - size
-    count = size - length + 1
-    row = np.repeat(np.arange(len(contexts)), count)
-    place = np.repeat(begin - (np.cumsum(count) - count), count) + np.arange(count.sum())
-    shared = np.zeros(len(place), bool)
-    bucket = mix(gram.astype(np.uint64)[row] + ids[place])
-    left = np.arange(len(place))
-    for offset in (None, length - depth):
-        key = bucket[left] if offset is None else ids[place[left] + offset]
-        order = np.argsort(bucket[left], kind="stable") if offset is None else np.lexsort((key, bucket[left]))
-        b, k = bucket[left][order], key[order]
-        same = np.zeros(len(order) + 1, bool)
-        same[1:-1] = (b[1:] == b[:-1]) & (k[1:] == k[:-1])
-        left = left[order][same[1:] | same[:-1]]
-    shared[left] = True
-    return np.split(shared, np.cumsum(count)[:-1]) if len(contexts) else []
+    end = np.cumsum(size)
+    rest = np.repeat(end, size) - np.arange(len(data))  # bytes from a position to the end of its context
+    live = np.flatnonzero(rest >= 8)
+    value = np.ndarray((max(0, len(data) - 7),), ">u8", data, 0, (1,)).astype(np.uint64)
+    pointer = np.zeros(len(data), np.uint64)
+    key, depth, old = value[live], 8, np.zeros(len(live), np.uint64)
+    while len(live):
+        order = np.argsort(key)
+        sorted_key, place = key[order], live[order]
+        first = np.flatnonzero(np.concatenate([[True], sorted_key[1:] != sorted_key[:-1]]))
+        many = np.diff(np.append(first, len(live)))
+        # a part's pointer: that of its bucket, and the suffixes of the bucket before it
+        bucket = old[order[first]]
+        base = np.maximum.accumulate(np.where(np.concatenate([[True], bucket[1:] != bucket[:-1]]), first, 0))
+        pointer[place] = np.repeat(bucket + (first - base).astype(np.uint64), many)
+        live = place[np.repeat(many > 1, many)]
+        if depth == length:
+            break
+        step = min(depth, length - depth)
+        depth += step
+        live.sort()
+        live = live[rest[live] >= depth]
+        old = pointer[live]
+        key = old << np.uint64(32) | pointer[live + step]
+    shared = np.zeros(len(data), bool)
+    shared[live] = True
+    begin = end - size
+    return [shared[a : a + n - length + 1] for a, n in zip(begin.tolist(), size.tolist(), strict=True)]
 
 
 def _intervals(flags: np.ndarray) -> list[int]:
@@ -204,7 +216,7 @@ def _refined(length: int):
         size = 0
 
         def flush(rows: list[tuple]) -> pa.RecordBatch:
-            shared = refine(np.array([r[4] for r in rows], np.int64), [r[6] for r in rows], length)
+            shared = refine([r[6] for r in rows], length)
             kept = [(*r[:4], _intervals(s)) for r, s in zip(rows, shared, strict=True) if r[5] and s.any()]
             return pa.RecordBatch.from_arrays([pa.array([r[i] for r in kept], pa.int64() if i < 4 else pa.list_(pa.int32())) for i in range(5)], names=["h1", "h2", "c1", "c2", "parts"])
 
@@ -244,7 +256,7 @@ def _windows(length: int):
 def _cut(length: int, q: int):
     def make():
         def work(batch: dict) -> dict:
-            out = {"h1": batch["h1"], "h2": batch["h2"], "n_removed": [], "n_spans": [], "kept_sha256": [], "kept": []}
+            out = {"h1": batch["h1"], "h2": batch["h2"], "n_removed": [], "n_spans": [], "spans": [], "kept_sha256": [], "kept": []}
             for a, b in _batches(batch["text"]):
                 texts = batch["text"][a:b]
                 found = Anchored(texts, length, q)
@@ -262,7 +274,9 @@ def _cut(length: int, q: int):
                     own = gone[found.starts[i] : found.starts[i] + len(text)]
                     rest = data[found.starts[i] : found.starts[i] + len(text)][~own].tobytes()
                     out["n_removed"].append(int(own.sum()))
-                    out["n_spans"].append(len(_intervals(own)) // 2)
+                    runs = _intervals(own)
+                    out["n_spans"].append(len(runs) // 2)
+                    out["spans"].append(",".join(f"{x}:{y}" for x, y in zip(runs[::2], runs[1::2], strict=True)))
                     out["kept_sha256"].append(hashlib.sha256(rest).hexdigest())
                     out["kept"].append(rest)
             return out
@@ -284,7 +298,8 @@ def repeated_substrings(docs: DataFrame, text_col: str = "text", length: int = L
 
     Equal texts are one row with a count, bucketed by digest and written once; the
     lists of contexts that go to each text are no longer than the text. Digests of
-    contexts, windows and texts have 128 bits.
+    contexts, windows (of hot buckets) and texts have 128 bits; elsewhere bytes are
+    compared.
     """
     spark, folder, n = docs.sparkSession, common.scratch(docs.sparkSession), common.partitions(docs.sparkSession)
     content = F.coalesce(F.col(text_col), F.lit("")).cast("binary")
@@ -293,6 +308,7 @@ def repeated_substrings(docs: DataFrame, text_col: str = "text", length: int = L
     table = f"veldmark_{uuid.uuid4().hex}"
     texts.write.option("path", f"{folder}/texts").bucketBy(n, "h1", "h2").saveAsTable(table)
     texts = spark.table(table)
+    spark.sql(f"DROP TABLE {table}")  # the files stay, and the plan knows them and their buckets
 
     found = common.stored(common.map_rows(texts, _find(length, q), ANCHOR_SCHEMA), folder, "anchors")
     shared_grams = found.groupBy("gram").agg(F.sum("n").alias("gram_n")).where("gram_n > 1").select("gram")
@@ -316,12 +332,16 @@ def repeated_substrings(docs: DataFrame, text_col: str = "text", length: int = L
 
     every = judged.where("times > 1").select("h1", "h2", "c1", "c2", F.lit(None).cast("array<int>").alias("parts")).union(parts)
     shared = every.groupBy("h1", "h2").agg(F.collect_list(F.struct("c1", "c2", "parts")).alias("shared"))
-    cut = common.map_rows(texts.join(shared.hint("shuffle_hash"), ["h1", "h2"]).select("h1", "h2", "text", "shared"), _cut(length, q), "h1 long, h2 long, n_removed long, n_spans long, kept_sha256 string, kept binary")
+    cut = common.map_rows(texts.join(shared.hint("shuffle_hash"), ["h1", "h2"]).select("h1", "h2", "text", "shared"), _cut(length, q), "h1 long, h2 long, n_removed long, n_spans long, spans string, kept_sha256 string, kept binary")
     return keyed, cut
 
 
 def suffix_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", length: int = LENGTH, q: int = Q, hot: int = HOT) -> DataFrame:
-    """One row per row of docs: id_col, n_bytes, n_removed, n_spans, kept_sha256. Null and empty texts have no bytes; repeated rows lose what they share."""
+    """One row per row of docs: id_col, n_bytes, n_removed, n_spans, kept_sha256.
+
+    Null and empty texts have no bytes; repeated rows lose what they share;
+    an empty table gives an empty result. Other columns of docs play no part.
+    """
     rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
     keyed, cut = repeated_substrings(rows, "text", length, q, hot)
     joined = keyed.select("id", "h1", "h2", F.octet_length(F.coalesce("text", F.lit(""))).cast("long").alias("n_bytes"), "_sha").join(cut.drop("kept"), ["h1", "h2"], "left")
