@@ -71,6 +71,14 @@ def test_equal_to_brute_force(spark, hot):
     docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(3)
     rows = sorted(sd.suffix_dedup(docs, length=40, q=8, hot=hot).collect())
     assert [tuple(r)[1:5] for r in rows] == brute(texts, 40)
+    for r, text in zip(rows, texts, strict=True):
+        runs = [tuple(map(int, x.split(":"))) for x in r.spans.split(",") if x]
+        data, at, kept = (text or "").encode(), 0, []
+        for a, b in runs:
+            assert at <= a < b
+            kept.append(data[at:a])
+            at = b
+        assert len(runs) == r.n_spans and hashlib.sha256(b"".join(kept) + data[at:]).hexdigest() == r.kept_sha256
     assert not [t for t in spark.catalog.listTables() if t.name.startswith("veldmark")]
 
 

@@ -337,16 +337,17 @@ def repeated_substrings(docs: DataFrame, text_col: str = "text", length: int = L
 
 
 def suffix_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", length: int = LENGTH, q: int = Q, hot: int = HOT) -> DataFrame:
-    """One row per row of docs: id_col, n_bytes, n_removed, n_spans, kept_sha256.
+    """One row per row of docs: id_col, n_bytes, n_removed, n_spans, kept_sha256, spans.
 
-    Null and empty texts have no bytes; repeated rows lose what they share;
+    spans lists the removed runs as start:end in bytes, end exclusive, with commas
+    between. Null and empty texts have no bytes; repeated rows lose what they share;
     an empty table gives an empty result. Other columns of docs play no part.
     """
     rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
     keyed, cut = repeated_substrings(rows, "text", length, q, hot)
     joined = keyed.select("id", "h1", "h2", F.octet_length(F.coalesce("text", F.lit(""))).cast("long").alias("n_bytes"), "_sha").join(cut.drop("kept"), ["h1", "h2"], "left")
     none = F.lit(0).cast("long")
-    return joined.select(F.col("id").alias(id_col), "n_bytes", F.coalesce("n_removed", none).alias("n_removed"), F.coalesce("n_spans", none).alias("n_spans"), F.coalesce("kept_sha256", "_sha").alias("kept_sha256"))
+    return joined.select(F.col("id").alias(id_col), "n_bytes", F.coalesce("n_removed", none).alias("n_removed"), F.coalesce("n_spans", none).alias("n_spans"), F.coalesce("kept_sha256", "_sha").alias("kept_sha256"), F.coalesce("spans", F.lit("")).alias("spans"))
 
 
 def without_repeats(docs: DataFrame, text_col: str = "text") -> DataFrame:
