@@ -1,11 +1,19 @@
-"""Benchmark decontamination: BM25 retrieval of test items for every passage, then overlap checks."""
+"""Benchmark decontamination: BM25 retrieval of test items for every passage, then overlap checks.
+
+Nothing that is found of an item depends on which items share its index: counts of
+items, documents per term and mean length are those of the whole benchmark, and the
+passages in which an item is looked for follow from its own length.
+"""
 
 from __future__ import annotations
 
 import pickle
 import re
+import uuid
+from bisect import bisect_left
 from collections.abc import Iterator
 from dataclasses import dataclass
+from typing import NamedTuple
 
 import numpy as np
 from pyspark.sql import DataFrame
@@ -21,8 +29,10 @@ CELLS = 1 << 22
 #: An item is retrieved if a passage reaches this share of the score that the item's own text has.
 LEAST_SCORE = 0.6
 SHINGLE, LEAST_OVERLAP = 5, 0.8
+#: Items of up to 64, 256, 1024, ... words are classes of their own; longer ones than PIECE words are looked for in pieces.
+LEAST_CLASS, CLASS_STEP, PIECE = 64, 4, 65_536
 #: Bounds of an index that is broadcast; a larger benchmark goes through the documents in several indexes.
-SHARD_ITEMS, SHARD_WORDS = 2048, 200_000
+SHARD_ITEMS, SHARD_WORDS, MOST_BYTES = 2048, 200_000, 64 << 20
 SENTENCE_END = re.compile(r"(?<=[.!?])\s+")
 
 
@@ -40,151 +50,269 @@ def _shingle_set(hashes: np.ndarray) -> np.ndarray:
     return np.unique(shingles(hashes, min(SHINGLE, len(hashes)))) if len(hashes) else np.zeros(0, np.uint64)
 
 
+def stretch(n: int) -> int:
+    """Words of the stretch in which an item of n words is verified: room for the share of other words that the overlap allows."""
+    return -(-n * 5 // 4)
+
+
+def class_of(n: int) -> int:
+    """The most words of an item's class."""
+    most = LEAST_CLASS
+    while most < n:
+        most *= CLASS_STEP
+    return most
+
+
+class Entry(NamedTuple):
+    """An item, or a piece of a long one: hashes of its words, its distinct terms, their counts, and the items that have each term."""
+
+    item_id: object
+    question: np.ndarray
+    answer: np.ndarray
+    terms: np.ndarray
+    counts: np.ndarray
+    df: np.ndarray
+
+    @property
+    def size(self) -> int:
+        return int(self.counts.sum())
+
+
+def pieces(question: str, answer: str) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Word hashes of question and answer; of an item beyond PIECE words, of each piece, as a question."""
+    q, a = words([question]).hashes, words([answer]).hashes
+    if len(q) + len(a) <= PIECE:
+        yield q, a
+    else:
+        every = np.concatenate([q, a])
+        for at in range(0, len(every), PIECE):
+            yield every[at : at + PIECE], every[:0]
+
+
 @dataclass
 class Index:
-    """Postings of one shard. Impacts are shares of the item's own score, so one threshold serves all items.
+    """Postings of the items of one class. Impacts are shares of the item's own score, so one threshold serves all items.
 
-    Items have ordinals; blocks are BLOCK ordinals in a row. block_max is term x block.
+    Items have ordinals; a block is BLOCK ordinals in a row. Postings and, for each
+    term, the blocks that it is in with the largest impact there, are sparse rows.
     """
 
+    most: int
     item_ids: list
-    terms: np.ndarray
-    block_max: np.ndarray
-    posting_at: np.ndarray
-    posting_item: np.ndarray
-    posting_impact: np.ndarray
     question: list[np.ndarray]
     answer: list[np.ndarray]
     sizes: list[tuple[int, int]]
-    passage: int
+    posting_at: np.ndarray
+    posting_item: np.ndarray
+    posting_impact: np.ndarray
+    block_at: np.ndarray
+    block_no: np.ndarray
+    block_max: np.ndarray
+    term_max: np.ndarray
+
+
+class Shard:
+    """Terms of some items, and an index for each length class among them."""
 
-    def __post_init__(self):
-        self.lookup = Lookup(self.terms)
+    def __init__(self, terms: np.ndarray, classes: list[Index]):
+        self.terms, self.classes = terms, classes
+        self.lookup = Lookup(terms)
 
     def __reduce__(self):
-        return Index, tuple(getattr(self, f) for f in self.__dataclass_fields__)
-
-
-def build(items: list[tuple[object, str, str]]) -> Index:
-    """An inverted index of (id, question, answer)."""
-    hashes = [words([f"{q} {a}"]).hashes for _, q, a in items]
-    pairs = [np.unique(h, return_counts=True) for h in hashes]
-    terms, df = np.unique(np.concatenate([t for t, _ in pairs]) if pairs else np.zeros(0, np.uint64), return_counts=True)
-    idf = np.log1p((len(items) - df + 0.5) / (df + 0.5))
-    mean = max(1.0, float(np.mean([len(h) for h in hashes])) if hashes else 1.0)
-    term_of, item_of, impact_of = [], [], []
-    for i, (found, count) in enumerate(pairs):
-        at = np.searchsorted(terms, found)
-        impact = idf[at] * count * (K1 + 1) / (count + K1 * (1 - B + B * len(hashes[i]) / mean))
-        term_of.append(at)
-        item_of.append(np.full(len(at), i))
-        impact_of.append(impact / impact.sum() if len(at) else impact)
-    empty = [np.zeros(0, np.int64)]
-    term, item, impact = np.concatenate(term_of or empty), np.concatenate(item_of or empty), np.concatenate(impact_of or empty).astype(np.float32)
-    order = np.lexsort((item, term))
-    term, item, impact = term[order], item[order], impact[order]
-    block_max = np.zeros((len(terms) + 1, (len(items) + BLOCK - 1) // BLOCK), np.float32)
-    np.maximum.at(block_max, (term, item // BLOCK), impact)
-    parts = [(words([q]).hashes, words([a]).hashes) for _, q, a in items]
-    return Index(
-        [i for i, *_ in items], terms, block_max, np.searchsorted(term, np.arange(len(terms) + 1)), item, impact,
-        [_shingle_set(q) for q, _ in parts], [_shingle_set(a) for _, a in parts], [(len(q), len(a)) for q, a in parts], max([1, *map(len, hashes)]),
-    )
-
-
-def wand(index: Index, terms: np.ndarray, block: int, least: float) -> list[tuple[int, float]]:
-    """All items of a block whose score for the terms is least or more, by cursors and pivots.
+        return Shard, (self.terms, self.classes)
+
+
+def build(entries: list[Entry], items: int, mean: float) -> Shard:
+    """An inverted index; items and mean are those of the whole benchmark."""
+    terms = np.unique(np.concatenate([e.terms for e in entries])) if entries else np.zeros(0, np.uint64)
+    by_class: dict[int, list[Entry]] = {}
+    for e in entries:
+        by_class.setdefault(class_of(e.size), []).append(e)
+    classes = []
+    for most, own in sorted(by_class.items()):
+        term_of, impact_of = [], []
+        for e in own:
+            idf = np.log1p((items - e.df + 0.5) / (e.df + 0.5))
+            impact = idf * e.counts * (K1 + 1) / (e.counts + K1 * (1 - B + B * e.size / max(1.0, mean)))
+            term_of.append(np.searchsorted(terms, e.terms))
+            impact_of.append(impact / impact.sum())
+        term, impact = np.concatenate(term_of), np.concatenate(impact_of).astype(np.float32)
+        item = np.repeat(np.arange(len(own)), [len(t) for t in term_of])
+        order = np.lexsort((item, term))
+        term, item, impact = term[order], item[order], impact[order]
+        at = np.searchsorted(term, np.arange(len(terms) + 1))
+        block = item // BLOCK
+        first = np.flatnonzero(np.concatenate([[True], (term[1:] != term[:-1]) | (block[1:] != block[:-1])]))
+        block_max = np.maximum.reduceat(impact, first)
+        block_at = np.searchsorted(term[first], np.arange(len(terms) + 1))
+        term_max = np.zeros(len(terms), np.float32)
+        np.maximum.at(term_max, term, impact)
+        sizes = [(len(e.question), len(e.answer)) for e in own]
+        classes.append(Index(most, [e.item_id for e in own], [_shingle_set(e.question) for e in own], [_shingle_set(e.answer) for e in own], sizes, at.astype(np.int32), item.astype(np.int32), impact, block_at.astype(np.int32), block[first].astype(np.int32), block_max, term_max))
+    return Shard(terms, classes)
+
+
+def wand(index: Index, terms: np.ndarray, least: float) -> list[tuple[int, float]]:
+    """All items whose score for the terms is least or more, by block-max WAND.
 
     Cursors are ordered by their next item; the pivot is the first item at which the
-    block maxima of the cursors so far reach the threshold; cursors behind it jump
-    to it, and only an item at which all cursors before the pivot stand is scored.
+    terms' maxima reach the threshold. If the maxima of the pivot's block don't,
+    all cursors before the block's end jump there; else cursors behind the pivot
+    jump to it, and it is scored once all of them have come.
     """
-    cursors = []
-    stop_item = (block + 1) * BLOCK
-    for t in terms:
-        lo, hi = index.posting_at[t], index.posting_at[t + 1]
-        lo += np.searchsorted(index.posting_item[lo:hi], block * BLOCK)
-        if lo < hi and index.posting_item[lo] < stop_item:
-            cursors.append([int(index.posting_item[lo]), int(lo), int(hi), float(index.block_max[t, block])])
-    out = []
     least -= 1e-6  # sums of the same parts in another order
+    items, cursors = index.posting_item, []
+    for t in terms.tolist():
+        lo, hi = int(index.posting_at[t]), int(index.posting_at[t + 1])
+        if lo < hi:
+            cursors.append([int(items[lo]), lo, hi, float(index.term_max[t]), t])
+    out = []
     while cursors:
         cursors.sort()
         bound, pivot = 0.0, None
-        for at, _, _, top in cursors:
-            bound += top
+        for c in cursors:
+            bound += c[3]
             if bound >= least:
-                pivot = at
+                pivot = c[0]
                 break
         if pivot is None:
             break
-        if cursors[0][0] == pivot:
+        block = pivot // BLOCK
+        stop, bound = (block + 1) * BLOCK, 0.0
+        for c in cursors:
+            if c[0] >= stop:
+                break
+            lo, hi = int(index.block_at[c[4]]), int(index.block_at[c[4] + 1])
+            at = bisect_left(index.block_no, block, lo, hi)
+            if at < hi and index.block_no[at] == block:
+                bound += float(index.block_max[at])
+        if bound < least:
+            target = stop
+        elif cursors[0][0] == pivot:
             score = sum(float(index.posting_impact[c[1]]) for c in cursors if c[0] == pivot)
             if score >= least:
                 out.append((pivot, score))
-        behind = pivot + (cursors[0][0] == pivot)
+            target = pivot + 1
+        else:
+            target = pivot
         for c in cursors:
-            while c[0] < behind and c[1] < c[2]:
-                c[1] += 1
-                c[0] = int(index.posting_item[c[1]]) if c[1] < c[2] else stop_item
-        cursors = [c for c in cursors if c[0] < stop_item]
+            if c[0] >= target:
+                break
+            c[1] = bisect_left(items, target, c[1], c[2])
+            c[0] = int(items[c[1]]) if c[1] < c[2] else -1
+        cursors = [c for c in cursors if c[0] >= 0]
     return out
 
 
-def _contained(part: np.ndarray, passage: np.ndarray) -> float:
-    return 1.0 if not len(part) else float(np.isin(part, passage).mean())
-
-
-def _over(index: Index, term: np.ndarray, begins: np.ndarray) -> Iterator[tuple[int, int]]:
-    """Passages (by their place in begins) and blocks whose maxima together reach the threshold."""
+def _over(index: Index, term: np.ndarray, begins: np.ndarray, least: float) -> Iterator[int]:
+    """Passages (by their place in begins) that have a block whose maxima together reach the threshold."""
+    blocks = -(-len(index.item_ids) // BLOCK)
+    lo, n = index.block_at[term].astype(np.int64), np.diff(index.block_at)[term].astype(np.int64)
+    upto = np.concatenate([[0], np.cumsum(n)])
+    begin = upto[begins]
+    most, at = max(1, CELLS // blocks), 0
     ends = np.append(begins[1:], len(term))
-    most, at = max(1, CELLS // index.block_max.shape[1]), 0
     while at < len(begins):
-        stop = max(at + 1, int(np.searchsorted(ends, begins[at] + most, side="right")))
-        bound = np.add.reduceat(index.block_max[term[begins[at] : ends[stop - 1]]], begins[at:stop] - begins[at], axis=0)
-        for row, block in zip(*np.nonzero(bound >= LEAST_SCORE - 1e-4), strict=True):
-            yield at + int(row), int(block)
+        # so many passages that neither their cells nor their listed blocks are too many
+        stop = max(at + 1, min(at + most, int(np.searchsorted(upto[ends], begin[at] + CELLS, side="right"))))
+        a, b = begins[at], ends[stop - 1]
+        own = n[a:b]
+        listed = np.repeat(lo[a:b] - (np.cumsum(own) - own), own) + np.arange(own.sum())
+        row = np.repeat(np.repeat(np.arange(stop - at), ends[at:stop] - begins[at:stop]), own)
+        bound = np.bincount(row * blocks + index.block_no[listed], weights=index.block_max[listed], minlength=(stop - at) * blocks)
+        for found in np.flatnonzero((bound.reshape(-1, blocks) >= least - 1e-4).any(axis=1)).tolist():
+            yield at + found
         at = stop
 
 
-def leaks(index: Index, texts: list[str]) -> list[list[dict]]:
-    """Verified items of each text: id, best score, overlaps, and the words of the passage."""
+def _distinct(pos: np.ndarray, ids: np.ndarray, starts: list[int], width: int) -> list[int]:
+    """Distinct ids at positions from each start on, up to start + width; starts rise."""
+    held: dict[int, int] = {}
+    out, lo, hi = [], 0, 0
+    where, what = pos.tolist(), ids.tolist()
+    for s in starts:
+        while hi < len(where) and where[hi] <= s + width:
+            held[what[hi]] = held.get(what[hi], 0) + 1
+            hi += 1
+        while lo < hi and where[lo] < s:
+            held[what[lo]] -= 1
+            if not held[what[lo]]:
+                del held[what[lo]]
+            lo += 1
+        out.append(len(held))
+    return out
+
+
+def verified(here: np.ndarray, question: np.ndarray, answer: np.ndarray, sizes: tuple[int, int]) -> tuple[float, float, int]:
+    """Shares of the question's and of the answer's shingles in one stretch of the words here, and where it begins: the best stretch, the first of equals.
+
+    A part without words counts as contained. No stretch goes beyond the words.
+    """
+    width = stretch(sum(sizes))
+    found = []
+    for part, n in zip((question, answer), sizes, strict=True):
+        own = shingles(here, min(SHINGLE, n)) if n else here[:0]
+        at = np.searchsorted(part, own)
+        hit = np.flatnonzero((at < len(part)) & (part[np.minimum(at, len(part) - 1)] == own)) if len(part) else np.zeros(0, np.int64)
+        found.append((hit, at[hit], min(SHINGLE, n)))
+    starts = sorted({int(x) for pos, *_ in found for x in pos})
+    best = (0.0, 0.0, 0)
+    counts = [_distinct(pos, ids, starts, width - k) if n else [] for (pos, ids, k), n in zip(found, sizes, strict=True)]
+    for i, s in enumerate(starts):
+        q, a = (counts[j][i] / len(part) if sizes[j] else 1.0 for j, part in enumerate((question, answer)))
+        if (min(q, a), q + a) > (min(best[:2]), best[0] + best[1]):
+            best = q, a, s
+    return best
+
+
+def leaks(shard: Shard, texts: list[str], least: float = LEAST_SCORE) -> list[list[dict]]:
+    """Verified items of each text: id, best score, overlaps, and the words of the stretch."""
     out: list[list[dict]] = [[] for _ in texts]
-    if not index.item_ids:
-        return out
-    step = index.passage
     for a, b in common.slices(texts, 1 << 19):
         found = words(texts[a:b])
-        ids = index.lookup(found.hashes)
+        ids = shard.lookup(found.hashes)
         hit = np.flatnonzero(ids >= 0)
         if not len(hit):
             continue
         text = np.searchsorted(found.first, hit, side="right") - 1
-        # passages of 2 * step words begin every step words; word w of a text is in those that begin at w // step and one before
-        first_passage = np.zeros(len(found.first), np.int64)
-        np.cumsum(np.maximum(1, -(-np.diff(found.first) // step)), out=first_passage[1:])
-        within = (hit - found.first[text]) // step
-        key = (first_passage[text] + within) * len(index.terms) + ids[hit]
-        earlier = within > 0
-        key = np.unique(np.concatenate([key, key[earlier] - len(index.terms)]))
-        passage, term = np.divmod(key, len(index.terms))
-        begins = np.flatnonzero(np.diff(passage, prepend=-1))
-        for row, block in _over(index, term, begins):
-            stop = begins[row + 1] if row + 1 < len(begins) else len(term)
-            p = passage[begins[row]]
-            for item, score in wand(index, term[begins[row] : stop], block, LEAST_SCORE):
-                i = int(np.searchsorted(first_passage, p, side="right") - 1)
-                start = found.first[i] + (p - first_passage[i]) * step
+        for index in shard.classes:
+            for i, p, item, score in _retrieved(index, found.first, hit, text, ids[hit], least):
+                step = stretch(index.most)
+                start = found.first[i] + p * step
                 end = min(start + 2 * step, found.first[i + 1])
-                here = found.hashes[start:end]
-                overlap = []
-                for part, n in zip((index.question[item], index.answer[item]), index.sizes[item], strict=True):
-                    overlap.append(_contained(part, shingles(here, min(SHINGLE, n))) if n else 1.0)
-                if min(overlap) >= LEAST_OVERLAP:
-                    out[a + i].append({"item_id": index.item_ids[item], "score": score, "question_overlap": overlap[0], "answer_overlap": overlap[1], "from_word": int(start - found.first[i]), "to_word": int(end - found.first[i])})
+                q, w, at = verified(found.hashes[start:end], index.question[item], index.answer[item], index.sizes[item])
+                if min(q, w) >= LEAST_OVERLAP:
+                    begin = int(start - found.first[i]) + at
+                    out[a + i].append({"item_id": index.item_ids[item], "score": score, "question_overlap": q, "answer_overlap": w, "from_word": begin, "to_word": min(begin + stretch(sum(index.sizes[item])), int(found.first[i + 1] - found.first[i]))})
     return [_best(x) if x else x for x in out]
 
 
+def _retrieved(index: Index, first: np.ndarray, hit: np.ndarray, text: np.ndarray, term: np.ndarray, least: float) -> Iterator[tuple[int, int, int, float]]:
+    """(text, passage of the text, item, score) at or over the threshold.
+
+    Passages of two stretches of the class's longest item begin at every stretch;
+    a word is in the passage that begins at its stretch and in the one before.
+    """
+    known = np.diff(index.posting_at)[term] > 0
+    hit, text, term = hit[known], text[known], term[known]
+    if not len(hit):
+        return
+    step, terms = stretch(index.most), len(index.term_max)
+    first_passage = np.zeros(len(first), np.int64)
+    np.cumsum(np.maximum(1, -(-np.diff(first) // step)), out=first_passage[1:])
+    within = (hit - first[text]) // step
+    key = (first_passage[text] + within) * terms + term
+    key = np.unique(np.concatenate([key, key[within > 0] - terms]))
+    passage, term = np.divmod(key, terms)
+    begins = np.flatnonzero(np.diff(passage, prepend=-1))
+    for row in _over(index, term, begins, least):
+        stop = begins[row + 1] if row + 1 < len(begins) else len(term)
+        p = passage[begins[row]]
+        i = int(np.searchsorted(first_passage, p, side="right") - 1)
+        for item, score in wand(index, term[begins[row] : stop], least):
+            yield i, int(p - first_passage[i]), item, score
+
+
 def _best(rows: list[dict]) -> list[dict]:
     """The highest-scored passage of each item, the first of equals."""
     best: dict = {}
@@ -194,61 +322,118 @@ def _best(rows: list[dict]) -> list[dict]:
     return list(best.values())
 
 
-def shards(benchmark: DataFrame, item_col: str, text_col: str, question_col: str | None, answer_col: str | None) -> Iterator[Index]:
-    """Indexes of the benchmark in the order of its ids, each within the bounds. Items without words are left out."""
-    parts = [F.col(item_col).alias("id"), F.col(question_col or text_col).alias("q"), F.col(answer_col or text_col).alias("a")]
+def entries(benchmark: DataFrame, item_col: str, text_col: str, question_col: str | None, answer_col: str | None) -> DataFrame:
+    """Items and pieces of items as rows: key, id, n, most, question and answer (word hashes), terms, counts. Items without words are left out."""
+    parts = [F.col(f"`{item_col}`").alias("id"), F.col(f"`{question_col or text_col}`").alias("q"), F.col(f"`{answer_col or text_col}`").alias("a")]
+    split = not question_col
+
+    def make():
+        def work(batch: dict) -> dict:
+            out = {c: [] for c in ("id", "n", "most", "question", "answer", "terms", "counts")}
+            for i, q, a in zip(batch["id"], batch["q"], batch["a"], strict=True):
+                q, a = question_and_answer(q or "") if split else (q or "", a or "")
+                for own in pieces(q, a):
+                    terms, counts = np.unique(np.concatenate(own), return_counts=True)
+                    if len(terms):
+                        row = (i, int(counts.sum()), class_of(int(counts.sum())), own[0].tobytes(), own[1].tobytes(), terms.view(np.int64).tolist(), counts.tolist())
+                        for c, v in zip(out, row, strict=True):
+                            out[c].append(v)
+            return out
+
+        return work
+
+    rows = benchmark.select(*parts)
+    kind = rows.schema["id"].dataType.simpleString()
+    return common.map_rows(rows, make, f"id {kind}, n long, most long, question binary, answer binary, terms array<long>, counts array<int>").withColumn("key", F.monotonically_increasing_id())
+
+
+def shards(benchmark: DataFrame, item_col: str, text_col: str, question_col: str | None, answer_col: str | None) -> Iterator[Shard]:
+    """Indexes of the benchmark in the order of class and id, each within the bounds.
+
+    Items per term are counted by a shuffle over the whole benchmark and joined to
+    the items, so the driver never has more than one index and two numbers.
+    """
+    found = common.stored(entries(benchmark, item_col, text_col, question_col, answer_col), common.scratch(benchmark.sparkSession), "items")
+    total = found.agg(F.count(F.lit(1)).alias("items"), F.avg("n").alias("mean")).first()
+    if not total["items"]:
+        return
+    pairs = found.select("key", F.explode(F.arrays_zip("terms", "counts")).alias("x")).select("key", F.col("x.terms").alias("term"), F.col("x.counts").alias("n"))
+    df = pairs.groupBy("term").agg(F.count(F.lit(1)).alias("df"))
+    weighed = pairs.join(df, "term").groupBy("key").agg(F.array_sort(F.collect_list(F.struct("term", "n", "df"))).alias("weights"))
     held, n = [], 0
-    for r in benchmark.select(*parts).orderBy("id", "q", "a").toLocalIterator():
-        q, a = (r["q"] or "", r["a"] or "") if question_col else question_and_answer(r["q"] or "")
-        size = len(words([f"{q} {a}"]).hashes)
-        if not size:
-            continue
-        if held and (len(held) == SHARD_ITEMS or n + size > SHARD_WORDS):
-            yield build(held)
+    for r in found.join(weighed, "key").select("id", "n", "most", "question", "answer", "weights", "key").orderBy("most", "id", "key").toLocalIterator():
+        if held and (len(held) == SHARD_ITEMS or n + r["n"] > SHARD_WORDS):
+            yield build(held, total["items"], total["mean"])
             held, n = [], 0
-        held.append((r["id"], q, a))
-        n += size
+        weights = np.array([tuple(w) for w in r["weights"]], np.int64)
+        weights = weights[np.argsort(weights[:, 0].view(np.uint64))]
+        held.append(Entry(r["id"], np.frombuffer(r["question"], np.uint64), np.frombuffer(r["answer"], np.uint64), np.ascontiguousarray(weights[:, 0]).view(np.uint64), weights[:, 1], weights[:, 2]))
+        n += r["n"]
     if held:
-        yield build(held)
+        yield build(held, total["items"], total["mean"])
 
 
-def annotate(docs: DataFrame, benchmark: DataFrame, text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text", question_col: str | None = None, answer_col: str | None = None) -> DataFrame:
-    """docs with a column leaks: the benchmark items that each text contains, with score and overlaps.
+_loaded: dict[str, Shard] = {}
+
+
+def _shard(key: str, data: bytes) -> Shard:
+    """One copy of an index in each worker process."""
+    if key not in _loaded:
+        while len(_loaded) >= 4:
+            _loaded.pop(next(iter(_loaded)))
+        _loaded[key] = pickle.loads(data)
+    return _loaded[key]
 
-    A passage is 2 x n words, and one begins every n words, n being the words of the
-    longest item; so each stretch as long as an item lies in one passage. Items with
-    60 % of their own BM25 score are retrieved, and kept if 80 % of the five-word
-    shingles of question and of answer are in the passage (a part without words
-    counts as contained). Null and empty texts have no leaks; without benchmark rows
-    no text has. Each index goes over all documents.
-    """
-    item_kind = dict(benchmark.dtypes)[item_col]
-    kept = [f for f in docs.schema if f.name != "leaks"]
-    schema = "".join(f"`{f.name}` {f.dataType.simpleString()}, " for f in kept) + f"leaks array<struct<item_id: {item_kind}, score: double, question_overlap: double, answer_overlap: double, from_word: long, to_word: long>>"
-    out = docs.select(*[F.col(f"`{f.name}`") for f in kept], F.lit(None).cast(schema.rsplit("leaks ", 1)[1]).alias("leaks"))
-    for index in shards(benchmark, item_col, item_text_col, question_col, answer_col):
-        shared = docs.sparkSession.sparkContext.broadcast(pickle.dumps(index))
 
-        def make(shared=shared):
-            own = pickle.loads(shared.value)
+def _annotated(docs: DataFrame, benchmark: DataFrame, text_col: str, item_col: str, item_text_col: str, question_col: str | None, answer_col: str | None) -> DataFrame:
+    """numbered(docs) with a last column leaks."""
+    spark, text = docs.sparkSession, common.at(docs, text_col)
+    kind = f"array<struct<item_id: {benchmark.select(F.col(f'`{item_col}`')).schema[0].dataType.simpleString()}, score: double, question_overlap: double, answer_overlap: double, from_word: long, to_word: long>>"
+    out = common.numbered(docs).withColumn("leaks", F.array().cast(kind))
+    for shard in shards(benchmark, item_col, item_text_col, question_col, answer_col):
+        data = pickle.dumps(shard)
+        if len(data) > MOST_BYTES:
+            raise ValueError(f"an index of {len(data)} bytes")
+        shared = spark.sparkContext.broadcast(data)
+
+        def make(shared=shared, key=uuid.uuid4().hex):
+            own = _shard(key, shared.value)
 
             def work(batch: dict) -> dict:
-                new = leaks(own, [t or "" for t in batch[text_col]])
-                batch["leaks"] = [(old or []) + x for old, x in zip(batch["leaks"], new, strict=True)]
-                return batch
+                new = leaks(own, [t or "" for t in batch["text"]])
+                return {"leaks": [_best(old + x) if old else x for old, x in zip(batch["old"], new, strict=True)]}
 
             return work
 
-        out = common.map_rows(out, make, schema)
+        out = common.add_columns(out, {"text": text, "old": "leaks"}, make, f"leaks {kind}", ("leaks",))
     return out
 
 
+def annotate(docs: DataFrame, benchmark: DataFrame, text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text", question_col: str | None = None, answer_col: str | None = None) -> DataFrame:
+    """docs with a column leaks: the benchmark items that each text contains, with score and overlaps.
+
+    Items of up to 64, 256, 1024, ... words are classes; a passage is two stretches
+    of a class's longest item, and one begins at every stretch. Items with 60 % of
+    their own BM25 score in a passage are retrieved, and kept if there is a stretch
+    of 5/4 of their words with 80 % of the five-word shingles of question and of
+    answer (a part without words counts as contained). An item of more than 65,536
+    words is contained if one of its pieces of that size is.
+
+    Null and empty texts have no leaks; without benchmark rows no text has. An id
+    that repeats in the benchmark is one item with several texts, found once, by its
+    best score. Repeated documents have equal results. If docs has a column leaks
+    it stays, and the new one is leaks_. Each index goes over all documents.
+    """
+    return common.renamed(_annotated(docs, benchmark, text_col, item_col, item_text_col, question_col, answer_col), docs, ["leaks"])
+
+
 def contaminated(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", **columns) -> DataFrame:
     """One row per document row and item it contains: id_col, item_id, score, overlaps, from_word, to_word. Clean documents have none."""
-    rows = annotate(docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")), benchmark, **columns)
+    rows = annotate(docs.select(F.col(f"`{id_col}`").alias("id"), F.col(f"`{text_col}`").alias("text")), benchmark, **columns)
     return rows.select(F.col("id").alias(id_col), F.explode("leaks").alias("leak")).select(id_col, "leak.*")
 
 
 def clean(docs: DataFrame, benchmark: DataFrame, text_col: str = "text") -> DataFrame:
-    """The rows of docs that contain no item, with the columns of docs."""
-    return annotate(docs, benchmark, text_col).where(F.coalesce(F.size("leaks"), F.lit(0)) <= 0).select(*[F.col(f"`{c}`") for c in docs.columns])
+    """The rows of docs that contain no item, with the columns of docs, whatever their names."""
+    rows = _annotated(docs, benchmark, text_col, "item_id", "text", None, None)
+    return rows.where(F.size("leaks") == 0).drop("leaks").toDF(*docs.columns)
