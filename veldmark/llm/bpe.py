@@ -19,6 +19,7 @@ from veldmark.llm import _common as common
 END = "\n"  # stands for the end of a word; the byte alphabet has no such character
 CACHED_WORDS = 400_000
 CACHED_PAIRS = 1_000_000
+NEVER = 1 << 60
 
 
 def byte_alphabet() -> list[str]:
@@ -105,6 +106,7 @@ class Codec:
             self.prefix[i] = next((own[s[:n]] for n in range(len(s) - 1, 0, -1) if s[:n] in own), -1)
         self.automaton.make_automaton()
         self.fits: dict[int, bool] = {}
+        self.edges: tuple[dict[int, list[int]], dict[int, list[int]]] = {}, {}
         self.known: dict[str, bytes] = {}
 
         pattern = splitter["pattern"]["Regex"]
@@ -124,32 +126,46 @@ class Codec:
         last = [form[-2:]] if form.endswith(END) else []
         return merge_pairs([self.base[c] for c in [*form[: len(form) - 2 * len(last)], *last]], self.pairs)
 
+    def _edge(self, token: int, side: int) -> list[int]:
+        """The tokens that stand at a token's first (0) or last (1) place while it is merged: a single byte, then ever larger ones, then itself."""
+        found = self.edges[side].get(token)
+        if found is None:
+            found = [token]
+            while (part := self.split[found[-1]][side]) != found[-1]:
+                found.append(part)
+            found.reverse()
+            self.edges[side][token] = found
+        return found
+
     def compatible(self, left: int, right: int) -> bool:
-        """Whether merging left + right gives these two tokens again: no pair along their seam merges before both are whole."""
+        """Whether merging left + right gives these two tokens again.
+
+        Merges happen in the order of their ids. Between two merges one token stands
+        on each side of the seam; they merge if their pair's id comes before that of
+        the merge that takes either away. With equal ids the merge further left is
+        first: the left side's own before the seam's, the seam's before the right side's.
+        """
         key = left << 32 | right
         if (known := self.fits.get(key)) is not None:
             return known
         if len(self.fits) > CACHED_PAIRS:
             self.fits.clear()
-        pairs, split, bound, ok = self.pairs, self.split, 1 << 60, None
-        while ok is None:
-            if pairs.get((left, right), bound) < bound:
-                ok = False
-            elif left > right:
-                bound = left
-                left = split[left][1]
-                if left == bound:
-                    bound, right = right + 1, split[right][0]
-                    if right + 1 == bound:
-                        ok = True
+        last, first = self._edge(left, 1), self._edge(right, 0)
+        i, j, fits = 0, 0, None
+        while fits is None:
+            taken_left = last[i + 1] if i + 1 < len(last) else NEVER
+            taken_right = first[j + 1] if j + 1 < len(first) else NEVER
+            seam = self.pairs.get((last[i], first[j]), NEVER)
+            if seam < taken_left and seam <= taken_right:
+                fits = False
+            elif taken_left == taken_right == NEVER:
+                fits = True
+            elif taken_left <= taken_right:
+                i += 1
             else:
-                bound, right = right + 1, split[right][0]
-                if right + 1 == bound:
-                    bound, left = left, split[left][1]
-                    if left == bound:
-                        ok = True
-        self.fits[key] = ok
-        return ok
+                j += 1
+        self.fits[key] = fits
+        return fits
 
     def _walk(self, at: int, stop: int, longest: list[int]) -> list[int]:
         """Tokens of one word: the longest match, else its longest prefix token, that fits the token before; dead ends are taken back once."""
@@ -234,35 +250,44 @@ def codec(source: str) -> Codec:
     return _codecs[key]
 
 
-def encode(docs: DataFrame, tokenizer: str, text_col: str = "text", decode: bool = False) -> DataFrame:
-    """The columns of docs but the text, then n_tokens, ids (binary, little-endian unsigned 32-bit) and, if asked for, decoded.
-
-    Equal to the tokenizers library without added tokens. Null and empty texts have
-    no ids and decode to the empty text. Special tokens' strings within a text give
-    their own ids. tokenizer is the path of a tokenizers file, read by the driver.
-    """
+def _encoded(docs: DataFrame, tokenizer: str, text_col: str, decode: bool) -> DataFrame:
+    """numbered(docs) without its text, then n_tokens, ids and, if asked for, decoded."""
     with open(tokenizer, encoding="utf-8") as f:
         shared = docs.sparkSession.sparkContext.broadcast(f.read())
-    kept = [c for c in docs.columns if c not in (text_col, "n_tokens", "ids", "decoded")]
-    schema = "".join(f"`{f.name}` {f.dataType.simpleString()}, " for f in docs.schema if f.name in kept) + "n_tokens long, ids binary" + ", decoded string" * decode
 
     def make():
         own = codec(shared.value)
 
         def work(batch: dict) -> dict:
-            texts = batch.pop(text_col)
-            batch["ids"] = [own.encode(t) for t in texts]
-            batch["n_tokens"] = [len(x) // 4 for x in batch["ids"]]
-            if decode:
-                batch["decoded"] = [own.decode(x) for x in batch["ids"]]
-            return batch
+            ids = [own.encode(t) for t in batch["text"]]
+            out = {"n_tokens": [len(x) // 4 for x in ids], "ids": ids}
+            return out | {"decoded": [own.decode(x) for x in ids]} if decode else out
 
         return work
 
-    return common.map_rows(docs.select(*kept, text_col), make, schema)
+    text = common.at(docs, text_col)
+    return common.add_columns(common.numbered(docs), {"text": text}, make, "n_tokens long, ids binary" + ", decoded string" * decode, (text,))
+
+
+def encode(docs: DataFrame, tokenizer: str, text_col: str = "text", decode: bool = False) -> DataFrame:
+    """The columns of docs but the text, then n_tokens, ids (binary, little-endian unsigned 32-bit) and, if asked for, decoded.
+
+    Equal to the tokenizers library without added tokens. Null and empty texts have
+    no ids and decode to the empty text. Special tokens' strings within a text give
+    their own ids. Repeated rows have equal results, an empty table an empty one.
+    Columns of docs stay as they are: where one has the name of a new column, the
+    new one gets an underscore. tokenizer is the path of a tokenizers file, read by
+    the driver.
+    """
+    added = ["n_tokens", "ids", *(["decoded"] if decode else [])]
+    return common.renamed(_encoded(docs, tokenizer, text_col, decode), docs.drop(text_col), added)
 
 
 def digests(docs: DataFrame, tokenizer: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """id_col, n_tokens, and SHA-256 of the ids and of the decoded text."""
-    done = encode(docs.select(F.col(id_col), F.col(text_col).alias("text")), tokenizer, decode=True)
-    return done.select(id_col, "n_tokens", F.sha2("ids", 256).alias("ids_sha256"), F.sha2(F.col("decoded").cast("binary"), 256).alias("decoded_sha256"))
+    """One row per row of docs: id_col, n_tokens, and SHA-256 of the ids and of the decoded text, in lower-case hex.
+
+    Null and empty texts have no tokens, and digests of no bytes; ids may be null or
+    repeat. An empty table gives an empty result. Other columns play no part.
+    """
+    done = encode(docs.select(F.col(f"`{id_col}`").alias("id"), F.col(f"`{text_col}`").alias("text")), tokenizer, decode=True)
+    return done.select(F.col("id").alias(id_col), "n_tokens", F.sha2("ids", 256).alias("ids_sha256"), F.sha2(F.col("decoded").cast("binary"), 256).alias("decoded_sha256"))
