@@ -1,4 +1,7 @@
+import math
 import random
+import zlib
+from collections import Counter
 
 import numpy as np
 
@@ -43,6 +46,51 @@ def test_odd_languages(spark, odd_docs):
     assert [bool(langid.LETTER.search(t)) for t in ("½ ² Ⅷ 5 _", "1é", "日")] == [False, True, True]
 
 
+def test_posterior_is_that_of_plain_counts(spark):
+    """Naive Bayes by dictionaries over the same hashed n-grams, with every row taught."""
+    rows = [(i, " ".join(word(k) for _ in range(rng.randint(1, 6))), k) for i in range(60) for k in [rng.choice(list(SYLLABLES))]]
+    rows += [(100, rows[0][1], rows[0][2]), (100, rows[0][1], rows[0][2]), (101, "?!", "aa"), (102, None, "bb"), (None, "ka lo", "cc")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    got = langid.language_id(docs).collect()
+    taught = [(r.text, r.lang, not common_crc(r.doc_id)) for r in docs.collect()]
+    grams = lambda t: [int(g) for g in langid.features([t])[0].ravel() if g < 1 << langid.BITS]
+    counts = {k: Counter() for k in SYLLABLES}
+    n = Counter()
+    for text, lang, teaches in taught:
+        if teaches and text is not None:
+            counts[lang].update(grams(text))
+            n[lang] += 1
+    for r in got:
+        text = next(t for i, t, _ in rows if i == r.doc_id)
+        if not text or text == "?!":
+            assert (r.lang_pred, r.score) == ("und", 0)
+            continue
+        total = {k: sum(c.values()) + 0.5 * (1 << langid.BITS) for k, c in counts.items()}
+        like = {k: math.log(n[k] / sum(n.values())) + sum(math.log((counts[k][g] + 0.5) / total[k]) for g in grams(text)) for k in counts}
+        top = max(like.values())
+        share = {k: math.exp(v - top) for k, v in like.items()}
+        best = max(sorted(share), key=share.get)
+        assert r.lang_pred == best and abs(r.score - share[best] / sum(share.values())) < 1e-4
+
+
+def common_crc(doc_id):
+    return doc_id is not None and zlib.crc32(str(doc_id).encode()) % 4 == 2
+
+
+def test_clashing_names_and_ties(spark):
+    rows = [(1, "ka ka ka", "aa", 0.25, "own"), (2, "rü ße", "bb", None, None), (3, "ka " * 500_000, "aa", 1.5, "x")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, score double, lang_pred string")
+    model = langid.fit(docs, common.F.lit(True), "doc_id", "text", "lang")
+    out = langid.identify(docs, model)
+    assert out.columns == [*docs.columns, "lang_pred_", "score_"]
+    assert [tuple(r)[:5] for r in sorted(out.collect())] == rows and [r.lang_pred_ for r in sorted(out.collect())] == ["aa", "bb", "aa"]
+    kept = langid.told(docs, model, 0.5)
+    assert kept.schema == docs.schema and sorted(map(tuple, kept.collect())) == rows
+    # one text, two languages, as often: the first by name
+    same = spark.createDataFrame([(i, "ka lo", k) for i, k in ((1, "bb"), (3, "aa"))], "doc_id long, text string, lang string")
+    assert {r.lang_pred for r in langid.identify(same, langid.fit(same, common.F.lit(True), "doc_id", "text", "lang")).collect()} == {"aa"}
+
+
 def test_quality_of_held_out_rows(spark):
     rows, labels = [], []
     for i in range(400):

@@ -18,6 +18,8 @@ ORDERS = (1, 2, 3)
 SMOOTH = 0.5
 #: Labelled rows that training takes of each language, on average over hashes of the id.
 ROWS_PER_LANG = 600
+#: Languages that a model can have; it takes 128 KB for each.
+MOST_LANGS = 1000
 LETTER = regex.compile(r"\p{L}")
 UND = "und"
 
@@ -65,9 +67,13 @@ def fit(docs: DataFrame, train, id_col: str, text_col: str, lang_col: str, rows_
 
     The sample is bounded by rows_per_lang rows of each language on average, taken
     by a hash of the id; counts come to the driver as languages x buckets at most.
+    More than MOST_LANGS languages are an error.
     """
     rows = docs.where(train & F.col(lang_col).isNotNull() & F.col(text_col).isNotNull()).select(F.col(id_col).alias("id"), F.col(text_col).alias("text"), F.col(lang_col).alias("lang"))
-    share = {r["lang"]: r["n"] for r in rows.groupBy("lang").agg(F.count(F.lit(1)).alias("n")).collect()}
+    found = rows.groupBy("lang").agg(F.count(F.lit(1)).alias("n")).limit(MOST_LANGS + 1).collect()
+    if len(found) > MOST_LANGS:
+        raise ValueError(f"over {MOST_LANGS} languages: the column of languages is no such column")
+    share = {r["lang"]: r["n"] for r in found}
     if not share:
         return None
     langs = sorted(share)
@@ -125,23 +131,31 @@ def predict(model: Model | None, texts: list[str | None]) -> tuple[list[str], li
     return lang, score
 
 
-def identify(docs: DataFrame, model: Model | None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """All columns of docs with lang_pred and score after them (columns of these names give way)."""
-    spark = docs.sparkSession
-    shared = spark.sparkContext.broadcast(pickle.dumps(model))
-    kept = [c for c in docs.columns if c not in ("lang_pred", "score")]
-    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema if f.name in kept) + ", lang_pred string, score double"
+def identified(docs: DataFrame, model: Model | None, text_col: str = "text") -> DataFrame:
+    """numbered(docs) with lang_pred and score after its columns."""
+    shared = docs.sparkSession.sparkContext.broadcast(pickle.dumps(model))
 
     def make():
         own = pickle.loads(shared.value)
 
         def work(batch: dict) -> dict:
-            batch["lang_pred"], batch["score"] = predict(own, batch[text_col])
-            return batch
+            lang, score = predict(own, batch["text"])
+            return {"lang_pred": lang, "score": score}
 
         return work
 
-    return common.map_rows(docs.select(kept), make, schema)
+    return common.add_columns(common.numbered(docs), {"text": common.at(docs, text_col)}, make, "lang_pred string, score double")
+
+
+def identify(docs: DataFrame, model: Model | None, text_col: str = "text") -> DataFrame:
+    """docs with lang_pred and score after its columns; where docs has such a name itself, the new one gets an underscore."""
+    return common.renamed(identified(docs, model, text_col), docs, ["lang_pred", "score"])
+
+
+def told(docs: DataFrame, model: Model | None, least: float, text_col: str = "text") -> DataFrame:
+    """The rows of docs whose language has a posterior of least or more, with the columns of docs; texts without a letter go."""
+    rows = identified(docs, model, text_col).where((F.col("lang_pred") != UND) & (F.col("score") >= least))
+    return rows.drop("lang_pred", "score").toDF(*docs.columns)
 
 
 def language_id(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> DataFrame:
@@ -149,8 +163,10 @@ def language_id(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
 
     Learns from text and non-null language of rows whose crc32(id as text) mod 4 is
     not 2. A text that is null or has no letter gets und and score 0, as do all if
-    no row teaches a language. A null id is not held out.
+    no row teaches a language. A null id is not held out. Of languages with equal
+    posteriors the first by name is told. Repeated rows count, and are answered, each
+    by itself; an empty table gives an empty result. Other columns play no part.
     """
     model = fit(docs, ~common.held_out(id_col), id_col, text_col, lang_col)
-    rows = docs.select(F.col(id_col), common.held_out(id_col).alias("held_out"), F.col(text_col).alias("text"))
-    return identify(rows, model, id_col, "text").select(id_col, "held_out", "lang_pred", "score")
+    rows = docs.select(F.col(id_col).alias("id"), common.held_out(id_col).alias("held_out"), F.col(text_col).alias("text"))
+    return identify(rows, model, "text").select(F.col("id").alias(id_col), "held_out", "lang_pred", "score")
