@@ -68,3 +68,18 @@ def test_odd_rows_pass_every_stage(spark, tmp_path):
             assert stage.columns == docs.columns
         out = corpus_pipeline.STAGES[-1][1](spark, stage, str(tmp_path))
         assert sorted(str(r.doc_id) for r in out.collect()) == want
+
+
+def test_clashing_columns_pass_every_stage(spark, tmp_path):
+    import corpus_pipeline
+
+    rows = [(i, prose(lang, 30), lang, "s", 0.25 * i, "own", [i], i, 2 * i, None if i % 3 else "x") for i in range(40) for lang in ["en" if i % 2 else "fr"]]
+    names = ["doc_id", "text", "lang", "source", "score", "lang_pred", "leaks", "n_tokens", "rank", "digest"]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, score double, lang_pred string, leaks array<int>, n_tokens int, rank long, digest string")
+    spark.createDataFrame([(0, prose("en", 9))], "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    stage = docs
+    for name, f in corpus_pipeline.STAGES[:-1]:
+        stage = f(spark, stage, str(tmp_path))
+        assert [(x.name, x.dataType) for x in stage.schema] == [(x.name, x.dataType) for x in docs.schema], name
+    assert sorted(tuple(r) for r in stage.collect()) == sorted(rows) and stage.columns == names
+    assert corpus_pipeline.STAGES[-1][1](spark, stage, str(tmp_path)).count() == 40
