@@ -23,10 +23,30 @@ def test_index_is_a_map():
 
 def test_equal_fingerprints_need_equal_keys():
     index = CuckooIndex(1)
-    keys = [b"xx" + bytes([i]) * 30 for i in range(100)]  # one fingerprint
+    keys = [bytes([i]) * 16 + b"xx" + bytes(14) for i in range(8)]  # one fingerprint, one bucket: as many as its two buckets hold
     for i, k in enumerate(keys):
         index.put(k, i)
-    assert [index.get(k) for k in keys] == list(range(100)) and index.get(b"xx" + bytes(30) + b"y") is None
+    assert [index.get(k) for k in keys] == list(range(8)) and index.get(b"y" * 16 + b"xx" + bytes(14)) is None
+    more = [bytes([i]) * 16 + b"xx" + bytes([i] * 14) for i in range(100)]  # one fingerprint, many buckets
+    for i, k in enumerate(more):
+        index.put(k, i)
+    assert [index.get(k) for k in more] == list(range(100))
+
+
+def test_fingerprints_set_most_misses_aside():
+    """Among digests of one sorting prefix, as in the second index, few absent ones meet an equal fingerprint."""
+    digests = [hashlib.sha256(str(i).encode()).digest() for i in range(40_000)]
+    digests = [b"\x12\x34" + d[2:] for d in digests]
+    index, hits = CuckooIndex(), 0
+    for d in digests[:20_000]:
+        index.put(d, 0)
+    assert len(set(index.prints)) > 10_000
+    for d in digests[20_000:]:
+        mark, one = index._print(d), index._first(d)
+        slots = {b * 4 + k for b in (one, index._other(one, mark)) for k in range(4)}
+        hits += any(index.prints[s] == mark for s in slots)
+        assert index.get(d) is None
+    assert hits / 20_000 < 0.001
 
 
 def test_groups(spark, odd_docs):

@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import zlib
 from array import array
 from collections.abc import Iterator
 
@@ -38,10 +37,11 @@ class CuckooIndex:
         self.values: list = [None] * (WAYS * buckets)
 
     def _print(self, key: bytes) -> int:
-        return int.from_bytes(key[:2], "little") or 1
+        """Two bytes that neither the sorting prefix nor the first bucket is taken from."""
+        return int.from_bytes(key[16:18], "little") or 1
 
     def _first(self, key: bytes) -> int:
-        return zlib.crc32(key) & self.mask
+        return int.from_bytes(key[24:32], "little") & self.mask
 
     def _other(self, bucket: int, mark: int) -> int:
         return (bucket ^ (mark * 0x5BD1E995 >> 3)) & self.mask
