@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import hashlib
 import re
-from bisect import bisect_right
+from bisect import bisect_left, bisect_right
 
 import zstandard
 from pyspark.sql import DataFrame
@@ -18,11 +18,12 @@ ASSIGN = re.compile(r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x2
 ACCESS = re.compile(r"AKIA[A-Z0-9]{16,}")
 HEX = re.compile(r"[0-9a-f]{24,}")
 
-#: Words that make a context sensitive, and the characters before a candidate in which they count.
+#: Words that make a context sensitive, and the characters before or after a candidate in which they count.
 SENSITIVE = re.compile(r"passw|pwd|secret|token|api.?key|access.?key|credential|auth|bearer|private|signature", re.IGNORECASE | re.ASCII)
 REACH = 48
 AROUND = 256
-CANDIDATE = re.compile(r"(?<![A-Za-z0-9+/_=-])[A-Za-z0-9+/_-]{16,}={0,2}(?![A-Za-z0-9+/_=-])")
+#: A string, or several with a dot between, as in web tokens.
+CANDIDATE = re.compile(r"(?<![A-Za-z0-9+/_=-])[A-Za-z0-9+/_-]{16,}(?:\.[A-Za-z0-9+/_-]{8,})*={0,2}(?![A-Za-z0-9+/_=-])")
 #: Least marginal bits a character of a string that is reported; hexadecimal digits carry 4.
 LEAST_BITS = 4.5
 
@@ -66,11 +67,13 @@ def _classes(text: str) -> int:
 
 def novel_spans(text: str, base: list[tuple[int, int, int]], novelty: Novelty) -> list[tuple[int, int, int]]:
     """Strings near sensitive words, of two character classes at least, outside base spans, that stay incompressible."""
-    words = [m.end() for m in SENSITIVE.finditer(text)]
+    found = list(SENSITIVE.finditer(text))
+    begin, end = [m.start() for m in found], [m.end() for m in found]
     out = []
-    for m in CANDIDATE.finditer(text) if words else ():
-        i = bisect_right(words, m.start())
-        if not i or m.start() - words[i - 1] > REACH or _classes(m[0]) < 2 or any(s < m.end() and m.start() < e for s, _, e in base):
+    for m in CANDIDATE.finditer(text) if found else ():
+        before, after = bisect_right(end, m.start()), bisect_left(begin, m.end())
+        near = before and m.start() - end[before - 1] <= REACH or after < len(begin) and begin[after] - m.end() <= REACH
+        if not near or _classes(m[0]) < 2 or any(s < m.end() and m.start() < e for s, _, e in base):
             continue
         if novelty.bits(text[max(0, m.start() - AROUND) : m.start()], m[0], text[m.end() : m.end() + AROUND]) >= LEAST_BITS:
             out.append((m.start(), 3, m.end()))
@@ -85,10 +88,12 @@ def secrets(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
     """One row per row of docs: id_col, n_assign, n_access, n_hex, n_novel, base_sha256, spans.
 
     Spans are kind:start:end in code points, end exclusive, by start and kind; a
-    span is the whole match. Null and empty texts have none. A candidate for novelty
-    is 16 characters or longer, begins within 48 characters after a sensitive word,
-    and is reported if it adds 4.5 bits a character to the compressed size of its
-    surroundings. Letters of patterns are ASCII only.
+    span is the whole match. Null and empty texts have none; repeated rows have equal
+    results, an empty table an empty one. A candidate for novelty is 16 characters or
+    longer, stands within 48 characters after or before a sensitive word, overlaps no
+    base span, and is reported if it adds 4.5 bits a character to the compressed size
+    of its surroundings. Letters of patterns are ASCII only. Other columns of docs
+    play no part.
     """
 
     def make():
