@@ -7,7 +7,6 @@ import numpy as np
 
 from veldmark.llm import decontaminate as dc
 from veldmark.llm.decontaminate import clean, contaminated, leaks, wand
-from veldmark.llm.licenses import TEMPLATES, Templates, align, license_scan, matches, winnow
 from veldmark.llm._text import shingles, words
 
 rng = random.Random(9)
@@ -160,42 +159,6 @@ def test_clashing_names_and_long_texts(spark):
     assert {r.c0: ([x.item_id for x in r.leaks_], r.leaks) for r in marked.collect()} == {3: ([7], "own"), 4: ([], "own"), 5: ([7], None), 6: ([], "own")}
 
 
-def test_winnow_covers_every_window():
-    for _ in range(200):
-        n = rng.randint(0, 30)
-        grams = np.array([rng.randrange(6) for _ in range(n)], np.uint64)
-        picked = set(winnow(grams, np.array([0, n])).tolist())
-        for i in range(n - 1):
-            assert {i, i + 1} & picked
-
-
-def test_alignment_equals_full_matrix():
-    for _ in range(200):
-        a = np.array([rng.randrange(4) for _ in range(rng.randint(1, 9))])
-        b = np.array([rng.randrange(4) for _ in range(rng.randint(1, 9))])
-        h, best = np.zeros((len(a) + 1, len(b) + 1), int), 0
-        for i in range(len(a)):
-            for j in range(len(b)):
-                h[i + 1, j + 1] = max(0, h[i, j] + (2 if a[i] == b[j] else -1), h[i, j + 1] - 1, h[i + 1, j] - 1)
-                best = max(best, h[i + 1, j + 1])
-        n, first, last = align(a, b, 0)
-        assert 2 * n >= best and (n == 0 or a[(a == b[first]).argmax()] == b[first])
-
-
-def test_licenses(spark, odd_docs):
-    own = Templates(TEMPLATES)
-    for name, text in TEMPLATES.items():
-        body = f"É {prose(30)}\n{text}\n{prose(30)}"
-        found = matches(own, [prose(50), body])
-        assert found[0] == []
-        hit = next(r for r in found[1] if r["license"] == name)
-        assert hit["coverage"] == 1.0 and words([body[hit["start"] : hit["end"]]]).hashes.tolist() == words([text]).hashes.tolist()
-    edited = TEMPLATES["MIT"].replace("free of charge", "at no cost").replace("merge, ", "")
-    assert any(r["license"] == "MIT" for r in matches(own, [edited])[0])
-    assert license_scan(odd_docs).where("n_licenses > 0").count() == 0 and license_scan(odd_docs).count() == odd_docs.count()
-    assert license_scan(odd_docs.limit(0)).count() == 0
-
-
 def test_shingles():
     h = words(["a b c d e f"]).hashes
     assert len(shingles(h, 5)) == 2 and (shingles(words(["x a b c d e f"]).hashes, 5)[1:] == shingles(h, 5)).all()

@@ -2,43 +2,69 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+from typing import NamedTuple
+
 import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from veldmark.llm import _common as common
 from veldmark.llm._text import Lookup, characters, shingles, words
+from veldmark.llm.license_texts import CREATIVE, CREATIVE_VERSIONS, FORMS, GNU, GNU_NOTICE, NAMES, TEXTS
 
 GRAM, WINDOW = 3, 2
 BAND = 8
-LEAST_COVERAGE = 0.8
-
-# License notices.
-TEMPLATES = {
-    "Apache-2.0 line": "Licensed under the Apache License, Version 2.0.",
-    "GPL-3.0 line": "This work is licensed under the GNU General Public License, version 3.",
-    "MIT line": "Released under the MIT License.",
-    "CC-BY-NC-4.0 line": "Licensed under CC BY-NC 4.0.",
-    "CC-BY-4.0": "This work is licensed under a Creative Commons Attribution 4.0 International License.",
-    "CC-BY-SA-4.0": "This work is licensed under a Creative Commons Attribution-ShareAlike 4.0 International License.",
-    "MIT": "Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files (the \"Software\"), to deal in the Software without restriction, including without limitation the rights to use, copy, modify, merge, publish, distribute, sublicense, and/or sell copies of the Software, and to permit persons to whom the Software is furnished to do so, subject to the following conditions: The above copyright notice and this permission notice shall be included in all copies or substantial portions of the Software.",
-    "ISC": "Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted, provided that the above copyright notice and this permission notice appear in all copies.",
-    "Apache-2.0": "Licensed under the Apache License, Version 2.0 (the \"License\"); you may not use this file except in compliance with the License. You may obtain a copy of the License at http://www.apache.org/licenses/LICENSE-2.0 Unless required by applicable law or agreed to in writing, software distributed under the License is distributed on an \"AS IS\" BASIS, WITHOUT WARRANTIES OR CONDITIONS OF ANY KIND, either express or implied. See the License for the specific language governing permissions and limitations under the License.",
-    "BSD": "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met: Redistributions of source code must retain the above copyright notice, this list of conditions and the following disclaimer.",
-    "GPL": "This program is free software: you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation, either version 3 of the License, or (at your option) any later version.",
-    "MPL-2.0": "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0. If a copy of the MPL was not distributed with this file, You can obtain one at http://mozilla.org/MPL/2.0/.",
-    "MIT disclaimer": "THE SOFTWARE IS PROVIDED \"AS IS\", WITHOUT WARRANTY OF ANY KIND, EXPRESS OR IMPLIED, INCLUDING BUT NOT LIMITED TO THE WARRANTIES OF MERCHANTABILITY, FITNESS FOR A PARTICULAR PURPOSE AND NONINFRINGEMENT. IN NO EVENT SHALL THE AUTHORS OR COPYRIGHT HOLDERS BE LIABLE FOR ANY CLAIM, DAMAGES OR OTHER LIABILITY, WHETHER IN AN ACTION OF CONTRACT, TORT OR OTHERWISE, ARISING FROM, OUT OF OR IN CONNECTION WITH THE SOFTWARE OR THE USE OR OTHER DEALINGS IN THE SOFTWARE.",
-    "ISC disclaimer": "THE SOFTWARE IS PROVIDED \"AS IS\" AND THE AUTHOR DISCLAIMS ALL WARRANTIES WITH REGARD TO THIS SOFTWARE INCLUDING ALL IMPLIED WARRANTIES OF MERCHANTABILITY AND FITNESS. IN NO EVENT SHALL THE AUTHOR BE LIABLE FOR ANY SPECIAL, DIRECT, INDIRECT, OR CONSEQUENTIAL DAMAGES OR ANY DAMAGES WHATSOEVER RESULTING FROM LOSS OF USE, DATA OR PROFITS, WHETHER IN AN ACTION OF CONTRACT, NEGLIGENCE OR OTHER TORTIOUS ACTION, ARISING OUT OF OR IN CONNECTION WITH THE USE OR PERFORMANCE OF THIS SOFTWARE.",
-    "BSD-2-Clause": "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met: 1. Redistributions of source code must retain the above copyright notice, this list of conditions and the following disclaimer. 2. Redistributions in binary form must reproduce the above copyright notice, this list of conditions and the following disclaimer in the documentation and/or other materials provided with the distribution. THIS SOFTWARE IS PROVIDED BY THE COPYRIGHT HOLDERS AND CONTRIBUTORS \"AS IS\" AND ANY EXPRESS OR IMPLIED WARRANTIES, INCLUDING, BUT NOT LIMITED TO, THE IMPLIED WARRANTIES OF MERCHANTABILITY AND FITNESS FOR A PARTICULAR PURPOSE ARE DISCLAIMED. IN NO EVENT SHALL THE COPYRIGHT HOLDER OR CONTRIBUTORS BE LIABLE FOR ANY DIRECT, INDIRECT, INCIDENTAL, SPECIAL, EXEMPLARY, OR CONSEQUENTIAL DAMAGES (INCLUDING, BUT NOT LIMITED TO, PROCUREMENT OF SUBSTITUTE GOODS OR SERVICES; LOSS OF USE, DATA, OR PROFITS; OR BUSINESS INTERRUPTION) HOWEVER CAUSED AND ON ANY THEORY OF LIABILITY, WHETHER IN CONTRACT, STRICT LIABILITY, OR TORT (INCLUDING NEGLIGENCE OR OTHERWISE) ARISING IN ANY WAY OUT OF THE USE OF THIS SOFTWARE, EVEN IF ADVISED OF THE POSSIBILITY OF SUCH DAMAGE.",
-    "BSD-3-Clause": "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met: 1. Redistributions of source code must retain the above copyright notice, this list of conditions and the following disclaimer. 2. Redistributions in binary form must reproduce the above copyright notice, this list of conditions and the following disclaimer in the documentation and/or other materials provided with the distribution. 3. Neither the name of the copyright holder nor the names of its contributors may be used to endorse or promote products derived from this software without specific prior written permission. THIS SOFTWARE IS PROVIDED BY THE COPYRIGHT HOLDERS AND CONTRIBUTORS \"AS IS\" AND ANY EXPRESS OR IMPLIED WARRANTIES, INCLUDING, BUT NOT LIMITED TO, THE IMPLIED WARRANTIES OF MERCHANTABILITY AND FITNESS FOR A PARTICULAR PURPOSE ARE DISCLAIMED. IN NO EVENT SHALL THE COPYRIGHT HOLDER OR CONTRIBUTORS BE LIABLE FOR ANY DIRECT, INDIRECT, INCIDENTAL, SPECIAL, EXEMPLARY, OR CONSEQUENTIAL DAMAGES (INCLUDING, BUT NOT LIMITED TO, PROCUREMENT OF SUBSTITUTE GOODS OR SERVICES; LOSS OF USE, DATA, OR PROFITS; OR BUSINESS INTERRUPTION) HOWEVER CAUSED AND ON ANY THEORY OF LIABILITY, WHETHER IN CONTRACT, STRICT LIABILITY, OR TORT (INCLUDING NEGLIGENCE OR OTHERWISE) ARISING IN ANY WAY OUT OF THE USE OF THIS SOFTWARE, EVEN IF ADVISED OF THE POSSIBILITY OF SUCH DAMAGE.",
-    "GPL-2.0": "This program is free software; you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation; either version 2 of the License, or (at your option) any later version. This program is distributed in the hope that it will be useful, but WITHOUT ANY WARRANTY; without even the implied warranty of MERCHANTABILITY or FITNESS FOR A PARTICULAR PURPOSE. See the GNU General Public License for more details.",
-    "LGPL-2.1": "This library is free software; you can redistribute it and/or modify it under the terms of the GNU Lesser General Public License as published by the Free Software Foundation; either version 2.1 of the License, or (at your option) any later version. This library is distributed in the hope that it will be useful, but WITHOUT ANY WARRANTY; without even the implied warranty of MERCHANTABILITY or FITNESS FOR A PARTICULAR PURPOSE. See the GNU Lesser General Public License for more details.",
-    "LGPL-3.0": "This program is free software: you can redistribute it and/or modify it under the terms of the GNU Lesser General Public License as published by the Free Software Foundation, either version 3 of the License, or (at your option) any later version.",
-    "AGPL-3.0": "This program is free software: you can redistribute it and/or modify it under the terms of the GNU Affero General Public License as published by the Free Software Foundation, either version 3 of the License, or (at your option) any later version.",
-    "EPL-2.0": "This program and the accompanying materials are made available under the terms of the Eclipse Public License 2.0 which is available at https://www.eclipse.org/legal/epl-2.0/",
-    "Zlib": "This software is provided 'as-is', without any express or implied warranty. In no event will the authors be held liable for any damages arising from the use of this software. Permission is granted to anyone to use this software for any purpose, including commercial applications, and to alter it and redistribute it freely, subject to the following restrictions: 1. The origin of this software must not be misrepresented; you must not claim that you wrote the original software. If you use this software in a product, an acknowledgment in the product documentation would be appreciated but is not required. 2. Altered source versions must be plainly marked as such, and must not be misrepresented as being the original software. 3. This notice may not be removed or altered from any source distribution.",
-    "Unlicense": "This is free and unencumbered software released into the public domain. Anyone is free to copy, modify, publish, use, compile, sell, or distribute this software, either in source code form or as a compiled binary, for any purpose, commercial or non-commercial, and by any means.",
-}
+#: Share of a text's words that makes it whole, words of a part that is reported, and the fewest common fingerprints about a diagonal.
+LEAST_COVERAGE, LEAST_PART, LEAST_SEEDS = 0.8, 24, 2
+#: Words of the shortest notice: two fingerprints' worth.
+LEAST_NOTICE = GRAM + WINDOW - 1
+
+
+class Template(NamedTuple):
+    """A notice has to be there word for word; of other texts a part or a changed copy counts as well."""
+
+    license: str
+    text: str
+    notice: bool
+
+
+def known_names() -> Iterator[tuple[str, str]]:
+    """(license, name) of all licenses that have names."""
+    for license, names in NAMES.items():
+        yield from ((license, n) for n in names)
+    for short, full, abbreviation, versions in GNU:
+        for v in versions:
+            license = f"{short}-{v if '.' in v else v + '.0'}"
+            for name in (f"GNU {full}", f"GNU {abbreviation}", abbreviation):
+                for form in dict.fromkeys((f"version {v}", f"v{v}", v, license[len(short) + 1 :], f"v{license[len(short) + 1 :]}", f"version {license[len(short) + 1 :]}")):
+                    yield license, f"{name} {form}"
+    for terms, full in CREATIVE.items():
+        for version, places in CREATIVE_VERSIONS.items():
+            license = f"CC-{terms}-{version}"
+            yield license, f"CC {terms} {version}"
+            for place in places:
+                yield license, f"Creative Commons {full} {version} {place}"
+                yield license, f"Creative Commons {full} {place} {version}"
+
+
+def common_templates() -> list[Template]:
+    """Texts of common licenses, opening sentences of the GNU notices, and every name in every form of a notice."""
+    out = [Template(license, text, False) for license, text in TEXTS]
+    opening = GNU_NOTICE[: GNU_NOTICE.index("This {thing} is distributed")]
+    for short, full, _, versions in GNU:
+        for v in versions:
+            for thing in ("program", "library"):
+                out.append(Template(f"{short}-{v if '.' in v else v + '.0'}", opening.format(thing=thing, colon=":", comma=",", name=full, version=v), False))
+    seen = set()
+    for license, name in known_names():
+        for form in FORMS:
+            text = form.format(name)
+            key = tuple(words([text]).hashes.tolist())
+            if len(key) >= LEAST_NOTICE and key not in seen:
+                seen.add(key)
+                out.append(Template(license, text, True))
+    return out
 
 
 def winnow(grams: np.ndarray, first: np.ndarray) -> np.ndarray:
@@ -60,29 +86,41 @@ def winnow(grams: np.ndarray, first: np.ndarray) -> np.ndarray:
     return np.unique(at)
 
 
-class Templates:
+def prints(grams: np.ndarray) -> np.ndarray:
+    """The winnowed positions of a template that any text with a copy of it has, whatever stands around: those of full windows."""
+    picked = winnow(grams, np.array([0, len(grams)]))
+    if len(grams) < WINDOW:
+        return picked
+    inside = [lo + WINDOW - 1 - int(np.argmin(grams[lo : lo + WINDOW][::-1])) for lo in range(len(grams) - WINDOW + 1)]
+    return np.intersect1d(picked, inside)
+
+
+class Index:
     """Words of the templates, and an inverted index of their fingerprints."""
 
-    def __init__(self, templates: dict[str, str]):
-        self.names = list(templates)
-        self.words = [words([t]).hashes for t in templates.values()]
-        postings: dict[int, list[tuple[int, int]]] = {}
-        for k, own in enumerate(self.words):
-            grams = shingles(own, GRAM)
-            for j in winnow(grams, np.array([0, len(grams)])):
-                postings.setdefault(int(grams[j]), []).append((k, int(j)))
-        keys = np.array(list(postings), np.uint64)
-        self.postings = list(postings.values())
+    def __init__(self, templates: list[Template]):
+        self.templates = templates
+        self.words = [words([t.text]).hashes for t in templates]
+        grams = [shingles(own, GRAM) for own in self.words]
+        picked = [prints(g) for g in grams]
+        self.prints = np.array([len(x) for x in picked], np.int64)
+        self.notice = np.array([t.notice for t in templates], bool)
+        every = np.concatenate([g[x] for g, x in zip(grams, picked, strict=True)] or [np.zeros(0, np.uint64)])
+        of = np.repeat(np.arange(len(templates)), self.prints)
+        at = np.concatenate([*picked, np.zeros(0, np.int64)])
+        order = np.argsort(every, kind="stable")
+        keys, first = np.unique(every[order], return_index=True)
         self.lookup = Lookup(keys)
+        self.template, self.place, self.begin = of[order], at[order], np.append(first, len(order))
 
 
-def align(template: np.ndarray, text: np.ndarray, diagonal: int) -> tuple[int, int, int]:
-    """Best local alignment within BAND of a diagonal: matched words, first and last matched word of the text.
+def align(template: np.ndarray, text: np.ndarray, diagonal: int) -> tuple[int, int, int, int]:
+    """Best local alignment within BAND of a diagonal: score, matched words, first and last matched word of the text.
 
     Matches count 2, mismatches and gaps -1 each.
     """
     width = 2 * BAND + 1
-    # a cell: score, matched, first, last
+    # a cell: score, matched words, first and last of them
     none = (0, 0, -1, -1)
     above, best = [none] * (width + 2), none
     for j, word in enumerate(template):
@@ -103,67 +141,122 @@ def align(template: np.ndarray, text: np.ndarray, diagonal: int) -> tuple[int, i
             if row[b][0] > best[0]:
                 best = row[b]
         above = row
-    return best[1], best[2], best[3]
+    return best
 
 
-def matches(templates: Templates, texts: list[str], least: float = LEAST_COVERAGE) -> list[list[dict]]:
-    """Of each text: license, coverage, matched words, and the span in code points."""
+class Match(NamedTuple):
+    template: int
+    words: int
+    first: int
+    last: int
+
+
+def _candidates(index: Index, own: np.ndarray) -> Iterator[tuple[int, int]]:
+    """(template, diagonal) with enough common fingerprints: all of a notice's on one diagonal, two of a text's within BAND diagonals.
+
+    One diagonal stands for all that an alignment about it covers.
+    """
+    grams = shingles(own, GRAM)
+    picked = winnow(grams, np.array([0, len(grams)]))
+    key = index.lookup(grams[picked])
+    picked, key = picked[key >= 0], key[key >= 0]
+    n = index.begin[key + 1] - index.begin[key]
+    listed = np.repeat(index.begin[key] - (np.cumsum(n) - n), n) + np.arange(n.sum())
+    template, diagonal = index.template[listed], np.repeat(picked, n) - index.place[listed]
+    order = np.lexsort((diagonal, template))
+    template, diagonal = template[order], diagonal[order]
+    new = np.flatnonzero(np.concatenate([[True], (template[1:] != template[:-1]) | (diagonal[1:] != diagonal[:-1])])) if len(order) else order
+    times = np.diff(np.append(new, len(template)))
+    template, diagonal = template[new], diagonal[new]
+    exact = index.notice[template]
+    for i in np.flatnonzero(exact & (times >= index.prints[template])):
+        yield int(template[i]), int(diagonal[i])
+    held: list[tuple[int, int]] = []
+    last = None
+    for k, d, n in [*zip(template[~exact].tolist(), diagonal[~exact].tolist(), times[~exact].tolist(), strict=True), (-1, 0, 0)]:
+        if held and (k != last or d - held[0][0] > BAND):
+            if sum(x for _, x in held) >= LEAST_SEEDS:
+                yield last, max(held, key=lambda x: (x[1], -x[0]))[0]
+            held = []
+        last = k
+        held.append((d, n))
+
+
+def _aligned(index: Index, own: np.ndarray) -> Iterator[Match]:
+    """What the candidates come to: notices that are there word for word, and alignments of other templates, one for each diagonal."""
+    for k, d in _candidates(index, own):
+        template = index.words[k]
+        if index.notice[k]:
+            if d >= 0 and np.array_equal(own[d : d + len(template)], template):
+                yield Match(k, len(template), d, d + len(template) - 1)
+        else:
+            base = max(0, d - BAND)
+            _, n, first, last = align(template, own[base : d + len(template) + BAND + 1], d - base)
+            if n >= min(LEAST_PART, LEAST_COVERAGE * len(template)):
+                yield Match(k, n, base + first, base + last)
+
+
+def settled(index: Index, found: list[Match], least: float = LEAST_COVERAGE) -> list[Match]:
+    """Whole matches before parts, then more words first, then the larger share; a match goes if more than half of it lies in one that stays."""
+    share = lambda m: m.words / len(index.words[m.template])
+    out: list[Match] = []
+    for m in sorted(set(found), key=lambda m: (share(m) < least, -m.words, -share(m), m.first, index.templates[m.template].license, m.template)):
+        inside = sum(max(0, min(m.last, o.last) - max(m.first, o.first) + 1) for o in out)
+        if 2 * inside <= m.last - m.first + 1:
+            out.append(m)
+    return sorted(out, key=lambda m: (m.first, m.last))
+
+
+def matches(index: Index, texts: list[str], least: float = LEAST_COVERAGE) -> list[list[dict]]:
+    """Of each text: license, coverage, matched words, and the span in code points, by their place in the text."""
     out: list[list[dict]] = [[] for _ in texts]
     for a, b in common.slices(texts):
         found = words(texts[a:b])
-        grams = shingles(found.hashes, GRAM)
-        known = np.flatnonzero(templates.lookup(grams) >= 0)  # cheap; winnowing then only looks at texts with a known gram
+        known = np.flatnonzero(index.lookup(shingles(found.hashes, GRAM)) >= 0)  # cheap; the rest only looks at texts with a known gram
         for t in np.unique(np.searchsorted(found.first, known, side="right") - 1):
             lo, hi = found.first[t], found.first[t + 1]
-            own = found.hashes[lo:hi]
-            mine = shingles(own, GRAM)
-            picked = winnow(mine, np.array([0, len(mine)]))
-            hits: dict[int, list[tuple[int, int]]] = {}
-            for i, key in zip(picked, templates.lookup(mine[picked]), strict=True):
-                for k, j in templates.postings[key] if key >= 0 else ():
-                    hits.setdefault(k, []).append((int(i), j))
-            for k, pairs in hits.items():
-                done = -1
-                for i, j in sorted(pairs):
-                    if i <= done:
-                        continue
-                    size = len(templates.words[k])
-                    base = max(0, i - j - BAND)
-                    n, first, last = align(templates.words[k], own[base : i - j + size + BAND + 1], i - j - base)
-                    if n >= least * size:
-                        done = base + last
-                        start, end = found.start[lo + base + first], found.end[lo + base + last]
-                        out[a + t].append({"license": templates.names[k], "coverage": n / size, "matched_words": n, "start": characters(found, t, start), "end": characters(found, t, end)})
-        for rows in out[a:b]:
-            rows.sort(key=lambda r: (r["start"], r["license"]))
+            for m in settled(index, list(_aligned(index, found.hashes[lo:hi])), least):
+                start, end = found.start[lo + m.first], found.end[lo + m.last]
+                out[a + t].append({"license": index.templates[m.template].license, "coverage": m.words / len(index.words[m.template]), "matched_words": m.words, "start": characters(found, t, start), "end": characters(found, t, end)})
     return out
 
 
-def license_scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", templates: dict[str, str] | None = None) -> DataFrame:
-    """One row per row of docs: id_col, n_licenses, licenses, spans, and found, an array of all matches.
+def license_scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", templates: list[Template] | None = None, least: float = LEAST_COVERAGE) -> DataFrame:
+    """One row per row of docs: id_col, n_licenses, licenses, partial, spans, and found, an array of all matches.
+
+    Templates with common winnowed fingerprints of three words are aligned with the
+    text about the fingerprints' diagonal. A notice, which names a license in some
+    form, counts word for word. Of other templates those with 80 % of their words
+    are whole; parts of 24 words are reported with their coverage. Of matches that
+    overlap by more than half the one with more words stays, of equals the one with
+    the larger share, then the license that is first by name.
 
-    Templates with a common winnowed fingerprint of three words are aligned with the
-    text around it; those with 80 % of their words matched are reported. spans are
-    license:start:end in code points, end exclusive, with semicolons between; texts
-    without a match, null and empty ones have empty results.
+    licenses lists those of whole matches, partial those of which there are parts
+    only. spans are license:start:end of whole matches in code points, end
+    exclusive, with semicolons between. Texts without a match, null and empty ones
+    have empty results; repeated rows have equal ones, an empty table gives an empty
+    result. Other columns of docs play no part.
     """
-    shared = docs.sparkSession.sparkContext.broadcast(templates or TEMPLATES)
+    shared = docs.sparkSession.sparkContext.broadcast([tuple(t) for t in (templates if templates is not None else common_templates())])
 
     def make():
-        own = Templates(shared.value)
+        own = Index([Template(*t) for t in shared.value])
 
         def work(batch: dict) -> dict:
-            found = matches(own, [t or "" for t in batch["text"]])
+            found = matches(own, [t or "" for t in batch["text"]], least)
+            whole = [[r for r in x if r["coverage"] >= least] for x in found]
+            names = [{r["license"] for r in x} for x in whole]
             return {
                 "id": batch["id"],
-                "n_licenses": list(map(len, found)),
-                "licenses": [",".join(sorted({r["license"] for r in x})) for x in found],
-                "spans": [";".join(f"{r['license']}:{r['start']}:{r['end']}" for r in x) for x in found],
+                "n_licenses": list(map(len, whole)),
+                "licenses": [",".join(sorted(x)) for x in names],
+                "partial": [",".join(sorted({r["license"] for r in x} - own)) for x, own in zip(found, names, strict=True)],
+                "spans": [";".join(f"{r['license']}:{r['start']}:{r['end']}" for r in x) for x in whole],
                 "found": found,
             }
 
         return work
 
-    rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
-    schema = f"id {dict(rows.dtypes)['id']}, n_licenses long, licenses string, spans string, found array<struct<license: string, coverage: double, matched_words: long, start: long, end: long>>"
+    rows = docs.select(F.col(f"`{id_col}`").alias("id"), F.col(f"`{text_col}`").alias("text"))
+    schema = f"id {dict(rows.dtypes)['id']}, n_licenses long, licenses string, partial string, spans string, found array<struct<license: string, coverage: double, matched_words: long, start: long, end: long>>"
     return common.map_rows(rows, make, schema).withColumnRenamed("id", id_col)
