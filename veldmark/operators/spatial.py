@@ -136,7 +136,7 @@ def match_features(a: DataFrame, b: DataFrame, angle_epsilon: float, len_epsilon
     return joined.where(apart < len_epsilon_sq).drop("_band")
 
 
-def match_arrays(a: DataFrame, b: DataFrame, angle_epsilon: float, len_epsilon_sq: float, which: int = 3) -> DataFrame:
+def match_arrays(a: DataFrame, b: DataFrame, angle_epsilon: float, len_epsilon_sq: float, which: int = 3, by: list[str] = ()) -> DataFrame:
     """Features with as many angles and lengths, all of which are within epsilon: angles (which 1), lengths (2) or both (3).
 
     The first angle (length, for 2) puts features into bands that meet.
@@ -144,11 +144,11 @@ def match_arrays(a: DataFrame, b: DataFrame, angle_epsilon: float, len_epsilon_s
     first, width = (F.get("angles", F.lit(0)), angle_epsilon) if which & 1 else (F.get("lengths", F.lit(0)), len_epsilon_sq)
     cell = F.floor(first / width)
     pack = lambda df: F.struct(*df.columns)
-    left = a.select(pack(a).alias("f1"), F.size("angles").alias("n"), F.explode(F.array(cell - 1, cell, cell + 1)).alias("_band"))
-    right = b.select(pack(b).alias("f2"), F.size("angles").alias("n"), cell.alias("_band"))
+    left = a.select(*by, pack(a).alias("f1"), F.size("angles").alias("n"), F.explode(F.array(cell - 1, cell, cell + 1)).alias("_band"))
+    right = b.select(*by, pack(b).alias("f2"), F.size("angles").alias("n"), cell.alias("_band"))
     close = lambda name, eps: F.forall(F.zip_with(F.col(f"f1.{name}"), F.col(f"f2.{name}"), lambda x, y: F.abs(x - y) <= eps), lambda ok: ok)
     condition = (close("angles", angle_epsilon) if which & 1 else F.lit(True)) & (close("lengths", len_epsilon_sq) if which & 2 else F.lit(True))
-    return left.join(right, ["n", "_band"]).where(condition).select("f1", "f2")
+    return left.join(right, [*by, "n", "_band"]).where(condition).select("f1", "f2")
 
 
 def match_nearby(a: DataFrame, b: DataFrame, axes: list[str], radius: float, angle_epsilon: float, len_epsilon_sq: float, id_col: str = "fid") -> DataFrame:
@@ -191,19 +191,26 @@ def masked(points: DataFrame, mask: DataFrame, axes: list[str], value: str) -> D
     return keyed.join(other, [f"_v{a}" for a in axes], "left_semi").drop(*[f"_v{a}" for a in axes])
 
 
-def ball_offsets(spark, radii: list[float]) -> DataFrame:
-    """Integer offsets within an ellipsoid: a fixed, small table."""
-    reach = [int(r) for r in radii]
-    rows = [p for p in product(*[range(-r, r + 1) for r in reach]) if sum((x / r) ** 2 for x, r in zip(p, radii, strict=True) if r) <= 1]
-    return spark.createDataFrame(rows, ", ".join(f"o{i} int" for i in range(len(radii))))
+def ball_size(radii: list[float]) -> int:
+    """Integer offsets within an ellipsoid: along the last axis their number is known, so only the others are gone through."""
+    *others, last = radii
+    total = 0
+    for p in product(*[range(-int(r), int(r) + 1) for r in others]):
+        left = 1 - sum((x / r) ** 2 for x, r in zip(p, others, strict=True) if r)
+        if left >= 0:
+            total += 2 * int(last * left**0.5 + 1e-9) + 1
+    return total
 
 
 def region_means(peaks: DataFrame, voxels: DataFrame, axes: list[str], radii: list[float], id_col: str, by: list[str], value: str) -> DataFrame:
-    """Mean of the voxels within an ellipsoid of each peak, at each by; the divisor is the full number of voxels."""
-    offsets = ball_offsets(peaks.sparkSession, radii)
-    n = offsets.count()
-    around = peaks.join(F.broadcast(offsets), F.lit(True)).select(id_col, *[(F.col(a).cast("int") + F.col(f"o{i}")).alias(a) for i, a in enumerate(axes)])  # the offsets of one ball
-    return around.join(voxels.select(*by, *axes, value), axes).groupBy(*by, id_col).agg((F.sum(value) / n).alias("mean"))
+    """Mean of the voxels within an ellipsoid of each peak, at each by; the divisor is the full number of voxels. Each peak goes to its ellipsoid's positions in its own task."""
+    around, left = peaks.select(id_col, *[F.col(a).cast("int").alias(a) for a in axes]), F.lit(1 + 1e-9)
+    for i, (_, r) in enumerate(zip(axes, radii, strict=True)):
+        around = around.withColumn(f"_o{i}", F.explode(F.sequence(F.lit(-int(r)), F.lit(int(r)))))
+        if r:
+            left = left - F.pow(F.col(f"_o{i}") / float(r), F.lit(2))
+    around = around.where(left >= 0).select(id_col, *[(F.col(a) + F.col(f"_o{i}")).alias(a) for i, a in enumerate(axes)])
+    return around.join(voxels.select(*by, *axes, value), axes).groupBy(*by, id_col).agg((F.sum(value) / ball_size(radii)).alias("mean"))
 
 
 def square_sums(peaks: DataFrame, pixels: DataFrame, x: str, y: str, radius: int, value: str, id_col: str) -> DataFrame:

@@ -22,10 +22,11 @@ def points(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("pid"), "label", at(0).alias("x"), at(1).alias("y"), at(2).alias("z"))
 
 
-@query(f"WITH {POINTS} SELECT a.pid, b.pid AS other, {D2} AS d2 FROM p a JOIN p b ON {D2} <= 10000 WHERE a.label = 0 AND b.label = 1")
+@query(f"WITH {POINTS} SELECT a.pid, b.pid AS other, {D2} AS d2 FROM p a JOIN p b ON b.label = a.label + 1 AND {D2} <= 10000")
 def j7_radius(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found = points(spark, sf_dir)
-    return spatial.radius_join(found.where("label = 0"), found.where("label = 1"), AXES, RADIUS)
+    """Labels stand for time points: points of each and those of the next."""
+    found = points(spark, sf_dir).withColumnRenamed("label", "t")
+    return spatial.radius_join(found, found.withColumn("t", F.col("t") - 1), AXES, RADIUS, by=["t"]).drop("t")
 
 
 @query(f"WITH {POINTS}, {NEAR} SELECT pid, other, d2, CAST(rank AS INT) AS rank FROM near")
@@ -93,17 +94,17 @@ def n2_constellations(spark: SparkSession, sf_dir: str) -> DataFrame:
     return features(spark, sf_dir).drop("label").withColumn("angle", F.round("angle", 6))
 
 
-@query(f"WITH {PAIRED} SELECT a.pid AS pid1, CAST(a.feature AS INT) AS feature1, b.pid AS pid2, CAST(b.feature AS INT) AS feature2 FROM feats a JOIN feats b ON abs(a.angle - b.angle) < 0.05 AND abs(a.len1 - b.len1) + abs(a.len2 - b.len2) < 900.5 WHERE a.label = 0 AND b.label = 1")
+@query(f"WITH {PAIRED} SELECT a.pid AS pid1, CAST(a.feature AS INT) AS feature1, b.pid AS pid2, CAST(b.feature AS INT) AS feature2 FROM feats a JOIN feats b ON abs(a.angle - b.angle) < 0.05 AND abs(a.len1 - b.len1) + abs(a.len2 - b.len2) < 900.5 AND b.label = a.label + 1")
 def j4_match(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found = features(spark, sf_dir)
-    pairs = spatial.match_features(found.where("label = 0"), found.where("label = 1"), 0.05, 900.5)
+    found = features(spark, sf_dir).withColumnRenamed("label", "t")
+    pairs = spatial.match_features(found, found.withColumn("t", F.col("t") - 1), 0.05, 900.5, by=["t"])
     return pairs.select(F.col("f1.pid").alias("pid1"), F.col("f1.feature").alias("feature1"), F.col("f2.pid").alias("pid2"), F.col("f2.feature").alias("feature2"))
 
 
-@query(f"WITH {PAIRED} SELECT a.pid AS pid1, CAST(a.feature AS INT) AS feature1, b.pid AS pid2, CAST(b.feature AS INT) AS feature2 FROM feats a JOIN feats b ON abs(a.angle - b.angle) < 0.05 AND abs(a.len1 / nullif(a.len1 + a.len2, 0) - b.len1 / nullif(b.len1 + b.len2, 0)) < 0.0300001 WHERE a.label = 0 AND b.label = 1")
+@query(f"WITH {PAIRED} SELECT a.pid AS pid1, CAST(a.feature AS INT) AS feature1, b.pid AS pid2, CAST(b.feature AS INT) AS feature2 FROM feats a JOIN feats b ON abs(a.angle - b.angle) < 0.05 AND abs(a.len1 / nullif(a.len1 + a.len2, 0) - b.len1 / nullif(b.len1 + b.len2, 0)) < 0.0300001 AND b.label = a.label + 1")
 def j5_scale_invariant(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found = features(spark, sf_dir)
-    pairs = spatial.match_features(found.where("label = 0"), found.where("label = 1"), 0.05, 0.0300001, scale_invariant=True)
+    found = features(spark, sf_dir).withColumnRenamed("label", "t")
+    pairs = spatial.match_features(found, found.withColumn("t", F.col("t") - 1), 0.05, 0.0300001, by=["t"], scale_invariant=True)
     return pairs.select(F.col("f1.pid").alias("pid1"), F.col("f1.feature").alias("feature1"), F.col("f2.pid").alias("pid2"), F.col("f2.feature").alias("feature2"))
 
 
@@ -125,23 +126,23 @@ def pf20_calibrated(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("""
     WITH v AS (SELECT CAST(vec_id AS INT) AS y, i - 1 AS x, CAST(embedding[i] AS DOUBLE) AS v FROM embeddings, range(1, 65) r(i)),
-    k AS (SELECT vec_id AS pid, CAST((vec_id * 7) % 64 AS INT) AS x, CAST(vec_id AS INT) AS y FROM embeddings WHERE label = 3)
-    SELECT k.pid, round(sum(v.v), 6) AS sum FROM k JOIN v ON v.x BETWEEN k.x - 2 AND k.x + 2 AND v.y BETWEEN k.y - 2 AND k.y + 2 GROUP BY k.pid""")
+    k AS (SELECT vec_id AS pid, CAST((vec_id * 7) % 64 AS INT) AS x, CAST(vec_id AS INT) AS y FROM embeddings), s AS (SELECT k.pid, k.x + dx AS x, k.y + dy AS y FROM k, range(-2, 3) a(dx), range(-2, 3) b(dy))
+    SELECT s.pid, round(sum(v.v), 6) AS sum FROM s JOIN v USING (x, y) GROUP BY s.pid""")
 def a19_square_sums(spark: SparkSession, sf_dir: str) -> DataFrame:
     vectors = table(spark, sf_dir, "embeddings")
     pixels = vectors.select(F.col("vec_id").cast("int").alias("y"), F.posexplode(F.col("embedding").cast("array<double>")).alias("x", "v"))
-    peaks = vectors.where("label = 3").select(F.col("vec_id").alias("pid"), (F.col("vec_id") * 7 % 64).cast("int").alias("x"), F.col("vec_id").cast("int").alias("y"))
+    peaks = vectors.select(F.col("vec_id").alias("pid"), (F.col("vec_id") * 7 % 64).cast("int").alias("x"), F.col("vec_id").cast("int").alias("y"))
     return spatial.square_sums(peaks, pixels, "x", "y", 2, "v", "pid").withColumn("sum", F.round("sum", 6))
 
 
 @query("""
     WITH v AS (SELECT CAST(vec_id AS INT) AS y, i - 1 AS x, label, CAST(embedding[i] AS DOUBLE) AS v FROM embeddings, range(1, 65) r(i)),
-    k AS (SELECT vec_id AS pid, CAST((vec_id * 7) % 64 AS INT) AS x, CAST(vec_id AS INT) AS y FROM embeddings WHERE label = 3)
-    SELECT k.pid, v.label, round(sum(v.v) / 13, 6) AS mean FROM k JOIN v ON (v.x - k.x) * (v.x - k.x) + (v.y - k.y) * (v.y - k.y) <= 4 GROUP BY k.pid, v.label""")
+    k AS (SELECT vec_id AS pid, CAST((vec_id * 7) % 64 AS INT) AS x, CAST(vec_id AS INT) AS y FROM embeddings), s AS (SELECT k.pid, k.x + dx AS x, k.y + dy AS y FROM k, range(-2, 3) a(dx), range(-2, 3) b(dy) WHERE dx * dx + dy * dy <= 4)
+    SELECT s.pid, v.label, round(sum(v.v) / 13, 6) AS mean FROM s JOIN v USING (x, y) GROUP BY s.pid, v.label""")
 def j21_region_means(spark: SparkSession, sf_dir: str) -> DataFrame:
     vectors = table(spark, sf_dir, "embeddings")
     pixels = vectors.select("label", F.col("vec_id").cast("int").alias("y"), F.posexplode(F.col("embedding").cast("array<double>")).alias("x", "v"))
-    peaks = vectors.where("label = 3").select(F.col("vec_id").alias("pid"), (F.col("vec_id") * 7 % 64).cast("int").alias("x"), F.col("vec_id").cast("int").alias("y"))
+    peaks = vectors.select(F.col("vec_id").alias("pid"), (F.col("vec_id") * 7 % 64).cast("int").alias("x"), F.col("vec_id").cast("int").alias("y"))
     return spatial.region_means(peaks, pixels, ["x", "y"], [2, 2], "pid", ["label"], "v").withColumn("mean", F.round("mean", 6))
 
 
@@ -181,9 +182,10 @@ def n6_consensus(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query()
 def ml3_forest(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Predicted class of each vector from its first attributes; a forest has no SQL."""
+    """Predicted class of each vector, 200 trees of two attributes at a split having learnt from those whose id isn't divisible by 4; a forest has no SQL."""
     from veldmark.operators import ml
 
-    rows = table(spark, sf_dir, "embeddings").select("vec_id", F.col("label").cast("double").alias("label"), *[F.get("embedding", F.lit(i)).cast("double").alias(f"a{i}") for i in range(6)])
     attributes = [f"a{i}" for i in range(6)]
-    return ml.classify(ml.random_forest(rows, attributes, trees=20), rows.select("vec_id", *attributes)).select("vec_id", "class")
+    rows = table(spark, sf_dir, "embeddings").select("vec_id", (F.get("embedding", F.lit(0)) > F.get("embedding", F.lit(1))).cast("double").alias("label"), *[F.get("embedding", F.lit(i)).cast("double").alias(a) for i, a in enumerate(attributes)])
+    model = ml.random_forest(rows.where("vec_id % 4 <> 0"), attributes)
+    return ml.classify(model, rows.select("vec_id", "label", *attributes)).select("vec_id", (F.col("vec_id") % 4 == 0).alias("held_out"), F.col("label").cast("int").alias("truth"), "class")
