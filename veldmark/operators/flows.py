@@ -42,7 +42,7 @@ def forward_transforms(matches: DataFrame, by: str, at: str, model: str = "trans
     fitted = registration.fit_pairs(matches.select(by, at, F.col("p2").alias("p1"), F.col("p1").alias("p2")), [by, at], model, **options)
     kinds = dict(fitted.dtypes)
 
-    def fold(key, pdf: pd.DataFrame) -> pd.DataFrame:
+    def fold(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
         rows, last = [], None
         for _, r in pdf.sort_values(at).iterrows():
             if r["matrix"] is None:

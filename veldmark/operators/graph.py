@@ -52,6 +52,27 @@ def coloured_edges(halves: DataFrame) -> DataFrame:
     return halves.groupBy("pre", "pre_part", "post", "post_part").agg(F.count(F.lit(1)).alias("n"))
 
 
+def components(edges: DataFrame) -> DataFrame:
+    """(node, root) of every node of undirected edges (src, dst): the root is the least node that it is connected with.
+
+    In each round every node takes the least label among its neighbours' and its
+    own, and then the label of that label, so labels travel twice as far each time.
+    A round is written to the shared folder; nothing but one flag comes to the driver.
+    """
+    both = edges.select("src", "dst").union(edges.select("dst", "src")).where("src <> dst").distinct()
+    both = cut(both)
+    ends = edges.select(F.col("src").alias("node")).union(edges.select("dst")).where("node IS NOT NULL").distinct()
+    state = cut(ends.select("node", F.col("node").alias("root")))
+    while True:
+        near = both.join(state.select(F.col("node").alias("dst"), F.col("root").alias("other")), "dst").groupBy("src").agg(F.min("other").alias("other"))
+        least = state.join(near.withColumnRenamed("src", "node"), "node", "left").select("node", "root", F.least("root", "other").alias("new"))
+        far = least.select(F.col("node").alias("new"), F.col("new").alias("beyond"))
+        turned = cut(least.join(far, "new").select("node", F.col("root").alias("old"), F.least("new", "beyond").alias("root")))
+        if turned.where("old <> root").isEmpty():
+            return turned.select("node", "root")
+        state = turned.select("node", "root")
+
+
 def path_to_root(nodes: DataFrame, node: str = "node", parent: str = "parent", length: Column | None = None) -> DataFrame:
     """node, root, distance and depth of each node of a forest.
 

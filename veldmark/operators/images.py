@@ -138,8 +138,8 @@ def shifted(df: DataFrame, axes: dict[str, int], value: str, name: str) -> DataF
     return df.join(other, list(axes), "left")
 
 
-def affine_sampled(df: DataFrame, wanted: DataFrame, inverse: list[list[float]], axes: list[str], value: str) -> DataFrame:
-    """n-linear interpolation of an image at positions mapped back by an affine map (numbers, or Columns of wanted); 0 outside."""
+def affine_sampled(df: DataFrame, wanted: DataFrame, inverse: list[list[float]], axes: list[str], value: str, border: tuple[int, ...] | None = None) -> DataFrame:
+    """n-linear interpolation of an image at positions mapped back by an affine map (numbers, or Columns of wanted); 0 outside, or the nearest pixel of an image of the size that border gives."""
     place = {f"_p{i}": sum((F.col(a) * inverse[i][j] for j, a in enumerate(axes)), inverse[i][-1] if isinstance(inverse[i][-1], Column) else F.lit(float(inverse[i][-1]))) for i in range(len(axes))}
     at = wanted.withColumns(place)
     corners = F.array(*[F.struct(*[F.lit(c >> i & 1).alias(f"b{i}") for i in range(len(axes))]) for c in range(1 << len(axes))])
@@ -150,7 +150,8 @@ def affine_sampled(df: DataFrame, wanted: DataFrame, inverse: list[list[float]],
         low = F.floor(F.col(f"_p{i}"))
         part = F.col(f"_p{i}") - low
         weight = weight * F.when(F.col(f"_corner.b{i}") == 1, part).otherwise(1 - part)
-        keys[f"_k{i}"] = low + F.col(f"_corner.b{i}")
+        corner = low + F.col(f"_corner.b{i}")
+        keys[f"_k{i}"] = corner if border is None else F.greatest(F.lit(0), F.least(F.lit(border[i] - 1), corner))
     other = df.select(*[F.col(a).alias(f"_k{i}") for i, a in enumerate(axes)], F.col(value).alias("_v"))
     joined = spread.withColumns(keys | {"_w": weight}).join(other, list(keys), "left")
     return joined.groupBy(*axes).agg(F.sum(F.col("_w") * F.coalesce("_v", F.lit(0.0))).alias(value))
@@ -241,6 +242,17 @@ def phase_correlation(a: np.ndarray, b: np.ndarray) -> tuple[int, ...]:
     return tuple(int(-(p - n if p > n // 2 else p)) for p, n in zip(peak, a.shape, strict=True))
 
 
+def distance_transform(mask: DataFrame, x: str, y: str, value: str, reach: int, name: str = "distance") -> DataFrame:
+    """Each pixel of a mask with its distance to the nearest pixel of the other kind: positive inside, negative outside, reach where none is as near."""
+    from veldmark.operators.spatial import nearest
+
+    ids = mask.select(F.struct(x, y).alias("pid"), x, y, (F.col(value) != 0).alias("inside"))
+    inside, outside = ids.where("inside"), ids.where("NOT inside")
+    to = lambda a, b: a.select("pid", x, y, "inside").join(nearest(a, b, [x, y], reach).select("pid", F.sqrt("d2").alias("d")), "pid", "left")
+    both = to(inside, outside).union(to(outside, inside)).withColumn("d", F.coalesce("d", F.lit(float(reach))))
+    return both.select(x, y, F.when(F.col("inside"), F.col("d")).otherwise(-F.col("d")).alias(name))
+
+
 def interpolated_masks(lower: DataFrame, upper: DataFrame, x: str, y: str, value: str, weight: float, reach: float) -> DataFrame:
     """A mask between two masks: where the weighted sum of their signed distances to the edge is positive.
 

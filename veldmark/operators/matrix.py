@@ -5,10 +5,10 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from veldmark.functions.text import common_prefix, strip_last_word
+from veldmark.operators.windows import numbered
 
 AGGREGATES: dict[str, Callable[[Column], Column]] = {"max": F.max, "min": F.min, "sum": F.sum, "mean": F.avg, "count": F.count}
 
@@ -43,8 +43,7 @@ def combine_named(matrix: DataFrame, aggregate: str = "sum", key: Callable[[Colu
     grouped = matrix.groupBy(key(F.col("row")).alias("row"), key(F.col("col")).alias("col")).agg(aggregate_by_name(aggregate)(F.col("v")).alias("v"), F.min("row_idx").alias("r"), F.min("col_idx").alias("c"))
     rows = grouped.groupBy("row").agg(F.min("r").alias("r"))
     cols = grouped.groupBy("col").agg(F.min("c").alias("c"))
-    # the distinct names of one axis are numbered in one task; they are as few as the matrix is wide or high
-    rank = lambda df, name, at: df.select(name, (F.row_number().over(W.orderBy(at)) - 1).alias(f"{name}_idx"))
+    rank = lambda df, name, at: numbered(df, [at], f"{name}_idx").select(name, F.col(f"{name}_idx").cast("int"))
     return grouped.drop("r", "c").join(rank(rows, "row", "r"), "row").join(rank(cols, "col", "c"), "col").select("row_idx", "row", "col_idx", "col", "v")
 
 

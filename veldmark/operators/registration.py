@@ -2,9 +2,12 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
 
 def fit_affine(p: np.ndarray, q: np.ndarray) -> np.ndarray:
@@ -57,7 +60,7 @@ def fit_pairs(matches: DataFrame, by: list[str], model: str = "affine", **option
     """A map for each group of matches (p1, p2 arrays): by, matrix (row order; null without consensus), inliers. A group's matches fit in a task."""
     types = dict(matches.dtypes)
 
-    def one(key, pdf):
+    def one(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values(["p1", "p2"], key=lambda c: c.map(tuple))
         found = consensus(np.stack(pdf["p1"].map(np.asarray)), np.stack(pdf["p2"].map(np.asarray)), model, **options)
         return pd.DataFrame([[*key, found[0].ravel().tolist() if found else None, int(found[1].sum()) if found else 0]], columns=[*by, "matrix", "inliers"])
@@ -87,7 +90,7 @@ def relax_groups(matches: DataFrame, by: str, fixed: list[int], model: str = "ri
     """relax for each group of rows (i, j, p1, p2): by, tile, matrix. One mosaic fits in a task."""
     kind = dict(matches.dtypes)[by]
 
-    def one(key, pdf):
+    def one(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
         parts = [(int(i), int(j), np.stack(g["p1"].map(np.asarray)), np.stack(g["p2"].map(np.asarray))) for (i, j), g in pdf.groupby(["i", "j"])]
         maps = relax(int(max(pdf["i"].max(), pdf["j"].max())) + 1, fixed, parts, model, **options)
         return pd.DataFrame([(key[0], t, m.ravel().tolist()) for t, m in enumerate(maps)], columns=[by, "tile", "matrix"])
@@ -108,3 +111,26 @@ def thin_plate(p: np.ndarray, q: np.ndarray):
     system[:n, :n], system[:n, n:], system[n:, :n] = bend(p, p), flat, flat.T
     weights = np.linalg.lstsq(system, np.vstack([q, np.zeros((d + 1, q.shape[1]))]), rcond=None)[0]
     return lambda x: bend(x, p) @ weights[:n] + np.hstack([np.ones((len(x), 1)), x]) @ weights[n:]
+
+
+def elastic(matches: DataFrame, points: DataFrame, by: list[str], id_col: str = "pid") -> DataFrame:
+    """Points moved by the thin-plate spline of their group's matches: by, id_col, place.
+
+    matches: by, p1, p2 (arrays); points: by, id_col, p. A group's matches fit in a
+    task; its points come in batches. Groups without matches keep their points.
+    """
+    types = dict(points.dtypes)
+    packed = matches.groupBy(*by).agg(F.array_sort(F.collect_list(F.struct("p1", "p2"))).alias("_matches"))
+    keyed = points.select(*by, id_col, "p").join(packed, by, "left").repartition(*by).sortWithinPartitions(*by)
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        last, spline = object(), None
+        for pdf in batches:
+            for key, own in pdf.groupby(by, sort=False, dropna=False):
+                rows = own["_matches"].iloc[0]
+                if key != last:
+                    last, spline = key, None if rows is None else thin_plate(np.array([list(r["p1"]) for r in rows], float), np.array([list(r["p2"]) for r in rows], float))
+                p = np.stack(own["p"].map(np.asarray))
+                yield pd.DataFrame({**{c: own[c] for c in [*by, id_col]}, "place": list(p if spline is None else spline(p))})
+
+    return keyed.mapInPandas(run, ", ".join(f"`{c}` {types[c]}" for c in [*by, id_col]) + ", place array<double>")

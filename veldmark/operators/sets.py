@@ -84,3 +84,10 @@ def in_given_order(df: DataFrame, key: str, names: list[str]) -> DataFrame:
 
 def page(df: DataFrame, order: list, start: int, length: int) -> DataFrame:
     return df.orderBy(*order).offset(start).limit(length)
+
+
+def natural_order(column: str) -> list[Column]:
+    """An order of a column that suits its type: numbers, also those written as text, by size and before other text; text by its characters; nulls last."""
+    own = F.col(column)
+    number = own.cast("string").try_cast("double")
+    return [number.asc_nulls_last(), own.cast("string").asc_nulls_last()]

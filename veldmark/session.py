@@ -3,25 +3,31 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """spark.checkpoint.dir, which all executors share; set here only where it is unset."""
+    """spark.checkpoint.dir, which all executors share; set here only where it is unset and the master is local, as in tests."""
     base = spark.conf.get("spark.checkpoint.dir", None)
     if not base:
+        master = spark.sparkContext.master
+        if not master.startswith("local") or master.startswith("local-cluster"):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
         base = f"file://{tempfile.mkdtemp(prefix='veldmark-')}"
         spark.conf.set("spark.checkpoint.dir", base)
-    if spark.sparkContext.getCheckpointDir() is None:
-        spark.sparkContext.setCheckpointDir(base)
     return base
 
 
 def cut(df: DataFrame) -> DataFrame:
-    """df computed and written to the shared folder, so that a loop's plan stays short and lost executors cost little."""
-    shared_folder(df.sparkSession)
-    return df.checkpoint()
+    """df written as a table in the shared folder and read again, so that a loop's plan stays short and lost executors cost little.
+
+    A checkpoint would keep the plan's estimate of its size, which a loop of joins multiplies until it overflows.
+    """
+    path = f"{shared_folder(df.sparkSession)}/veldmark-cut-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:

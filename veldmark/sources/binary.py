@@ -5,7 +5,7 @@ from __future__ import annotations
 import bz2
 import struct
 import zlib
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 from pyspark.sql import DataFrame, SparkSession
@@ -107,6 +107,68 @@ def directories(content: bytes) -> Iterator[dict]:
         at, = struct.unpack_from(f"{order}I", content, at + 2 + 12 * n)
 
 
+def pack_bits(data: bytes) -> bytes:
+    """Runs of equal bytes as a count and the byte, others as they are, 128 at most together."""
+    out, at = bytearray(), 0
+    while at < len(data):
+        run = 1
+        while run < 128 and at + run < len(data) and data[at + run] == data[at]:
+            run += 1
+        if run > 1:
+            out += bytes([257 - run, data[at]])
+            at += run
+            continue
+        stop = at + 1
+        while stop < len(data) and stop - at < 128 and (stop + 1 >= len(data) or data[stop] != data[stop + 1]):
+            stop += 1
+        out += bytes([stop - at - 1]) + data[at:stop]
+        at = stop
+    return bytes(out)
+
+
+PACK = {1: bytes, 32773: pack_bits, 8: zlib.compress}
+
+
+def tagged_image(planes: list[np.ndarray], compression: int = 1, big_endian: bool = False, rows_per_strip: int | None = None) -> bytes:
+    """A tagged image file of planes of u1, u2 or f4, in strips: raw (1), PackBits (32773) or deflate (8)."""
+    order = ">" if big_endian else "<"
+    out = bytearray((b"MM" if big_endian else b"II") + struct.pack(f"{order}HI", 42, 0))
+    link = 4  # where the place of the next directory goes
+    for p in planes:
+        height, width = p.shape
+        rows = rows_per_strip or height
+        raw = p.astype(p.dtype.newbyteorder(order))
+        strips = [PACK[compression](raw[y : y + rows].tobytes()) for y in range(0, height, rows)]
+        offsets = []
+        for strip in strips:
+            offsets.append(len(out))
+            out += strip + b"\0" * (len(strip) % 2)
+        lists = {}
+        for tag, values in ((273, offsets), (279, [len(x) for x in strips])):
+            lists[tag] = len(out)
+            out += struct.pack(f"{order}{len(values)}I", *values)
+        tags = {256: width, 257: height, 258: p.dtype.itemsize * 8, 259: compression, 262: 1, 273: offsets, 277: 1, 278: rows, 279: [len(x) for x in strips], 339: 3 if p.dtype.kind == "f" else 1}
+        struct.pack_into(f"{order}I", out, link, len(out))
+        out += struct.pack(f"{order}H", len(tags))
+        for tag, value in tags.items():
+            several = isinstance(value, list)
+            out += struct.pack(f"{order}HHII", tag, 4, len(value) if several else 1, value if not several else value[0] if len(value) == 1 else lists[tag])
+        link = len(out)
+        out += struct.pack(f"{order}I", 0)
+    return bytes(out)
+
+
+def section_file(planes: np.ndarray) -> bytes:
+    """A section file of channel x height x width 16-bit values, channels interleaved."""
+    channels, height, width = planes.shape
+    head = bytearray(HEADER)
+    struct.pack_into(">I", head, 0, MAGIC)
+    head[AT_CHANNELS] = channels
+    struct.pack_into(">i", head, AT_WIDTH, width)
+    struct.pack_into(">i", head, AT_HEIGHT, height)
+    return bytes(head) + planes.reshape(channels, -1).T.astype(">i2").tobytes()
+
+
 def plane(content: bytes, directory: dict) -> np.ndarray:
     """The pixels of one directory; JPEG and unknown compressions fail."""
     if directory["compression"] not in UNPACK:
@@ -148,9 +210,14 @@ def read_raw(spark: SparkSession, path: str, kind: str = "ushort", header: int =
     return _spread(_files(spark, path), lambda c: [(raw_values(c, kind, header, big_endian).astype(float),)], "data array<double>")
 
 
-def read_sections(spark: SparkSession, path: str, channel: int = -1) -> DataFrame:
-    """path, channel, width, height, data of section files: a row per channel."""
-    return _spread(_files(spark, path), lambda c: section(c, channel), "channel int, width int, height int, data array<int>")
+def read_sections(spark: SparkSession, path: str, channel: int = -1, filtered: Callable[[np.ndarray], np.ndarray] | None = None) -> DataFrame:
+    """path, channel, width, height, data of section files: a row per channel. filtered: what is done to each plane (height x width) as it is read."""
+
+    def each(content: bytes):
+        for c, width, height, data in section(content, channel):
+            yield c, width, height, data if filtered is None else np.asarray(filtered(data.reshape(height, width))).ravel()
+
+    return _spread(_files(spark, path), each, "channel int, width int, height int, data array<int>")
 
 
 def read_section_headers(spark: SparkSession, path: str) -> DataFrame:
@@ -186,7 +253,9 @@ def read_compressed_micrograph(spark: SparkSession, path: str) -> DataFrame:
 
 
 def cells(images: DataFrame, size: int) -> DataFrame:
-    """Images (path, width, height, data) cut to cells: path, cx, cy, and the rows of pixels that meet the cell."""
-    rows = images.select("path", "width", "height", F.explode(F.sequence(F.lit(0), F.col("height") - 1)).alias("y"), "data").select("path", "width", "y", F.slice("data", F.col("y") * F.col("width") + 1, F.col("width")).alias("row"))
-    parts = rows.select("path", "y", F.explode(F.sequence(F.lit(0), F.floor((F.col("width") - 1) / size).cast("int"))).alias("cx"), "row")
-    return parts.select("path", "cx", F.floor(F.col("y") / size).alias("cy"), "y", F.slice("row", F.col("cx") * size + 1, F.lit(size)).alias("data"))
+    """Images (path, width, height, data) cut to cells: path, cx, cy, y, and the row's pixels within the cell. No row carries more than its own pixels; for large raw files, regions.read_cells reads no whole plane."""
+    at = lambda i, n: (i * n).cast("int")
+    part = lambda y, cx: F.slice("data", y * F.col("width") + at(cx, size) + 1, F.least(F.lit(size), F.col("width") - at(cx, size)))
+    columns = F.sequence(F.lit(0), F.floor((F.col("width") - 1) / size).cast("int"))
+    rows = F.transform(F.sequence(F.lit(0), F.col("height") - 1), lambda y: F.transform(columns, lambda cx: F.struct(cx.alias("cx"), F.floor(y / size).alias("cy"), y.alias("y"), part(y, cx).alias("data"))))
+    return images.select("path", F.inline(F.flatten(rows)))

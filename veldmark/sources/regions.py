@@ -8,6 +8,7 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.fs
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceReader, EqualTo, Filter, GreaterThan, GreaterThanOrEqual, InputPartition, LessThan, LessThanOrEqual
 
 from veldmark.sources.binary import KINDS
@@ -91,3 +92,10 @@ def read_region(spark: SparkSession, paths: str | list[str], width: int, height:
     for name, value in options.items():
         reader = reader.option(name, str(value))
     return reader.load()
+
+
+def read_cells(spark: SparkSession, paths: str | list[str], width: int, height: int, size: int, **options) -> DataFrame:
+    """Large raw images cut to cells as they are read: path, cx, cy, y, and the row's pixels within the cell. A task has the rows of one band of cells."""
+    rows = read_region(spark, paths, width, height, **{"rows": size} | options)
+    parts = F.transform(F.sequence(F.lit(0), F.floor((F.size("data") - 1) / size).cast("int")), lambda i: F.struct(i.alias("cx"), F.slice("data", (i * size).cast("int") + 1, F.lit(size)).alias("data")))
+    return rows.select("path", F.floor(F.col("y") / size).alias("cy"), "y", F.inline(parts)).select("path", "cx", "cy", "y", "data")

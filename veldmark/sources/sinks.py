@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from veldmark.functions.text import coordinates_label
@@ -43,6 +43,50 @@ def with_parameters(df: DataFrame, path: str, params: dict) -> None:
     df.withColumn("params", F.create_map(*pairs) if pairs else F.lit(None).cast("map<string,string>")).write.mode("overwrite").parquet(path)
 
 
+def files(df: DataFrame, folder: str, name: str = "name", content: str = "content") -> int:
+    """A file for each row (a path below the folder, and bytes), written by the tasks; how many. Each comes under another name first, so a task that runs again replaces whole files."""
+    import uuid
+
+    import pandas as pd
+
+    def run(batches):
+        import pyarrow.fs
+
+        system, base = pyarrow.fs.FileSystem.from_uri(folder) if "://" in folder else (pyarrow.fs.LocalFileSystem(), folder)
+        for pdf in batches:
+            for path, data in zip(pdf[name], pdf[content], strict=True):
+                target = f"{base}/{path}"
+                system.create_dir(target.rsplit("/", 1)[0], recursive=True)
+                held = f"{target}.{uuid.uuid4().hex}.tmp"
+                with system.open_output_stream(held) as out:
+                    out.write(bytes(data))
+                system.move(held, target)
+            yield pd.DataFrame({"n": [len(pdf)]})
+
+    return df.select(name, content).mapInPandas(run, "n long").agg(F.sum("n")).first()[0] or 0
+
+
+def texts(lines: DataFrame, folder: str, by: str, at: str, line: str) -> None:
+    """A text file in a folder of its own for each by, with its lines in order. A file's lines fit in a task, as they do for its readers."""
+    ordered = F.transform(F.array_sort(F.collect_list(F.struct(F.col(at).alias("at"), F.col(line).alias("line")))), lambda r: r["line"])
+    lines.groupBy(by).agg(F.array_join(ordered, "\n").alias("value")).write.mode("overwrite").partitionBy(by).text(folder)
+
+
+def parameter_csv(df: DataFrame, folder: str, by: str, order: str, params: dict, columns: list[str] | None = None) -> None:
+    """A table for each by, under a preamble of two lines: names of parameters in quotes, and their values. A parameter is a value, a list, or a Column of by; without columns there is no heading."""
+    plain = lambda v: F.lit(str(v)) if not isinstance(v, str) else F.lit(f'"{v}"')
+    value = lambda v: v.cast("string") if isinstance(v, Column) else F.lit(f'"{list(v)}"') if isinstance(v, list | tuple) else plain(v)
+    quoted = lambda names: ",".join(f'"{n}"' for n in names)
+    keys = df.select(by).distinct()
+    own = [c for c in df.columns if c != by] if columns is None else columns
+    heads = [F.struct(F.lit(-3).cast("double").alias("at"), F.lit(quoted(params)).alias("line")), F.struct(F.lit(-2).cast("double").alias("at"), F.concat_ws(",", *map(value, params.values())).alias("line"))]
+    if own:
+        heads.append(F.struct(F.lit(-1).cast("double").alias("at"), F.lit(quoted(own)).alias("line")))
+    preamble = keys.select(by, F.explode(F.array(*heads)).alias("h")).select(by, "h.at", "h.line")
+    rows = df.select(by, F.col(order).cast("double").alias("at"), F.concat_ws(",", *[F.col(c).cast("string") for c in own]).alias("line")) if own else preamble.limit(0)
+    texts(preamble.union(rows), folder, by, "at", "line")
+
+
 def matrices_csv(df: DataFrame, path: str, matrix: str, order: str, d: int, one_file: bool = True) -> None:
     """Maps in row order under the heading m00, m01, ..."""
     cells = [F.get(matrix, F.lit(i * (d + 1) + j)).alias(f"m{i}{j}") for i in range(d) for j in range(d + 1)]

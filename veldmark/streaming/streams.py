@@ -79,7 +79,7 @@ def merge_peaks(peaks: DataFrame, series: str, radius: float, at: str = "t") ->
     """merged_peaks for each series of rows (series, t, x, y, z), in order of t, x, y, z: series, x, y, z, n."""
     kind = dict(peaks.dtypes)[series]
 
-    def one(key, pdf):
+    def one(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values([at, "x", "y", "z"])
         known, count = merged_peaks([g[["x", "y", "z"]].to_numpy(float) for _, g in pdf.groupby(at, sort=True)], radius)
         return pd.DataFrame({series: key[0], "x": known[:, 0], "y": known[:, 1], "z": known[:, 2], "n": count})
