@@ -324,11 +324,16 @@ def near_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
 
 
 def near_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """near_groups without the digest: id_col, class_id, class_size, kept."""
+    """One row per row of docs: id_col, class_id, class_size, kept, as near_groups finds them.
+
+    Null, empty and wordless texts are classes of their own; of rows that repeat id
+    and text one is kept; an empty table gives an empty result. Other columns of
+    docs play no part, whatever their names.
+    """
     return near_groups(docs, id_col, text_col).select(F.col("id").alias(id_col), "class_id", "class_size", "kept")
 
 
 def distinct_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The rows of docs that near_groups keeps, with the columns of docs."""
+    """The rows of docs that near_groups keeps, with the columns of docs, whatever their names; an empty table stays empty."""
     kept = near_groups(docs, id_col, text_col).where("kept").groupBy("id", F.col("txt").alias("digest")).agg(F.count(F.lit(1)).alias("reps"))
     return common.kept_rows(docs, kept, id_col, _digest(text_col))
