@@ -3,12 +3,12 @@
 from __future__ import annotations
 
 import numpy as np
-import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from veldmark.functions import affine
 from veldmark.operators import images, registration, spatial, windows
+from veldmark.session import cut
 from veldmark.sources import sinks
 from veldmark.streaming.streams import frequent, merge_peaks
 
@@ -37,24 +37,13 @@ def measured(peaks: DataFrame, voxels: DataFrame, axes: list[str], radii: list[f
     return windows.delta_f_over_f(series.withColumn("f", F.col("mean").cast("float").cast("double")), "f", ["pid"], [time], window, noise, sigma)
 
 
-def forward_transforms(matches: DataFrame, by: str, at: str, model: str = "translation", **options) -> DataFrame:
-    """A map for each time point to the one before (matches: by, at, p1 of the earlier, p2 of the later), folded from the first on."""
+def forward_transforms(matches: DataFrame, by: str, at: str, model: str = "translation", d: int = 2, **options) -> DataFrame:
+    """A map for each time point to the first (matches: by, at, p1 of the earlier, p2 of the later): each one's map to the one before, after all before that. Times without consensus are left out.
+
+    The maps of the times are fitted apart and multiplied by a scan, in as many rounds as the logarithm of the longest series.
+    """
     fitted = registration.fit_pairs(matches.select(by, at, F.col("p2").alias("p1"), F.col("p1").alias("p2")), [by, at], model, **options)
-    kinds = dict(fitted.dtypes)
-
-    def fold(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
-        rows, last = [], None
-        for _, r in pdf.sort_values(at).iterrows():
-            if r["matrix"] is None:
-                continue
-            m = np.asarray(r["matrix"], float)
-            d = 2 if len(m) == 6 else 3
-            step = np.vstack([m.reshape(d, d + 1), np.eye(d + 1)[-1]])
-            last = step if last is None else last @ step
-            rows.append((key[0], r[at], last[:-1].ravel().tolist()))
-        return pd.DataFrame(rows, columns=[by, at, "matrix"])
-
-    return fitted.groupBy(by).applyInPandas(fold, f"{by} {kinds[by]}, {at} {kinds[at]}, matrix array<double>")
+    return windows.running_product(cut(fitted.where(F.col("matrix").isNotNull())), "matrix", [by], at, d)
 
 
 def exported_chunk(value: Column | str, low: float, high: float, inverted: bool = True):

@@ -46,9 +46,14 @@ def cumulative_affine(df: DataFrame, matrix: str, by: list[str], order: str, d:
     Maps don't commute but they associate, so each round puts the product of the
     rows 1, 2, 4, ... places before in front; rounds are the logarithm of the longest group.
     """
+    first = F.row_number().over(_over(by, [order])) == 1
+    return running_product(df.select(*by, order, F.when(first, affine.identity(d)).otherwise(affine.invert(matrix, d)).alias(matrix)), matrix, by, order, d)
+
+
+def running_product(df: DataFrame, matrix: str, by: list[str], order: str, d: int) -> DataFrame:
+    """by, order, matrix: each row's map after those of the rows before it in its group, the first row's applied last."""
     w = _over(by, [order])
-    step = F.when(F.row_number().over(w) == 1, affine.identity(d)).otherwise(affine.invert(matrix, d))
-    state = df.select(*by, order, step.alias(matrix))
+    state = df.select(*by, order, matrix)
     longest = df.groupBy(*by).agg(F.count(F.lit(1)).alias("n")).agg(F.max("n")).first()[0] or 0
     shift = 1
     while shift < longest:
