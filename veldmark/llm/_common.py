@@ -5,6 +5,7 @@ from __future__ import annotations
 import tempfile
 import uuid
 from collections.abc import Callable, Iterator
+from contextlib import contextmanager
 
 import numpy as np
 import pyarrow as pa
@@ -14,7 +15,9 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 #: Rows and bytes that are turned into Python objects together. Arrow batches themselves are bounded in bytes by Spark.
-PART_ROWS, PART_BYTES = 512, 8 << 20
+PART_ROWS, PART_BYTES = 512, 4 << 20
+#: Bytes of an Arrow batch of a job that runs here.
+BATCH_BYTES = 8 << 20
 
 
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -36,10 +39,23 @@ def scratch(spark: SparkSession) -> str:
     return f"{base.rstrip('/')}/veldmark-{uuid.uuid4().hex}"
 
 
+@contextmanager
+def small_batches(spark: SparkSession) -> Iterator[None]:
+    """Jobs within use Arrow batches of BATCH_BYTES: several tasks of an executor hold some copies of a batch each. The session's own setting comes back."""
+    name = "spark.sql.execution.arrow.maxBytesPerBatch"
+    before = spark.conf.get(name)
+    spark.conf.set(name, str(BATCH_BYTES))
+    try:
+        yield
+    finally:
+        spark.conf.set(name, before)
+
+
 def stored(df: DataFrame, folder: str, name: str) -> DataFrame:
     """Write df as a table in the shared folder and read it: lineage ends here."""
     path = f"{folder}/{name}"
-    df.write.mode("overwrite").parquet(path)
+    with small_batches(df.sparkSession):
+        df.write.mode("overwrite").parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 

@@ -170,7 +170,8 @@ def random_indexing(docs: DataFrame, text_col: str = "text", seed: int = 11) ->
             yield packed(k, own)
 
     kind = "block int, kind string, counts binary"
-    tables = docs.select(F.col(text_col)).mapInArrow(gather, kind).repartition("block").mapInArrow(add, kind).collect()
+    with common.small_batches(docs.sparkSession):
+        tables = docs.select(F.col(text_col)).mapInArrow(gather, kind).repartition("block").mapInArrow(add, kind).collect()
     total = np.zeros((BLOCKS, size))
     for r in tables:
         total[r["block"]] = np.frombuffer(zlib.decompress(r["counts"]), r["kind"])
