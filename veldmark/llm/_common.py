@@ -17,7 +17,7 @@ from pyspark.sql import functions as F
 #: Rows and bytes that are turned into Python objects together. Arrow batches themselves are bounded in bytes by Spark.
 PART_ROWS, PART_BYTES = 512, 4 << 20
 #: Bytes of an Arrow batch of a job that runs here.
-BATCH_BYTES = 8 << 20
+BATCH_BYTES = 1 << 20
 
 
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -25,7 +25,7 @@ from veldmark.llm._text import Lookup, shingles, words
 K1, B = 1.2, 0.75
 BLOCK = 4
 #: Cells of block maxima that are summed at once.
-CELLS = 1 << 22
+CELLS = 1 << 20
 #: An item is retrieved if a passage reaches this share of the score that the item's own text has.
 LEAST_SCORE = 0.6
 SHINGLE, LEAST_OVERLAP = 5, 0.8
