@@ -19,7 +19,7 @@ BATCHES, DEFAULT = "spark.sql.execution.arrow.maxBytesPerBatch", 64 << 20
 
 
 def _settled(spark: SparkSession) -> None:
-    """The pipeline's session passes texts to Python in batches of 8 MB, unless somebody has chosen a size: executors of three gigabytes hold several copies of each task's. Operators leave the session as it is."""
+    """The pipeline's session passes texts to Python in batches of 1 MB, unless somebody has chosen a size: executors of three gigabytes hold several copies of each task's. Operators leave the session as it is."""
     if spark.conf.get(BATCHES).rstrip("b") == str(DEFAULT):
         spark.conf.set(BATCHES, str(common.BATCH_BYTES))
 
