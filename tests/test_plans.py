@@ -13,7 +13,7 @@ def plan(spark, name):
     return catalogue.queries()[name](spark, SF)._jdf.queryExecution().executedPlan().toString()
 
 
-@pytest.mark.parametrize("name", ["j7_radius", "j8_neighbours", "j4_match", "j5_scale_invariant", "j12_band_pairs", "n2_constellations", "j6_match_arrays", "n20_nearest_by_tag", "g2_reciprocal", "j2_connectors", "v8_affine_sampling", "w6_block_sums"])
+@pytest.mark.parametrize("name", ["j7_radius", "j8_neighbours", "j4_match", "j5_scale_invariant", "j12_band_pairs", "n2_constellations", "j6_match_arrays", "n20_nearest_by_tag", "g2_reciprocal", "j2_connectors", "v8_affine_sampling", "w6_block_sums", "a19_square_sums", "j21_region_means", "m9_painted", "n17_distance", "n19_haar_like", "n19_patch", "n21_spheres", "n22_nuclei", "sk10_exported"])
 def test_no_products(spark, name):
     found = plan(spark, name)
     assert "CartesianProduct" not in found and "BroadcastNestedLoopJoin" not in found
