@@ -130,6 +130,37 @@ def rerooted(nodes: DataFrame, root, node: str = "node", parent: str = "parent")
     return nodes.select(F.col(node).alias("node"), F.col(parent).alias("old")).join(turned, "node", "left").select("node", F.when(F.coalesce("turned", F.lit(False)), F.col("new")).otherwise(F.col("old")).alias("parent"))
 
 
+def smoothed_positions(nodes: DataFrame, axes: list[str], sigma: float, node: str = "node", parent: str = "parent") -> DataFrame:
+    """node and its place after a Gaussian of path length along unbranched stretches.
+
+    Roots, branch points and ends stay in place. A node between them takes the weighted
+    mean of its stretch's nodes, both ends included, at most 3 sigma away. Nodes of a
+    stretch meet in cells of 3 sigma, so a long stretch is spread over tasks.
+    """
+    places = [F.col(a).cast("double").alias(a) for a in axes]
+    tree = nodes.select(F.col(node).alias("node"), F.col(parent).alias("parent"), *places)
+    above = nodes.select(F.col(node).alias("parent"), *[F.col(a).cast("double").alias(f"_up_{a}") for a in axes])
+    children = tree.where("parent IS NOT NULL").groupBy("parent").agg(F.count(F.lit(1)).alias("n")).withColumnRenamed("parent", "node")
+    step = F.sqrt(sum((F.col(a) - F.col(f"_up_{a}")) * (F.col(a) - F.col(f"_up_{a}")) for a in axes))
+    fixed = F.col("parent").isNull() | (F.coalesce("n", F.lit(0)) != 1)
+    known = cut(tree.join(above, "parent", "left").join(children, "node", "left").select("node", "parent", *axes, F.coalesce(step, F.lit(0.0)).alias("step"), fixed.alias("fixed")))
+    far = path_to_root(known, length=F.col("step")).select("node", "distance")
+    top = known.select(F.col("node").alias("parent"), F.col("fixed").alias("_top"))
+    stretch = path_to_root(known.join(top, "parent", "left").select("node", F.when(~F.col("_top"), F.col("parent")).alias("parent"))).select("node", F.col("root").alias("stretch"))
+    placed = cut(known.join(far, "node").join(stretch, "node"))
+    own = placed.where("parent IS NOT NULL").select("stretch", "node", "distance", "fixed", *axes)
+    # the fixed node above a stretch is the parent of its first node
+    first = placed.where("stretch = node AND parent IS NOT NULL").select("stretch", F.col("parent").alias("node"))
+    members = own.unionByName(first.join(placed.select("node", "distance", F.lit(True).alias("fixed"), *axes), "node"))
+    reach = 3.0 * sigma
+    cell = F.floor(F.col("distance") / reach)
+    moving = members.where("NOT fixed").select("stretch", "node", F.col("distance").alias("at"), F.explode(F.array(cell - 1, cell, cell + 1)).alias("cell"))
+    near = moving.join(members.select("stretch", cell.alias("cell"), "distance", *axes), ["stretch", "cell"]).withColumn("_d", F.col("distance") - F.col("at")).where(F.abs("_d") <= reach)
+    weight = F.exp(-F.col("_d") * F.col("_d") / (2.0 * sigma * sigma))
+    smooth = near.groupBy("node").agg(*[(F.sum(weight * F.col(a)) / F.sum(weight)).alias(a) for a in axes])
+    return placed.where("fixed").select("node", *axes).unionByName(smooth)
+
+
 def column_layout(df: DataFrame, column: Column, index: Column, count: Column, offset: float, spacing: float, height: float) -> DataFrame:
     """x and y of nodes in parallel columns; a column of one node sits at its top."""
     return df.withColumn("x", offset + column * spacing).withColumn("y", offset + F.coalesce(F.try_divide(index.cast("double"), count - 1), F.lit(0.0)) * height)

@@ -148,3 +148,29 @@ def j16_present(spark: SparkSession, sf_dir: str) -> DataFrame:
 def j23_replaced(spark: SparkSession, sf_dir: str) -> DataFrame:
     regions = table(spark, sf_dir, "region").select(F.col("r_regionkey").alias("n_nationkey"), F.col("r_name").alias("n_name"))
     return sets.replaced(table(spark, sf_dir, "nation").select("n_nationkey", "n_name"), regions, "n_nationkey", "n_name")
+
+
+#: Chains of 20 parts, each of which begins at a part of half its number; places by size, brand and price.
+CHAINS = """n AS (SELECT p_partkey AS node, CASE WHEN p_partkey = 1 THEN NULL WHEN p_partkey % 20 = 1 THEN (p_partkey - 1) // 2 ELSE p_partkey - 1 END AS parent,
+    CAST(p_size AS DOUBLE) AS x, CAST(p_partkey % 7 AS DOUBLE) AS y, CAST(p_retailprice AS DOUBLE) / 10 AS z FROM part)"""
+
+
+@query(f"""
+    WITH RECURSIVE {CHAINS}, c AS (SELECT parent AS node, count(*) AS n FROM n WHERE parent IS NOT NULL GROUP BY parent),
+    k AS (SELECT n.*, n.parent IS NULL OR coalesce(c.n, 0) <> 1 AS fixed FROM n LEFT JOIN c USING (node)),
+    w AS (
+        SELECT node, parent, x, y, z, fixed, CAST(0 AS DOUBLE) AS d, node AS stretch FROM k WHERE parent IS NULL
+        UNION ALL SELECT k.node, k.parent, k.x, k.y, k.z, k.fixed, w.d + sqrt((k.x - w.x) ** 2 + (k.y - w.y) ** 2 + (k.z - w.z) ** 2), CASE WHEN w.fixed THEN k.node ELSE w.stretch END
+        FROM k JOIN w ON k.parent = w.node),
+    m AS (SELECT stretch, node, d, fixed, x, y, z FROM w WHERE parent IS NOT NULL
+        UNION ALL SELECT a.stretch, b.node, b.d, true, b.x, b.y, b.z FROM w a JOIN w b ON a.parent = b.node WHERE a.stretch = a.node),
+    p AS (SELECT a.node, exp(-(b.d - a.d) ** 2 / (2 * 7.3 * 7.3)) AS g, b.x, b.y, b.z FROM m a JOIN m b ON a.stretch = b.stretch WHERE NOT a.fixed AND abs(b.d - a.d) <= 3.0 * 7.3)
+    SELECT node, round(sum(g * x) / sum(g), 6) AS x, round(sum(g * y) / sum(g), 6) AS y, round(sum(g * z) / sum(g), 6) AS z FROM p GROUP BY node
+    UNION ALL SELECT node, round(x, 6), round(y, 6), round(z, 6) FROM w WHERE fixed""")
+def g7_smoothed_positions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Places of parts smoothed along their chains."""
+    key = F.col("p_partkey")
+    parent = F.when(key == 1, F.lit(None)).when(key % 20 == 1, F.floor((key - 1) / 2)).otherwise(key - 1)
+    nodes = table(spark, sf_dir, "part").select(key.alias("node"), parent.alias("parent"), F.col("p_size").cast("double").alias("x"), (key % 7).cast("double").alias("y"), (F.col("p_retailprice").cast("double") / 10).alias("z"))
+    smooth = graph.smoothed_positions(nodes, ["x", "y", "z"], 7.3)
+    return smooth.withColumns({a: F.round(a, 6) for a in "xyz"})
