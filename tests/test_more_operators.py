@@ -1,5 +1,6 @@
 """Operators beside the driver's tables: small inputs against plain Python."""
 
+import math
 import random
 
 import numpy as np
@@ -114,3 +115,27 @@ def test_voxels_of_an_ellipsoid(spark, radii):
     peaks = spark.createDataFrame([(0, *[5] * len(radii))], "pid int, " + ", ".join(f"{a} int" for a in axes))
     voxels = spark.createDataFrame([(0, *p, 1.0) for p in product(range(11), repeat=len(radii))], "t int, " + ", ".join(f"{a} int" for a in axes) + ", v double")
     assert spatial.region_means(peaks, voxels, axes, radii, "pid", ["t"], "v").first()["mean"] == 1.0
+
+
+def test_smoothed_positions_equal_a_plain_walk(spark):
+    """A root, a branch with two arms, an end, and a chain whose parent isn't there."""
+    parent = {0: None, 1: 0, 2: 1, 3: 2, 4: 3, 5: 3, 6: 5, 7: 6, 8: 4, 9: 8, 20: 99, 21: 20, 22: 21, 30: None}
+    place = {n: (float(n * n % 11), float(n * 3 % 7)) for n in parent}
+    sigma = 3.0
+    up = {n: p if p in parent else None for n, p in parent.items()}
+    children = {n: [m for m in up if up[m] == n] for n in up}
+    fixed = {n for n in up if up[n] is None or len(children[n]) != 1}
+    want = {n: place[n] for n in fixed}
+    for n in set(up) - fixed:
+        near = [(0.0, n)]
+        for step in (lambda m: up[m], lambda m: children[m][0]):
+            at, d = n, 0.0
+            while at == n or at not in fixed:
+                d, at = d + math.dist(place[at], place[step(at)]), step(at)
+                near.append((d, at))
+        weights = [(math.exp(-d * d / (2 * sigma * sigma)), m) for d, m in near if d <= 3 * sigma]
+        want[n] = tuple(sum(w * place[m][i] for w, m in weights) / sum(w for w, _ in weights) for i in range(2))
+    df = spark.createDataFrame([(n, parent[n], *place[n]) for n in parent], "node long, parent long, x double, y double")
+    got = {r.node: (r.x, r.y) for r in graph.smoothed_positions(df, ["x", "y"], sigma).collect()}
+    assert got.keys() == want.keys()
+    assert all(math.dist(got[n], want[n]) < 1e-9 for n in want)

@@ -135,15 +135,17 @@ def smoothed_positions(nodes: DataFrame, axes: list[str], sigma: float, node: st
 
     Roots, branch points and ends stay in place. A node between them takes the weighted
     mean of its stretch's nodes, both ends included, at most 3 sigma away. Nodes of a
-    stretch meet in cells of 3 sigma, so a long stretch is spread over tasks.
+    stretch meet in cells of 3 sigma, so a long stretch is spread over tasks. A node
+    whose parent isn't among the nodes is a root.
     """
     places = [F.col(a).cast("double").alias(a) for a in axes]
     tree = nodes.select(F.col(node).alias("node"), F.col(parent).alias("parent"), *places)
-    above = nodes.select(F.col(node).alias("parent"), *[F.col(a).cast("double").alias(f"_up_{a}") for a in axes])
+    above = nodes.select(F.col(node).alias("parent"), F.lit(True).alias("_there"), *[F.col(a).cast("double").alias(f"_up_{a}") for a in axes])
     children = tree.where("parent IS NOT NULL").groupBy("parent").agg(F.count(F.lit(1)).alias("n")).withColumnRenamed("parent", "node")
     step = F.sqrt(sum((F.col(a) - F.col(f"_up_{a}")) * (F.col(a) - F.col(f"_up_{a}")) for a in axes))
     fixed = F.col("parent").isNull() | (F.coalesce("n", F.lit(0)) != 1)
-    known = cut(tree.join(above, "parent", "left").join(children, "node", "left").select("node", "parent", *axes, F.coalesce(step, F.lit(0.0)).alias("step"), fixed.alias("fixed")))
+    rooted = tree.join(above, "parent", "left").withColumn("parent", F.when(F.col("_there"), F.col("parent")))
+    known = cut(rooted.join(children, "node", "left").select("node", "parent", *axes, F.coalesce(step, F.lit(0.0)).alias("step"), fixed.alias("fixed")))
     far = path_to_root(known, length=F.col("step")).select("node", "distance")
     top = known.select(F.col("node").alias("parent"), F.col("fixed").alias("_top"))
     stretch = path_to_root(known.join(top, "parent", "left").select("node", F.when(~F.col("_top"), F.col("parent")).alias("parent"))).select("node", F.col("root").alias("stretch"))
