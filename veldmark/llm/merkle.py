@@ -235,6 +235,7 @@ def manifest(leaves: DataFrame, top: int = TOP, depth: int = DEPTH) -> DataFrame
     folder = common.scratch(spark)
     tree, none = F.coalesce("tree", F.lit("")), F.col("tree").isNull()
     salted = leaves.select(F.col("id"), F.when(none, 0).otherwise(1).alias("_some"), tree.alias("_tree"), "leaf", "other", F.monotonically_increasing_id().alias("_salt"))
+    salted = common.stored(salted, folder, "digests")  # else the ranges' sample would read and hash all texts once more
     places = _placed(salted, ["_some", "_tree", F.col("id").asc_nulls_first(), "leaf", "_salt"], folder, "leaves")
     sums = places.groupBy("_some", "_tree").agg(F.min("place").alias("_first"), F.count(F.lit(1)).alias("n"))
     trees = common.stored(_placed(sums, ["_some", "_tree"], folder, "trees").withColumnRenamed("place", "tree"), folder, "ranks")
