@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from veldmark.plans import files, flows, formats, graphs, images, matrices, more, points, series, texts  # noqa: F401
+from veldmark.plans import files, flows, formats, graphs, images, matrices, more, planes, points, series, texts  # noqa: F401
 from veldmark.plans.registry import QUERIES, SQL, Query
 
 
