@@ -272,13 +272,15 @@ def n19_patch(spark: SparkSession, sf_dir: str) -> DataFrame:
     return filter_bank.patch(counted(spark, sf_dir), "x", "y", "v", 64, height(spark, sf_dir), 1)
 
 
-@query(f"WITH {COUNTED}, size AS (SELECT max(y) + 1 AS h FROM img) SELECT CAST(h - 1 - y AS BIGINT) AS x, x AS y, round(v, 4) AS v FROM img, size WHERE (64 + h) % 2 = 0")
+@query(f"""
+    WITH {COUNTED}, size AS (SELECT max(y) + 1 AS h, CAST(floor(33 - (max(y) + 1) / 2) AS BIGINT) AS lx, CAST(ceil(32 + (max(y) + 1) / 2) AS BIGINT) AS hx, CAST(floor((max(y) + 1) / 2 - 32) AS BIGINT) AS ly, CAST(ceil((max(y) + 1) / 2 + 31) AS BIGINT) AS hy FROM img),
+    w AS (SELECT x, y, y + ly + 32 - h / 2 AS sx, 32 + h / 2 - x - lx AS sy, h FROM size, range(hx - lx + 1) a(x), range(hy - ly + 1) b(y)),
+    c AS (SELECT w.x, w.y, greatest(0, least(63, CAST(floor(sx) AS BIGINT) + i)) AS px, greatest(0, least(h - 1, CAST(floor(sy) AS BIGINT) + j)) AS py, CASE i WHEN 1 THEN sx - floor(sx) ELSE 1 - (sx - floor(sx)) END * CASE j WHEN 1 THEN sy - floor(sy) ELSE 1 - (sy - floor(sy)) END AS g
+        FROM w, range(2) a(i), range(2) b(j))
+    SELECT c.x, c.y, round(sum(g * v), 4) AS v FROM c JOIN img ON img.x = px AND img.y = py GROUP BY c.x, c.y""")
 def n19_turned(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The plane turned by a right angle about its middle and moved to the origin: interpolation meets the pixels where width and height are both even or both odd."""
-    h = height(spark, sf_dir)
-    image_, w, _, _, _ = filter_bank.turned(counted(spark, sf_dir), "x", "y", "v", 64, h, 90.0)
-    # the middle of a plane is at half its width, so its pixels go one further than the quarter turn of an array
-    return image_.where(F.lit(h % 2 == 0)).select((F.col("x") - (w - h)).alias("x"), "y", F.round("v", 4).alias("v")).where(F.col("x").between(0, h - 1) & F.col("y").between(0, 63))
+    """The whole plane turned by a right angle about its middle: where only one side is even, each pixel lies between four."""
+    return filter_bank.turned(counted(spark, sf_dir), "x", "y", "v", 64, height(spark, sf_dir), 90.0)[0].select("x", "y", F.round("v", 4).alias("v"))
 
 
 # Transforms
