@@ -47,15 +47,15 @@ def w8_sessions(spark: SparkSession, sf_dir: str) -> DataFrame:
     return windows.sessions(timed, "at", ["user_id"], ["ts", "event_id"], 6 * 3600 * 1_000_000).select("event_id", "session")
 
 
-@query("WITH o AS (SELECT DISTINCT o_custkey % 10 AS part, o_custkey // 10 AS k FROM orders), l AS (SELECT part, k, lag(k) OVER (PARTITION BY part ORDER BY k) AS last FROM o) SELECT part, last + 1 AS gap_from, k - 1 AS gap_to FROM l WHERE k - last > 1")
+@query("WITH o AS (SELECT DISTINCT o_orderpriority AS part, CAST(floor(o_totalprice / 100) AS BIGINT) AS k FROM orders), l AS (SELECT part, k, lag(k) OVER (PARTITION BY part ORDER BY k) AS last FROM o) SELECT part, last + 1 AS gap_from, k - 1 AS gap_to FROM l WHERE k - last > 1")
 def w9_gaps(spark: SparkSession, sf_dir: str) -> DataFrame:
-    keys = table(spark, sf_dir, "orders").select((F.col("o_custkey") % 10).alias("part"), F.floor(F.col("o_custkey") / 10).alias("k"))
+    keys = table(spark, sf_dir, "orders").select(F.col("o_orderpriority").alias("part"), F.floor(F.col("o_totalprice") / 100).alias("k"))
     return windows.gaps(keys, "k", ["part"])
 
 
-@query("WITH o AS (SELECT DISTINCT o_custkey % 10 AS part, o_custkey // 10 AS k FROM orders), l AS (SELECT part, k, lag(k) OVER (PARTITION BY part ORDER BY k) AS last FROM o) SELECT part, unnest(range(last + 1, k)) AS k FROM l WHERE k - last > 1")
+@query("WITH o AS (SELECT DISTINCT o_orderpriority AS part, CAST(floor(o_totalprice / 100) AS BIGINT) AS k FROM orders), l AS (SELECT part, k, lag(k) OVER (PARTITION BY part ORDER BY k) AS last FROM o) SELECT part, unnest(range(last + 1, k)) AS k FROM l WHERE k - last > 1")
 def w9_missing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    keys = table(spark, sf_dir, "orders").select((F.col("o_custkey") % 10).alias("part"), F.floor(F.col("o_custkey") / 10).alias("k"))
+    keys = table(spark, sf_dir, "orders").select(F.col("o_orderpriority").alias("part"), F.floor(F.col("o_totalprice") / 100).alias("k"))
     return windows.missing(keys, "k", ["part"])
 
 
