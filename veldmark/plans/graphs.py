@@ -151,7 +151,7 @@ def j23_replaced(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 #: Chains of 20 parts, each of which begins at a part of half its number; places by size, brand and price.
-CHAINS = """n AS (SELECT p_partkey AS node, CASE WHEN p_partkey = 1 THEN NULL WHEN p_partkey % 20 = 1 THEN (p_partkey - 1) // 2 ELSE p_partkey - 1 END AS parent,
+CHAINS = """n AS (SELECT p_partkey AS node, CASE WHEN p_partkey <= 1 THEN NULL WHEN p_partkey % 20 = 1 THEN (p_partkey - 1) // 2 ELSE p_partkey - 1 END AS parent,
     CAST(p_size AS DOUBLE) AS x, CAST(p_partkey % 7 AS DOUBLE) AS y, CAST(p_retailprice AS DOUBLE) / 10 AS z FROM part)"""
 
 
@@ -164,7 +164,7 @@ CHAINS = """n AS (SELECT p_partkey AS node, CASE WHEN p_partkey = 1 THEN NULL WH
         FROM k JOIN w ON k.parent = w.node),
     m AS (SELECT stretch, node, d, fixed, x, y, z FROM w WHERE parent IS NOT NULL
         UNION ALL SELECT a.stretch, b.node, b.d, true, b.x, b.y, b.z FROM w a JOIN w b ON a.parent = b.node WHERE a.stretch = a.node),
-    p AS (SELECT a.node, exp(-(b.d - a.d) ** 2 / (2 * 7.3 * 7.3)) AS g, b.x, b.y, b.z FROM m a JOIN m b ON a.stretch = b.stretch WHERE NOT a.fixed AND abs(b.d - a.d) <= 3.0 * 7.3)
+    p AS (SELECT a.node, exp(-((b.d - a.d) ** 2) / (2 * 7.3 * 7.3)) AS g, b.x, b.y, b.z FROM m a JOIN m b ON a.stretch = b.stretch WHERE NOT a.fixed AND abs(b.d - a.d) <= 3.0 * 7.3)
     SELECT node, round(sum(g * x) / sum(g), 6) AS x, round(sum(g * y) / sum(g), 6) AS y, round(sum(g * z) / sum(g), 6) AS z FROM p GROUP BY node
     UNION ALL SELECT node, round(x, 6), round(y, 6), round(z, 6) FROM w WHERE fixed""")
 def g7_smoothed_positions(spark: SparkSession, sf_dir: str) -> DataFrame:
