@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from veldmark.plans.matrices import CELLS, cells
 from veldmark.plans.registry import query
 from veldmark.session import shared_folder, table
-from veldmark.sources import sinks, tables
+from veldmark.sources import n5, sinks, tables
 
 
 def _place(spark: SparkSession) -> str:
@@ -68,3 +68,13 @@ def sc32_bibliography(spark: SparkSession, sf_dir: str) -> DataFrame:
     body = F.concat(F.lit("@article{Key"), F.col("p_partkey"), F.lit(",\n title={"), "p_name", F.lit("}\n}"))
     sinks.bibliography_text(table(spark, sf_dir, "part").select(F.concat(F.lit("Key"), F.col("p_partkey")).alias("key"), body.alias("body")), path, one_file=False)
     return tables.bibliography(spark, path).select("key", F.rtrim(F.regexp_replace("body", "\n+$", "")).alias("body"))
+
+
+@query("SELECT i - 1 AS x, vec_id AS y, CAST(trunc(abs(CAST(embedding[i] AS DOUBLE)) * 65535) AS DOUBLE) AS v FROM embeddings, range(1, 65) r(i) WHERE i - 1 BETWEEN 8 AND 39")
+def sc28_n5(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The plane of all vectors as an N5 data set of blocks of 16 x 128, and its columns 8 to 39 read from the blocks that have them."""
+    path, vectors = _place(spark), table(spark, sf_dir, "embeddings")
+    height = (vectors.agg(F.max("vec_id")).first()[0] or 0) + 1
+    pixels = vectors.select(F.posexplode(F.transform("embedding", lambda v: (F.abs(v.cast("double")) * 65535).cast("int"))).alias("x", "v"), F.col("vec_id").alias("y"))
+    n5.write_pixels(pixels, path, ["x", "y"], "v", [64, height], [16, 128])
+    return n5.read_pixels(spark, path, ["x", "y"], "v", [8, 0], [39, height - 1])
