@@ -16,7 +16,7 @@ from veldmark.plans.files import _place
 from veldmark.plans.graphs import TREE, tree
 from veldmark.plans.registry import query
 from veldmark.session import table
-from veldmark.sources import binary, regions, sinks, tables
+from veldmark.sources import binary, regions, sinks, strips, tables
 from veldmark.streaming import streams
 
 #: Vectors of a file.
@@ -364,6 +364,13 @@ def sc23_slices(spark: SparkSession, sf_dir: str) -> DataFrame:
     return binary.read_slices(spark, f"{path}/*.tif").select(_file(), "slice", F.posexplode("data").alias("at", "v"))
 
 
+@query(f"WITH {PIXELS} SELECT file, CAST(y AS INT) AS slice, CAST(x // 8 AS BIGINT) AS y, CAST(x % 8 AS INT) AS at, CAST(v % 251 // 4 AS DOUBLE) AS v FROM px WHERE x // 8 BETWEEN 2 AND 6")
+def sc22_strip_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Rows 2 to 6 of every slice of files of packed strips, read strip by strip."""
+    path = _vector_files(spark, sf_dir, "tif", lambda a: binary.tagged_image([(p % 251 // 4).astype(np.uint8) for p in _planes(a)], 32773, False, 3))
+    return strips.read_rows(spark, f"{path}/*.tif", ys=(2, 6)).select(_file(), "slice", "y", F.posexplode("data").alias("at", "v"))
+
+
 def _raw_paths(spark: SparkSession, sf_dir: str) -> list[tuple[str, int]]:
     """Raw files of the vectors and their heights: as many as there are files go through the driver."""
     path = _vector_files(spark, sf_dir, "raw", lambda a: a.astype(">u2").tobytes())

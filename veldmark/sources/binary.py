@@ -86,25 +86,32 @@ SIZES = {1: 1, 2: 1, 3: 2, 4: 4, 5: 8}
 UNPACK = {1: bytes, 32773: unpack_bits, 5: unpack_lzw, 8: zlib.decompress, 32946: zlib.decompress}
 
 
-def directories(content: bytes) -> Iterator[dict]:
-    """The image directories of a tagged image file, one after the other."""
-    order = {b"II": "<", b"MM": ">"}[content[:2]]
-    at, = struct.unpack_from(f"{order}I", content, 4)
+def walk(read: Callable[[int, int], bytes]) -> Iterator[dict]:
+    """The image directories of a tagged image file, one after the other. read gives so many bytes from a place on: only directories and their lists are read."""
+    head = read(0, 8)
+    order = {b"II": "<", b"MM": ">"}[head[:2]]
+    at, = struct.unpack_from(f"{order}I", head, 4)
     while at:
-        n, = struct.unpack_from(f"{order}H", content, at)
+        n, = struct.unpack(f"{order}H", read(at, 2))
+        body = read(at + 2, 12 * n + 4)
         found = {"big_endian": order == ">", "samples": 1, "compression": 1, "bits": 1}
         for i in range(n):
-            tag, kind, count = struct.unpack_from(f"{order}HHI", content, at + 2 + 12 * i)
+            tag, kind, count = struct.unpack_from(f"{order}HHI", body, 12 * i)
             if tag not in TAGS or kind not in SIZES:
                 continue
-            place = at + 10 + 12 * i
+            field = body[12 * i + 8 : 12 * i + 12]
             if SIZES[kind] * count > 4:
-                place, = struct.unpack_from(f"{order}I", content, place)
-            values = list(struct.unpack_from(f"{order}{count}{'BHI'[(1, 3, 4).index(kind)]}", content, place)) if kind in (1, 3, 4) else []
+                field = read(struct.unpack(f"{order}I", field)[0], SIZES[kind] * count)
+            values = list(struct.unpack_from(f"{order}{count}{'BHI'[(1, 3, 4).index(kind)]}", field)) if kind in (1, 3, 4) else []
             found[TAGS[tag]] = values if TAGS[tag] in ("offsets", "counts") else values[0] if values else None
         found.setdefault("rows_per_strip", found.get("height"))
         yield found
-        at, = struct.unpack_from(f"{order}I", content, at + 2 + 12 * n)
+        at, = struct.unpack_from(f"{order}I", body, 12 * n)
+
+
+def directories(content: bytes) -> Iterator[dict]:
+    """The image directories of a tagged image file that is held."""
+    return walk(lambda at, n: content[at : at + n])
 
 
 def pack_bits(data: bytes) -> bytes:
