@@ -19,8 +19,8 @@ from veldmark.sources.binary import AT_CHANNELS, AT_HEIGHT, AT_WIDTH, HEADER, MA
 
 #: Bytes of a band of a raw strip or a section, and about how many a task reads.
 BAND_BYTES, TASK_BYTES = 1 << 20, 32 << 20
-#: Rows that leave a task together.
-ROWS = 64
+#: Rows, and about how many values, that leave a task together.
+ROWS, HELD = 4096, 1 << 17
 
 PLAN = "path string, slice int, width int, samples int, y long, rows long, skip long, place long, count long, compression int, kind string"
 
@@ -105,8 +105,12 @@ LINES = "path string, slice int, y long, samples int, data array<double>"
 def _lines(planned: DataFrame) -> DataFrame:
     target = to_arrow_schema(StructType.fromDDL(LINES))
 
+    def made(held: list[tuple]) -> pa.RecordBatch:
+        paths, slices, ys, samples, data = zip(*held, strict=True)
+        return pa.RecordBatch.from_arrays([pa.array(paths), pa.array(slices, pa.int32()), pa.array(ys, pa.int64()), pa.array(samples, pa.int32()), pa.array(data, pa.list_(pa.float64()))], schema=target)
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        name, f = None, None
+        name, f, held, size = None, None, [], 0
         try:
             for batch in batches:
                 for r in batch.to_pylist():
@@ -117,10 +121,14 @@ def _lines(planned: DataFrame) -> DataFrame:
                     line = r["width"] * r["samples"]
                     raw = UNPACK[r["compression"]](exactly(f, name)(r["place"], r["count"]))
                     values = np.frombuffer(raw, r["kind"], r["rows"] * line, r["skip"] * line * np.dtype(r["kind"]).itemsize).reshape(-1, line)
-                    for y in range(0, r["rows"], ROWS):
-                        part = values[y : y + ROWS].astype(float)
-                        n = len(part)
-                        yield pa.RecordBatch.from_arrays([pa.array([name] * n), pa.array([r["slice"]] * n, pa.int32()), pa.array(range(r["y"] + y, r["y"] + y + n), pa.int64()), pa.array([r["samples"]] * n, pa.int32()), pa.array(list(part), pa.list_(pa.float64()))], schema=target)
+                    for y in range(r["rows"]):
+                        held.append((name, r["slice"], r["y"] + y, r["samples"], values[y].astype(float)))
+                        size += line
+                        if size >= HELD or len(held) >= ROWS:
+                            yield made(held)
+                            held, size = [], 0
+            if held:
+                yield made(held)
         finally:
             if f is not None:
                 f.close()
