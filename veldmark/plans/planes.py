@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from veldmark.operators import blocks, distance, mosaics
+from veldmark.operators import blocks, distance, mosaics, peaks
 from veldmark.plans.images import IMAGE, image, rounded
 from veldmark.plans.registry import query
 from veldmark.session import table
@@ -94,3 +94,26 @@ def n18_equalised(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The contrast of the whole plane, limited by tiles of 16."""
     done = blocks.equalised(image(spark, sf_dir).select("x", "y", "v"), "x", "y", "v", -0.5, 0.5, tile=16, bins=64)
     return rounded(done.select("x", "y", "contrast"), "contrast")
+
+
+# Peaks
+
+
+def _kernel(name: str, sigma: float, half: int) -> str:
+    """SQL of a Gaussian's weights at the whole numbers up to half away."""
+    return f"SELECT '{name}' AS g, i, exp(-0.5 * (i / {sigma}) * (i / {sigma})) / sum(exp(-0.5 * (i / {sigma}) * (i / {sigma}))) OVER () AS w FROM range(-{half}, {half} + 1) t(i)"
+
+
+@query(f"""
+    WITH {IMAGE}, e AS (SELECT max(y) AS h FROM img), k AS MATERIALIZED ({_kernel('small', 1.0, 3)} UNION ALL {_kernel('large', 2.0, 6)}),
+    kx AS (SELECT x, g, w, ((x + i) % 126 + 126) % 126 AS m FROM range(64) t(x), k), ky AS (SELECT y, g, w, ((y + i) % (2 * h) + 2 * h) % (2 * h) AS m, h FROM (SELECT DISTINCT y FROM img), e, k),
+    r AS MATERIALIZED (SELECT kx.x, y, g, sum(w * v) AS v FROM kx JOIN img ON img.x = least(m, 126 - m) GROUP BY kx.x, y, g),
+    s AS (SELECT x, ky.y, ky.g, sum(w * v) AS v FROM ky JOIN r ON r.y = least(m, 2 * h - m) AND r.g = ky.g GROUP BY x, ky.y, ky.g),
+    d AS MATERIALIZED (SELECT x, y, sum(CASE g WHEN 'small' THEN v ELSE -v END) AS v FROM s GROUP BY x, y),
+    n AS (SELECT d.x, d.y, d.v, max(b.v) AS beside, max(b.v) FILTER (b.x = d.x - 1 AND b.y = d.y) AS xl, max(b.v) FILTER (b.x = d.x + 1 AND b.y = d.y) AS xh, max(b.v) FILTER (b.x = d.x AND b.y = d.y - 1) AS yl, max(b.v) FILTER (b.x = d.x AND b.y = d.y + 1) AS yh
+        FROM d CROSS JOIN range(-1, 2) p(dx) CROSS JOIN range(-1, 2) q(dy) JOIN d b ON b.x = d.x + dx AND b.y = d.y + dy AND (dx <> 0 OR dy <> 0) WHERE d.v > 0.05 GROUP BY d.x, d.y, d.v)
+    SELECT round((x + coalesce(0.5 * (xl - xh) / (xl - 2 * v + xh), 0)) * 0.5, 6) AS x, round((y + coalesce(0.5 * (yl - yh) / (yl - 2 * v + yh), 0)) * 0.5, 6) AS y, round(v, 6) AS value FROM n WHERE v > beside""")
+def n1_peaks_of_blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Peaks of the whole plane, cut into blocks; a pixel is half a unit wide."""
+    done = peaks.gaussian_peaks(image(spark, sf_dir), ["x", "y"], "v", 0.5, 1.0, 0.05, calibration=[0.5, 0.5], block=32)
+    return rounded(done, "x", "y", "value")
