@@ -16,7 +16,7 @@ from veldmark.plans.files import _place
 from veldmark.plans.graphs import TREE, tree
 from veldmark.plans.registry import query
 from veldmark.session import table
-from veldmark.sources import binary, regions, sinks, strips, tables
+from veldmark.sources import binary, kept, regions, sinks, strips, tables
 from veldmark.streaming import streams
 
 #: Vectors of a file.
@@ -478,6 +478,26 @@ def sc34_kept_results(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.withColumn("computed", F.lit(len(times)))
 
 
+@query("""
+    WITH v AS (SELECT vec_id, i - 1 AS place, CAST(embedding[i] AS DOUBLE) AS v, CAST(embedding[i - 1] AS DOUBLE) AS before, CAST(embedding[i + 1] AS DOUBLE) AS after FROM embeddings, range(2, 64) r(i))
+    SELECT vec_id, place, v - (before + after) / 2 AS height, 1 AS computed FROM v WHERE v > before AND v > after""")
+def n5_found_features(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Features of each vector, its inner peaks: the first call computes all, the others find all and compute none."""
+    folder, times = _place(spark), []
+    items = table(spark, sf_dir, "embeddings").select("vec_id", F.col("embedding").cast("array<double>").alias("v"))
+
+    def compute(missing: DataFrame) -> DataFrame:
+        if not missing.isEmpty():
+            times.append(1)
+        near = lambda k: F.get("v", F.col("place") + k)
+        long = missing.where(F.size("v") > 2).select("_item", "v", F.explode(F.sequence(F.lit(1), F.size("v") - 2)).alias("place"))
+        return long.where((near(0) > near(-1)) & (near(0) > near(1))).select("_item", F.col("place").cast("long").alias("place"), (near(0) - (near(-1) + near(1)) / 2).alias("height"))
+
+    for _ in range(2):
+        found = kept.find_or_compute_each(items, ["vec_id"], folder, "peaks", {"reach": 1}, compute)
+    return found.withColumn("computed", F.lit(len(times)))
+
+
 @query("""
     WITH img AS (SELECT vec_id AS y, i - 1 AS x, 65535 - CAST(trunc(abs(CAST(embedding[i] AS DOUBLE)) * 65535) AS BIGINT) AS v FROM embeddings, range(1, 65) r(i)), c AS (SELECT x - 8 AS x, y, v FROM img WHERE x BETWEEN 8 AND 39)
     SELECT a.x, a.y, CAST(least(255, greatest(0, floor((coalesce(b.v, 0) - 1000) * 255 / 59000 + 0.5))) AS INT) AS v FROM c a LEFT JOIN c b ON b.x = a.x - 2 AND b.y = a.y - 1""")
