@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from veldmark.operators import blocks, distance, mosaics, peaks
+from veldmark.operators import blocks, distance, mosaics, peaks, stripes
 from veldmark.plans.images import IMAGE, image, rounded
 from veldmark.plans.registry import query
 from veldmark.session import table
@@ -117,3 +117,20 @@ def n1_peaks_of_blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Peaks of the whole plane, cut into blocks; a pixel is half a unit wide."""
     done = peaks.gaussian_peaks(image(spark, sf_dir), ["x", "y"], "v", 0.5, 1.0, 0.05, calibration=[0.5, 0.5], block=32)
     return rounded(done, "x", "y", "value")
+
+
+# Stripes
+
+
+@query(f"""
+    WITH {IMAGE}, s AS MATERIALIZED (SELECT x, y, v + CASE x % 4 WHEN 0 THEN 0.5 WHEN 2 THEN -0.5 ELSE 0 END AS v FROM img), e AS (SELECT max(y) + 1 AS h FROM img),
+    kx AS MATERIALIZED (SELECT d, sum(cos(2 * pi() * k * d / 64)) / 64 AS w FROM range(64) a(d), range(8, 57) b(k) GROUP BY d),
+    ky AS MATERIALIZED (SELECT d, any_value(h) AS h, sum(exp(-0.5 * least(k, h - k) * least(k, h - k) / 4.0) * cos(2 * pi() * k * d / h)) / any_value(h) AS w FROM e, (SELECT y AS d FROM img WHERE x = 0) a, (SELECT y AS k FROM img WHERE x = 0) b GROUP BY d),
+    f AS MATERIALIZED (SELECT t.x, s.y, sum(w * v) AS v FROM range(64) t(x), kx JOIN s ON s.x = (t.x + kx.d) % 64 GROUP BY t.x, s.y),
+    g AS (SELECT f.x, (f.y + ky.d) % h AS y, sum(w * v) AS v FROM f, ky GROUP BY ALL)
+    SELECT s.x, s.y, round(s.v - g.v, 6) AS clean FROM s JOIN g USING (x, y)""")
+def n25_stripes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The whole plane, with stripes of four columns laid over it, without them."""
+    laid = F.when(F.col("x") % 4 == 0, 0.5).when(F.col("x") % 4 == 2, -0.5).otherwise(0.0)
+    done = stripes.stripes_removed(image(spark, sf_dir).withColumn("v", F.col("v") + laid), "x", "y", "v", least=8, width=2.0)
+    return rounded(done, "clean")
