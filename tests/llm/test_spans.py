@@ -92,3 +92,8 @@ def test_queries(odd_docs):
         assert len(rows) == odd_docs.count()
         assert all(r.spans == "" and r.base_sha256 == empty for r in rows if r.doc_id != 4)
         assert run(odd_docs.limit(0)).count() == 0
+
+
+def test_further_columns_follow(odd_docs):
+    assert secret_scan.secrets(odd_docs).columns == ["doc_id", "n_assign", "n_access", "n_hex", "base_sha256", "spans", "n_novel"]
+    assert pii.personal_data(odd_docs).columns == ["doc_id", "n_email", "n_ip", "n_card", "n_phone", "base_sha256", "spans", "n_iban", "scores"]

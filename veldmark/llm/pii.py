@@ -131,5 +131,5 @@ def personal_data(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
 
     rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
     kind = dict(rows.dtypes)["id"]
-    counts = "".join(f"n_{k} long, " for k in KINDS)
-    return common.map_rows(rows, make, f"id {kind}, {counts}base_sha256 string, spans string, scores string").withColumnRenamed("id", id_col)
+    counts = [f"n_{k} long" for k in KINDS]
+    return common.map_rows(rows, make, f"id {kind}, {', '.join(counts[:4])}, base_sha256 string, spans string, {counts[4]}, scores string").withColumnRenamed("id", id_col)

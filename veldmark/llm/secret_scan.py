@@ -114,4 +114,4 @@ def secrets(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
 
     rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
     kind = dict(rows.dtypes)["id"]
-    return common.map_rows(rows, make, f"id {kind}, n_assign long, n_access long, n_hex long, n_novel long, base_sha256 string, spans string").withColumnRenamed("id", id_col)
+    return common.map_rows(rows, make, f"id {kind}, n_assign long, n_access long, n_hex long, base_sha256 string, spans string, n_novel long").withColumnRenamed("id", id_col)
