@@ -169,6 +169,15 @@ def a26_merge_peaks(spark: SparkSession, sf_dir: str) -> DataFrame:
     return merge_peaks(rows, "series", 60.0)
 
 
+@query()
+def st4_peaks_by_cell(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The running peaks of each series held by cells of space, a time point at a time; order decides, so there is no SQL, and tests hold it against the ordered loop."""
+    from veldmark.streaming.cells import peaks_by_cell
+
+    rows = points(spark, sf_dir).select((F.col("pid") % 5).alias("series"), F.col("label").alias("t"), *AXES)
+    return peaks_by_cell(rows, "series", 20.0, steps=1).select("series", *AXES, "n")
+
+
 @query()
 def n6_consensus(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Translations between the features of labels, by seeded sampling."""
