@@ -145,7 +145,7 @@ def test_learners_on_held_out_rows(spark, name):
 
 
 def test_every_query_has_sql_or_a_test():
-    tested = {"a26_merge_peaks", "n1_peaks", "n6_consensus", "ml2_support_vectors", "ml3_forest", "ml4_perceptron", "ml5_probabilities"}
+    tested = {"a26_merge_peaks", "st4_peaks_by_cell", "n11_features", "n11_matches", "n1_peaks", "n6_consensus", "ml2_support_vectors", "ml3_forest", "ml4_perceptron", "ml5_probabilities"}
     assert set(catalogue.queries()) - set(catalogue.oracle_sql()) == tested
 
 

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from veldmark.operators import blocks, distance, mosaics, peaks, stripes
+from veldmark.operators import blocks, distance, features, filter_bank, mosaics, peaks, stripes
 from veldmark.plans.images import IMAGE, image, rounded
 from veldmark.plans.registry import query
 from veldmark.session import table
@@ -134,3 +134,35 @@ def n25_stripes(spark: SparkSession, sf_dir: str) -> DataFrame:
     laid = F.when(F.col("x") % 4 == 0, 0.5).when(F.col("x") % 4 == 2, -0.5).otherwise(0.0)
     done = stripes.stripes_removed(image(spark, sf_dir).withColumn("v", F.col("v") + laid), "x", "y", "v", least=8, width=2.0)
     return rounded(done, "clean")
+
+
+# Features of scale space
+
+
+def _blobs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The plane summed over squares of nine pixels a side: elements of vectors alone have next to no extrema of scale."""
+    summed = filter_bank.with_blocks(image(spark, sf_dir).select("x", "y", "v"), {"s": (-4, 4, -4, 4)}, "x", "y", "v")
+    return summed.select("x", "y", (F.col("s") / 9).alias("v"))
+
+
+def _features(plane: DataFrame) -> DataFrame:
+    return features.scale_features(plane, "x", "y", "v", octaves=3)
+
+
+@query()
+def n11_features(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Features of the whole plane, summed over squares, with their 128 numbers; tests hold the points against plain loops, as there is no SQL of the numbers."""
+    found = _features(_blobs(spark, sf_dir))
+    return rounded(found, "x", "y", "scale", "angle", "value").withColumn("descriptor", F.transform("descriptor", lambda v: F.round(v, 4)))
+
+
+@query()
+def n11_matches(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Features of the whole plane, summed over squares, found by their numbers in the plane moved by (-2, -1), with a tenth of the mirrored plane over it."""
+    one = _blobs(spark, sf_dir)
+    moved = one.select((F.col("x") - 2).alias("x"), (F.col("y") - 1).alias("y"), F.col("v").alias("a"))
+    two = moved.join(one.select((63 - F.col("x")).alias("x"), "y", F.col("v").alias("b")), ["x", "y"]).select("x", "y", (0.9 * F.col("a") + 0.1 * F.col("b")).alias("v"))
+    fid = F.xxhash64("x", "y", "scale", "angle").alias("fid")
+    a, b = (_features(plane).select(fid, "*") for plane in (one, two))
+    done = features.descriptor_matches(a, b, [], "fid", reach=16.0, area=64.0)
+    return rounded(done.select("x", "y", "other_x", "other_y", "distance"), "x", "y", "other_x", "other_y", "distance")
