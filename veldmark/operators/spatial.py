@@ -48,7 +48,7 @@ def nearest(points: DataFrame, seeds: DataFrame, axes: list[str], radius: float,
 
 def k_nearest(points: DataFrame, axes: list[str], k: int, radius: float, id_col: str = "pid") -> DataFrame:
     """The k + 1 nearest of each point within radius, itself first."""
-    return neighbours(points, axes, radius, id_col).where(F.col("rank") <= k)
+    return nearby.ranked(points, axes, radius, id_col, most=k)
 
 
 def k_nearest_anywhere(points: DataFrame, axes: list[str], k: int, start_radius: float, id_col: str = "pid") -> DataFrame:

@@ -47,7 +47,8 @@ def j10_k_nearest(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(f"WITH {POINTS}, {NEAR}, r AS (SELECT pid, other, d2, lead(d2) OVER (PARTITION BY pid ORDER BY d2, other) AS second, row_number() OVER (PARTITION BY pid ORDER BY d2, other) AS i FROM near WHERE rank > 0) SELECT pid, other, d2 FROM r WHERE i = 1 AND (second IS NULL OR d2 / nullif(second, 0) <= 0.5)")
 def j11_ratio(spark: SparkSession, sf_dir: str) -> DataFrame:
-    near = spatial.neighbours(points(spark, sf_dir), AXES, RADIUS).where("rank > 0").select("pid", "other", "d2")
+    """The ratio looks at the two nearest others."""
+    near = spatial.k_nearest(points(spark, sf_dir), AXES, 2, RADIUS).where("rank > 0").select("pid", "other", "d2")
     return spatial.by_ratio(near, "pid", "d2", 0.5)
 
 
