@@ -228,8 +228,7 @@ def neighbour_histogram(points: DataFrame, axes: list[str], radius: float, id_co
 
 def nearest_by_tag(points: DataFrame, seeds: DataFrame, axes: list[str], radius: float, tag: str, id_col: str = "pid") -> DataFrame:
     """The nearest seed of each tag within radius of each point."""
-    pairs = radius_join(points, seeds, axes, radius, id_col).join(seeds.select(F.col(id_col).alias("other"), tag), "other")
-    return pairs.groupBy(id_col, tag).agg(F.min_by("other", F.struct("d2", "other")).alias("nearest"), F.min("d2").alias("d2"))
+    return nearby.nearest_of_tag(points, seeds, axes, radius, id_col, tag)
 
 
 def match_counts(pairs: DataFrame, matches: DataFrame) -> DataFrame:
