@@ -42,8 +42,7 @@ def neighbours(points: DataFrame, axes: list[str], radius: float, id_col: str =
 
 def nearest(points: DataFrame, seeds: DataFrame, axes: list[str], radius: float, id_col: str = "pid") -> DataFrame:
     """Each point's nearest seed closer than radius; points without one are left out."""
-    pairs = radius_join(points, seeds, axes, radius, id_col, strict=True)
-    return pairs.groupBy(id_col).agg(F.min_by("other", F.struct("d2", "other")).alias("nearest"), F.min("d2").alias("d2"))
+    return nearby.nearest_of_tag(points, seeds, axes, radius, id_col, strict=True)
 
 
 def k_nearest(points: DataFrame, axes: list[str], k: int, radius: float, id_col: str = "pid") -> DataFrame:
