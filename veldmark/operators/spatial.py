@@ -82,16 +82,11 @@ def constellations(points: DataFrame, axes: list[str], radius: float, min_angle:
     Pairs are taken from the farthest inwards; those with a smaller angle are left
     out, and a point has max_per_peak features at most.
     """
-    near = neighbours(points, axes, radius, id_col, by).where("rank > 0")
-    here = points.select(*by, F.col(id_col).alias(id_col), *[F.col(x).cast("double").alias(f"p_{x}") for x in axes])
-    there = points.select(*by, F.col(id_col).alias("other"), *[F.col(x).cast("double").alias(x) for x in axes])
-    placed = near.join(there, [*by, "other"])
-    w = W.partitionBy(*by, id_col).orderBy("rank")
-    paired = placed.select("*", F.lead("d2").over(w).alias("len2"), *[F.lead(x).over(w).alias(f"n_{x}") for x in axes]).where("len2 IS NOT NULL").join(here, [*by, id_col])
-    angle = angle_between([F.col(x) - F.col(f"p_{x}") for x in axes], [F.col(f"n_{x}") - F.col(f"p_{x}") for x in axes])
-    wide = paired.withColumn("angle", angle).where(F.col("angle") >= min_angle)
-    last = W.partitionBy(*by, id_col).orderBy(F.col("rank").desc())
-    return wide.withColumn("feature", F.row_number().over(last) - 1).where(F.col("feature") < max_per_peak).select(*by, id_col, "feature", "angle", F.col("d2").alias("len1"), "len2", *[F.col(f"p_{x}").alias(x) for x in axes])
+    found = nearby.outer_pairs(points, axes, radius, min_angle, max_per_peak, id_col, by)
+    angle = lambda p: angle_between([p[x] - F.col(f"p_{x}") for x in axes], [p[f"n_{x}"] - F.col(f"p_{x}") for x in axes])
+    angled = F.transform("pairs", lambda p: F.struct(angle(p).alias("angle"), p["len1"].alias("len1"), p["len2"].alias("len2")))
+    wide = F.slice(F.filter(angled, lambda p: p["angle"] >= min_angle), 1, max_per_peak)
+    return found.select(*by, id_col, F.posexplode(wide).alias("feature", "_f"), *[F.col(f"p_{x}").alias(x) for x in axes]).select(*by, id_col, "feature", "_f.angle", "_f.len1", "_f.len2", *axes)
 
 
 def constellations_of_all_pairs(points: DataFrame, axes: list[str], radius: float, id_col: str = "pid") -> DataFrame:
