@@ -102,7 +102,7 @@ def constellations_of_all_pairs(points: DataFrame, axes: list[str], radius: floa
 
 def constellations_of_k(points: DataFrame, axes: list[str], radius: float, k: int, id_col: str = "pid", max_per_peak: int = 10) -> DataFrame:
     """Features of each point with k of its neighbours, nearest first: all their angles and squared lengths as arrays; the point itself is no neighbour."""
-    near = neighbours(points, axes, radius, id_col).where(F.col("rank").between(1, k + max_per_peak - 1)).join(points.select(F.col(id_col).alias("other"), *[F.col(x).alias(f"n_{x}") for x in axes]), "other")
+    near = k_nearest(points, axes, k + max_per_peak - 1, radius, id_col).where("rank > 0").join(points.select(F.col(id_col).alias("other"), *[F.col(x).alias(f"n_{x}") for x in axes]), "other")
     packed = near.groupBy(id_col).agg(F.array_sort(F.collect_list(F.struct("rank", "d2", *[f"n_{x}" for x in axes]))).alias("near")).join(points.select(id_col, *axes), id_col)
     starts = packed.where(F.size("near") >= k).select(id_col, *axes, F.explode(F.sequence(F.lit(0), F.size("near") - k)).alias("feature"), "near").where(F.col("feature") < max_per_peak)
     chosen = starts.withColumn("chosen", F.slice("near", F.col("feature") + 1, k))
