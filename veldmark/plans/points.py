@@ -114,10 +114,9 @@ def j5_scale_invariant(spark: SparkSession, sf_dir: str) -> DataFrame:
 def a27_match_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Labels stand for time points: features of each meet those of the next."""
     found = features(spark, sf_dir)
-    matched = spatial.match_features(found.withColumn("i", F.col("label")), found.withColumn("i", F.col("label") - 1), 0.05, 900.5, by=["i"])
-    matches = matched.select("i", (F.col("i") + 1).alias("j"))
+    counts = nearby.match_counts(found.withColumn("i", F.col("label")), found.withColumn("i", F.col("label") - 1), 0.05, 900.5, ["i"])
     pairs = table(spark, sf_dir, "embeddings").select(F.col("label").alias("i"), (F.col("label") + 1).alias("j")).distinct()
-    return spatial.match_counts(pairs, matches)
+    return pairs.join(counts, "i", "left").select("i", "j", F.coalesce("n", F.lit(0)).alias("n"))
 
 
 @query(f"WITH {POINTS} SELECT pid, x * 2.0 AS x, y * 2.0 AS y, z * 5.0 AS z FROM p")
