@@ -137,7 +137,7 @@ def _digest(text_col: str):
 
 def _linked(pairs: DataFrame, texts: DataFrame, least: float) -> DataFrame:
     """The pairs (a, b) of nodes whose texts are at least so similar."""
-    full = pairs.join(texts.select(F.col("node").alias("a"), F.col("text").alias("text_a")), "a").join(texts.select(F.col("node").alias("b"), F.col("text").alias("text_b")), "b").select("a", "b", "text_a", "text_b")
+    full = common.joined(common.joined(pairs, texts.select(F.col("node").alias("a"), F.col("text").alias("text_a")), "a"), texts.select(F.col("node").alias("b"), F.col("text").alias("text_b")), "b").select("a", "b", "text_a", "text_b")
 
     def make():
         def work(batch: dict) -> dict:
@@ -256,10 +256,10 @@ def components(edges: DataFrame, folder: str, name: str = "stars") -> DataFrame:
         before, turn = now, turn + 1
         both = edges.union(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
         least = both.groupBy("a").agg(F.min("b").alias("m")).select("a", F.least("a", "m").alias("m"))
-        large = both.where("b > a").join(least, "a").select(F.col("b").alias("a"), F.col("m").alias("b")).where("a <> b").distinct()
+        large = common.joined(both.where("b > a"), least, "a").select(F.col("b").alias("a"), F.col("m").alias("b")).where("a <> b").distinct()
         # every edge now goes from a node to a smaller one
         lower = large.groupBy("a").agg(F.min("b").alias("m"))
-        small = large.join(lower, "a").select(F.col("b").alias("a"), F.col("m").alias("b")).where("a <> b").union(lower.select("a", F.col("m").alias("b"))).distinct()
+        small = common.joined(large, lower, "a").select(F.col("b").alias("a"), F.col("m").alias("b")).where("a <> b").union(lower.select("a", F.col("m").alias("b"))).distinct()
         edges = common.stored(small, folder, f"{name}-{turn}")
 
 
@@ -285,38 +285,38 @@ def near_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     nodes = common.stored(signed.where("cls IS NOT NULL").groupBy("cls").agg(rep.alias("rep"), F.count(F.lit(1)).alias("n"), F.first("bands").alias("bands")).withColumn("node", F.monotonically_increasing_id()), folder, "nodes")
     banded = nodes.select("node", F.explode("bands").alias("key"))
     buckets = banded.groupBy("key").agg(F.count(F.lit(1)).alias("size"), F.min("node").alias("pivot")).where("size > 1").select("key", "pivot")
-    members = common.stored(banded.join(buckets, "key").select("key", "node", "pivot"), folder, "members")
-    wanted = nodes.join(members.select("node").distinct(), "node").select("node", F.col("rep.id").alias("rep_id"), F.col("rep.txt").alias("rep_txt"))
+    members = common.stored(common.joined(banded, buckets, "key").select("key", "node", "pivot"), folder, "members")
+    wanted = common.joined(nodes, members.select("node").distinct(), "node").select("node", F.col("rep.id").alias("rep_id"), F.col("rep.txt").alias("rep_txt"))
     rows = docs.select(F.col(id_col).alias("id"), _digest(text_col).alias("txt"), F.col(text_col).alias("text"))
-    texts = common.stored(rows.join(wanted, F.col("id").eqNullSafe(F.col("rep_id")) & (F.col("txt") == F.col("rep_txt"))).groupBy("node").agg(F.first("text").alias("text")), folder, "texts")
+    texts = common.stored(common.joined(rows, wanted, F.col("id").eqNullSafe(F.col("rep_id")) & (F.col("txt") == F.col("rep_txt"))).groupBy("node").agg(F.first("text").alias("text")), folder, "texts")
 
     pairs = members.where("node <> pivot").select(F.col("node").alias("a"), F.col("pivot").alias("b")).distinct()
     links = common.stored(_linked(pairs, texts, least), folder, "links-0")
     roots = components(links, folder, "stars-0")
     # buckets whose members are in more than one component: every pair across components is settled there
-    labelled = members.join(roots, "node", "left").select("key", "node", F.coalesce("root", "node").alias("root"))
+    labelled = common.joined(members, roots, "node", "left").select("key", "node", F.coalesce("root", "node").alias("root"))
     mixed = labelled.groupBy("key").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo <> hi").select("key")
-    open_rows = common.stored(labelled.join(mixed, "key").join(texts.select("node", F.octet_length("text").alias("size")), "node"), folder, "open")
+    open_rows = common.stored(common.joined(common.joined(labelled, mixed, "key"), texts.select("node", F.octet_length("text").alias("size")), "node"), folder, "open")
     if not open_rows.isEmpty():
         by_root = open_rows.groupBy("key", "root").agg(F.count(F.lit(1)).alias("n"), F.sum("size").alias("bytes"))
         per_key = by_root.groupBy("key").agg(F.max_by("root", F.struct("n", "root")).alias("top"), F.sum("bytes").alias("bytes"), F.max("bytes").alias("most"))
         blocks = lambda c: F.ceil(c / block).cast("int")
-        sized = open_rows.join(per_key.select("key", "top", blocks(F.col("bytes")).alias("columns"), F.greatest(F.lit(1), blocks(F.col("bytes") - F.col("most"))).alias("lines")), "key")
+        sized = common.joined(open_rows, per_key.select("key", "top", blocks(F.col("bytes")).alias("columns"), F.greatest(F.lit(1), blocks(F.col("bytes") - F.col("most"))).alias("lines")), "key")
         dealt = lambda n: F.pmod(F.xxhash64("node"), n).cast("int")
         upto = lambda n: F.sequence(F.lit(0), n - 1)
         targets = sized.select("key", "node", "root", F.explode(upto(F.col("lines"))).alias("line"), dealt(F.col("columns")).alias("column"), F.lit(False).alias("probe"))
         probes = sized.where("root <> top").select("key", "node", "root", dealt(F.col("lines")).alias("line"), F.explode(upto(F.col("columns"))).alias("column"), F.lit(True).alias("probe"))
         order = ["key", "line", "column", "node", "probe"]
-        rows = targets.union(probes).join(texts, "node").repartition(common.partitions(spark), "key", "line", "column").sortWithinPartitions(*order).select(*order, "root", "text")
+        rows = common.joined(targets.union(probes), texts, "node").repartition(common.partitions(spark), "key", "line", "column").sortWithinPartitions(*order).select(*order, "root", "text")
         links = common.stored(links.union(rows.mapInArrow(_across(least), "a long, b long")).distinct(), folder, "links-1")
         roots = components(links, folder, "stars-1")
 
-    labelled = nodes.join(roots, "node", "left").select("cls", "n", F.col("rep.id").alias("rep_id"), F.col("rep.txt").alias("rep_txt"), F.coalesce("root", "node").alias("root"))
+    labelled = common.joined(nodes, roots, "node", "left").select("cls", "n", F.col("rep.id").alias("rep_id"), F.col("rep.txt").alias("rep_txt"), F.coalesce("root", "node").alias("root"))
     least_row = F.min(F.struct(F.col("rep_id").isNull().alias("none"), F.col("rep_id").alias("id"), F.col("rep_txt").alias("txt")))
     classes = labelled.groupBy("root").agg(least_row.alias("first"), F.sum("n").alias("class_size"))
-    of_class = labelled.select("cls", "root").join(classes, "root").select("cls", "first", "class_size")
+    of_class = common.joined(labelled.select("cls", "root"), classes, "root").select("cls", "first", "class_size")
     counted = signed.groupBy("id", "txt", "cls").agg(F.count(F.lit(1)).alias("reps"))
-    done = counted.join(of_class, "cls", "left").select(
+    done = common.joined(counted, of_class, "cls", "left").select(
         "id", "txt", F.when(F.col("cls").isNull(), F.col("id")).otherwise(F.col("first.id")).alias("class_id"), F.coalesce("class_size", F.lit(1).cast("long")).alias("class_size"),
         (F.col("cls").isNull() | (F.col("first.id").eqNullSafe(F.col("id")) & (F.col("first.txt") == F.col("txt")))).alias("first_row"), F.col("cls").isNull().alias("alone"), F.explode(F.sequence(F.lit(1).cast("long"), "reps")).alias("rep"),
     )
