@@ -70,6 +70,16 @@ def _beside(mask: DataFrame, by: list[str], x: str, y: str, other: Column) -> Co
 COLUMN = "ys array<long>, inside array<boolean>, to_in array<long>, to_out array<long>"
 
 
+#: Columns of a band that become Python objects together.
+FEW = 32
+
+
+def _few(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        for at in range(0, batch.num_rows, FEW):
+            yield batch.slice(at, FEW)
+
+
 def _known(g: list) -> tuple[np.ndarray, np.ndarray]:
     some = np.array([v is not None for v in g], bool)
     return some, np.array([v for v in g if v is not None], np.int64) ** 2
@@ -98,7 +108,7 @@ def signed_distance(mask: DataFrame, x: str, y: str, value: str, name: str = "di
     target = to_arrow_schema(kind)
 
     def first(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in _few(batches):
             reach, sent = [], []
             for r in batch.select(["ys", "inside", "to_in", "to_out"]).to_pylist():
                 ys, inside = np.array(r["ys"], np.int64), np.array(r["inside"], bool)
@@ -135,7 +145,7 @@ def signed_distance(mask: DataFrame, x: str, y: str, value: str, name: str = "di
     made = to_arrow_schema(done)
 
     def last_(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in _few(batches):
             ds = []
             for r in batch.select(["ys", "inside", "to_in", "to_out", "_more"]).to_pylist():
                 ys, inside = np.array(r["ys"], np.int64), np.array(r["inside"], bool)
