@@ -33,8 +33,8 @@ def _text(rows: DataFrame, path: str, one_file: bool) -> None:
 
 
 def edges_csv(edges: DataFrame, path: str) -> None:
-    """Thresholded edges, both names in quotes, no header, in one file."""
-    csv(edges.select("row", "col", "v"), path, header=False, one_file=True)
+    """Thresholded edges, both names in quotes, no header: the parts one after the other are the table, so no task reads all edges."""
+    csv(edges.select("row", "col", "v"), path, header=False)
 
 
 def with_parameters(df: DataFrame, path: str, params: dict) -> None:
@@ -47,23 +47,30 @@ def files(df: DataFrame, folder: str, name: str = "name", content: str = "conten
     """A file for each row (a path below the folder, and bytes), written by the tasks; how many. Each comes under another name first, so a task that runs again replaces whole files."""
     import uuid
 
-    import pandas as pd
+    import pyarrow as pa
 
     def run(batches):
         import pyarrow.fs
 
         system, base = pyarrow.fs.FileSystem.from_uri(folder) if "://" in folder else (pyarrow.fs.LocalFileSystem(), folder)
-        for pdf in batches:
-            for path, data in zip(pdf[name], pdf[content], strict=True):
-                target = f"{base}/{path}"
+        for batch in batches:
+            for path, data in zip(batch.column(name), batch.column(content), strict=True):
+                target = f"{base}/{path.as_py()}"
                 system.create_dir(target.rsplit("/", 1)[0], recursive=True)
                 held = f"{target}.{uuid.uuid4().hex}.tmp"
                 with system.open_output_stream(held) as out:
-                    out.write(bytes(data))
+                    out.write(data.as_buffer() or b"")
                 system.move(held, target)
-            yield pd.DataFrame({"n": [len(pdf)]})
-
-    return df.select(name, content).mapInPandas(run, "n long").agg(F.sum("n")).first()[0] or 0
+            yield pa.RecordBatch.from_pydict({"n": pa.array([batch.num_rows], pa.int64())})
+
+    # several tasks of an executor hold some copies of a batch each: 1 MB or one file, while this job runs
+    spark, size = df.sparkSession, "spark.sql.execution.arrow.maxBytesPerBatch"
+    before = spark.conf.get(size)
+    spark.conf.set(size, str(1 << 20))
+    try:
+        return df.select(name, content).mapInArrow(run, "n long").agg(F.sum("n")).first()[0] or 0
+    finally:
+        spark.conf.set(size, before)
 
 
 def texts(lines: DataFrame, folder: str, by: str, at: str, line: str) -> None:
