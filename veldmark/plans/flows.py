@@ -325,7 +325,7 @@ def n12_elastic(spark: SparkSession, sf_dir: str) -> DataFrame:
     matches = vectors.select("label").distinct().select("label", F.explode(corners).alias("p1")).withColumn("p2", F.array(1.1 * x + 0.2 * y + 3, -0.1 * x + 0.9 * y + F.col("label")))
     at = lambda i: F.get("embedding", F.lit(i)).cast("double") * 100
     done = registration.elastic(matches, vectors.select("label", "vec_id", F.array(at(0), at(1)).alias("p")), ["label"], "vec_id")
-    return done.select("vec_id", F.transform("place", lambda v: F.round(v, 3) + 0.0).alias("place"))
+    return done.select("vec_id", F.transform("place", lambda v: F.when(v < 0, -F.round(-v, 3)).otherwise(F.round(v, 3))).alias("place"))  # a small negative number becomes -0.0, as in SQL
 
 
 @query("SELECT CAST(a * 10 AS INT) AS angle, [round(cos(radians(a * 10)), 9) + 0.0, round(-sin(radians(a * 10)), 9) + 0.0, 0, round(sin(radians(a * 10)), 9) + 0.0, round(cos(radians(a * 10)), 9) + 0.0, 0] AS matrix FROM range(36) r(a)")
