@@ -9,6 +9,11 @@ from pyspark.ml.functions import vector_to_array
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from veldmark.session import cut
+
+#: Rows of a task of learners that go over them hundreds of times: every task of every turn reports to the driver.
+ROWS = 1 << 14
+
 
 def training_set(samples: DataFrame, attributes: DataFrame, keys: list[str]) -> DataFrame:
     """Labelled positions with the attributes of their pixels."""
@@ -19,17 +24,23 @@ def _fitted(rows: DataFrame, attributes: list[str], learner) -> PipelineModel:
     return Pipeline(stages=[VectorAssembler(inputCols=attributes, outputCol="features"), learner]).fit(rows.withColumn("label", F.col("label").cast("double")))
 
 
+def _gathered(rows: DataFrame) -> DataFrame:
+    """rows stored once, in partitions of about ROWS; fewer, if they come in fewer."""
+    stored = cut(rows)
+    return stored.coalesce(max(1, -(-stored.count() // ROWS)))
+
+
 def random_forest(rows: DataFrame, attributes: list[str], trees: int = 200, subset: int = 2, seed: int = 42) -> PipelineModel:
     return _fitted(rows, attributes, RandomForestClassifier(numTrees=trees, featureSubsetStrategy=str(subset), seed=seed))
 
 
 def support_vectors(rows: DataFrame, attributes: list[str]) -> PipelineModel:
     """Linear, one class against the rest."""
-    return _fitted(rows, attributes, OneVsRest(classifier=LinearSVC(maxIter=50)))
+    return _fitted(_gathered(rows), attributes, OneVsRest(classifier=LinearSVC(maxIter=50)))
 
 
 def perceptron(rows: DataFrame, attributes: list[str], classes: int, hidden: tuple[int, ...] = (10, 5), seed: int = 42) -> PipelineModel:
-    return _fitted(rows, attributes, MultilayerPerceptronClassifier(layers=[len(attributes), *hidden, classes], maxIter=300, seed=seed))
+    return _fitted(_gathered(rows), attributes, MultilayerPerceptronClassifier(layers=[len(attributes), *hidden, classes], maxIter=300, seed=seed))
 
 
 def classify(model: PipelineModel, rows: DataFrame, probability_of: int | None = None) -> DataFrame:
