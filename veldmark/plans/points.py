@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from veldmark.operators import nearby, spatial
 from veldmark.plans.registry import query
-from veldmark.session import table
+from veldmark.session import cut, table
 
 AXES = ["x", "y", "z"]
 POINTS = "p AS (SELECT vec_id AS pid, label, round(CAST(embedding[1] AS DOUBLE) * 1000) AS x, round(CAST(embedding[2] AS DOUBLE) * 1000) AS y, round(CAST(embedding[3] AS DOUBLE) * 1000) AS z FROM embeddings)"
@@ -181,12 +181,10 @@ def st4_peaks_by_cell(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query()
 def n6_consensus(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Translations between the features of labels, by seeded sampling."""
-    from veldmark.operators.registration import fit_pairs
+    from veldmark.operators.consensus import fit_features
 
-    found = features(spark, sf_dir)
-    matched = spatial.match_features(found.withColumn("i", F.col("label")), found.withColumn("i", F.col("label") - 1), 0.05, 900.5, by=["i"])
-    place = lambda f: F.array(*[F.col(f"{f}.{a}") for a in AXES])
-    return fit_pairs(matched.select("i", place("f1").alias("p1"), place("f2").alias("p2")), ["i"], "translation", iterations=100, epsilon=40.0, least=3)
+    found = cut(features(spark, sf_dir))
+    return fit_features(found.withColumn("i", F.col("label")), found.withColumn("i", F.col("label") - 1), AXES, ["i"], 0.05, 900.5, "translation", iterations=100, epsilon=40.0, least=3)
 
 
 @query()
